@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import exact_dedup as _op1
+from lakeloom.llm import bpe, exact_dedup, secret_scan
 
 QUERIES = {
-    "op1_exact_dedup": _op1.op1_exact_dedup,
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op5_bpe": bpe.op5_bpe,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
 ORACLES = {
-    "op1_exact_dedup": _op1.OP1_SQL,
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
 }
