@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import bpe, exact_dedup, secret_scan, simhash
+from lakeloom.llm import bpe, exact_dedup, personal_data, secret_scan, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_simhash": simhash.op3_simhash,
+    "op4_personal_data": personal_data.op4_personal_data,
     "op5_bpe": bpe.op5_bpe,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
