@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import bpe, exact_dedup, personal_data, secret_scan, simhash
+from lakeloom.llm import bpe, exact_dedup, personal_data, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op4_personal_data": personal_data.op4_personal_data,
     "op5_bpe": bpe.op5_bpe,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
