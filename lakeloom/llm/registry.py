@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import bpe, exact_dedup, personal_data, quality, secret_scan, simhash, toxicity
+from lakeloom.llm import bpe, exact_dedup, language_id, personal_data, quality, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_language_id": language_id.op2_language_id,
     "op3_simhash": simhash.op3_simhash,
     "op4_personal_data": personal_data.op4_personal_data,
     "op5_bpe": bpe.op5_bpe,
