@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import bpe, exact_dedup, katz, language_id, personal_data, quality, secret_scan, simhash, toxicity
+from lakeloom.llm import bpe, decontamination, exact_dedup, katz, language_id, personal_data, quality, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_personal_data": personal_data.op4_personal_data,
     "op5_bpe": bpe.op5_bpe,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_katz": katz.op8_katz,
     "op9_secret_scan": secret_scan.op9_secret_scan,
