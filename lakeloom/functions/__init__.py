@@ -1,0 +1,15 @@
+"""Column functions, all evaluated by the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def money(total: Column) -> Column:
+    """A sum of doubles, rounded so that the order of adding doesn't show."""
+    return F.round(total, 2)
+
+
+def json_long(column: str, path: str) -> Column:
+    return F.get_json_object(column, path).cast("long")

@@ -1,27 +1,157 @@
-"""The core queries, each with its SQL."""
+"""The core queries, each with its SQL (run by DuckDB on the same tables).
+
+Sums of money are rounded to cents on both sides, orders end in a unique column.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeloom.functions import json_long, money
+from lakeloom.operators.joins import asof_join, range_join
+from lakeloom.operators.windows import sessions, top_of_each
+from lakeloom.sources import table
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return add
 
+
+def ntz(text: str):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
+       round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, count(*) AS count_order
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan, filter on the ship date, group by two flags. Money is rounded after the sum."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    items = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= ntz("1998-09-02"))
     return items.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"),
-        F.count(F.lit(1)).alias("count_order"),
+        money(F.sum("l_quantity")).alias("sum_qty"), money(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("sum_disc_price"), F.count(F.lit(1)).alias("count_order")
     )
 
 
-QUERIES = {"pricing_summary": pricing_summary}
+@query("""
+SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
+JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
+JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey
+WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' GROUP BY n_name""")
+def local_supplier_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: table(spark, sf_dir, name)
+    orders = t("orders").where((F.col("o_orderdate") >= ntz("1996-01-01")) & (F.col("o_orderdate") < ntz("1998-01-01")))
+    places = t("region").join(t("nation"), F.col("r_regionkey") == F.col("n_regionkey"))
+    bought = t("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).join(orders, F.col("c_custkey") == F.col("o_custkey")).join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    sold = bought.join(t("supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+    return sold.groupBy("n_name").agg(money(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("revenue"))
 
-ORACLES = {
-    "pricing_summary": """
-SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
-       round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, count(*) AS count_order
-FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL
-""",
-}
+
+@query("""
+SELECT o_orderpriority, count(*) AS n FROM orders
+WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1""")
+def orders_with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    return table(spark, sf_dir, "orders").join(returned, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1""")
+def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    idle = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return idle.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), money(F.sum("c_acctbal")).alias("balance"))
+
+
+@query("""
+SELECT o_custkey, o_orderkey, o_totalprice, place::INT AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders)
+WHERE place <= 3""")
+def largest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return top_of_each(orders, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
+
+
+@query("""
+SELECT o_orderkey, o_totalprice - lag(o_totalprice) OVER w AS change, count(*) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n3
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") - F.lag("o_totalprice").over(w)).alias("change"), F.count(F.lit(1)).over(w.rowsBetween(-2, 0)).alias("n3"))
+
+
+@query("""
+SELECT coalesce(o_orderstatus, 'all') AS o_orderstatus, coalesce(o_orderpriority, 'all') AS o_orderpriority, (grouping(orders.o_orderstatus) * 2 + grouping(orders.o_orderpriority))::BIGINT AS level, count(*) AS n
+FROM orders GROUP BY CUBE (orders.o_orderstatus, orders.o_orderpriority)""")
+def order_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"))
+    return counted.na.fill("all", ["o_orderstatus", "o_orderpriority"])
+
+
+@query("""
+SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'view') AS "view"
+FROM events GROUP BY 1""")
+def event_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "purchase", "view"]).count().na.fill(0)
+
+
+@query("""
+SELECT (json_extract_string(props, '$.k'))::BIGINT % 10 AS digit, count(*) AS n FROM events GROUP BY 1""")
+def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy((json_long("props", "$.k") % 10).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT p.event_id, coalesce(v.event_id, -1) AS view_id
+FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') p
+LEFT JOIN LATERAL (SELECT event_id FROM events v WHERE v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts
+                   ORDER BY v.ts DESC, v.event_id DESC LIMIT 1) v ON true""")
+def last_view_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    views = rows.where("event_type = 'view'").withColumn("view_id", F.col("event_id"))
+    return asof_join(rows.where("event_type = 'purchase'").drop("event_type"), views, ["user_id"], "ts", ["view_id"], "view_id").select("event_id", F.coalesce("view_id", F.lit(-1)).alias("view_id"))
+
+
+@query("""
+SELECT e.event_id, b.event_id AS error_id FROM events e JOIN events b
+ON b.event_type = 'error' AND epoch(e.ts) >= epoch(b.ts) AND epoch(e.ts) < epoch(b.ts) + 30 WHERE e.event_type = 'purchase'""")
+def purchases_after_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    errors = rows.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("at").alias("from_at"), (F.col("at") + 30_000_000).alias("to_at"))
+    found = range_join(rows.where("event_type = 'purchase'"), errors, F.col("at"), F.col("from_at"), F.col("to_at"), 30_000_000)
+    return found.select("event_id", "error_id")
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS first_time, max(ts) AS last_time, count(*) AS n FROM s GROUP BY user_id, k""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions(table(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts", 7200)
+
+
+@query("""
+SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""")
+def six_hour_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), money(F.sum("value")).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("""
+SELECT p_brand, count(DISTINCT p_type) AS types, quantile_cont(p_retailprice, 0.5) AS median_price FROM part GROUP BY 1""")
+def brand_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.countDistinct("p_type").alias("types"), F.percentile("p_retailprice", 0.5).alias("median_price"))
+
+
+@query("""
+SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'""")
+def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
+    return low.subtract(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")))

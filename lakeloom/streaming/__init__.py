@@ -1,0 +1,21 @@
+"""Structured Streaming over event tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def events(spark: SparkSession, folder: str, schema, files_at_once: int = 8) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)
+
+
+def windowed_counts(stream: DataFrame, time: str, by: list[str], value: str, width: str, late: str) -> DataFrame:
+    """Count and sum of each window and group; state is dropped once the watermark has passed a window."""
+    marked = stream.withWatermark(time, late)
+    return marked.groupBy(F.window(time, width), *by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), *by, "n", "total")
+
+
+def first_of_each(stream: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
+    """The first row of each key; a key is remembered until the watermark has passed it."""
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
