@@ -122,7 +122,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no item."""
     bad = written(matches(docs, items).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
     few = bad.count() <= SMALL
-    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,8 +180,8 @@ class Model:
         return out
 
 
-def train(sample: list[tuple[str, int]], rounds: int = 4, epochs: int = 3, rate: float = 0.01) -> Model | None:
-    """sample: texts and labels 0 or 1. None where a class is missing."""
+def train(sample: list[tuple[str, int]], rounds: int = 4, epochs: int = 3, least_steps: int = 60, rate: float = 0.01) -> Model | None:
+    """sample: texts and labels 0 or 1. None where a class is missing. A small sample is gone through more often."""
     docs = [(w, y) for w, y in ((words_of(t), y) for t, y in sample) if w]
     if len({y for _, y in docs}) < 2:
         return None
@@ -214,7 +214,7 @@ def train(sample: list[tuple[str, int]], rounds: int = 4, epochs: int = 3, rate:
         best = np.array([b + int(np.argmax(value[b : b + n])) for b, n in zip(bounds, per, strict=True)])
         chosen = np.concatenate([best, r.choice(clean, min(len(clean), len(best)))])
         truth = np.concatenate([label, np.zeros(len(chosen) - len(best), np.float32)])
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-least_steps * 128 // len(chosen)))):
             order = r.permutation(len(chosen))
             for k in range(0, len(order), 128):
                 some = order[k : k + 128]
