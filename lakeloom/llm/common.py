@@ -56,6 +56,11 @@ def crc_mod(m: int, column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(m)
 
 
+def held_out(m: int, remainder: int):
+    """Whether a document is held out; without a doc_id it is not."""
+    return F.coalesce(crc_mod(m) == remainder, F.lit(False)).alias("held_out")
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a batch's strings in one array, and each string's bounds (n + 1 offsets)."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

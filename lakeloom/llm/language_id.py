@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import crc_mod, read, texts
+from lakeloom.llm.common import crc_mod, held_out, read, texts
 
 SAMPLE = 4000
 LONGEST = 5
@@ -195,4 +195,4 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = Model.fit(training_sample(docs, crc_mod(3) != 1))
-    return identified(docs, model).select("doc_id", (crc_mod(3) == 1).alias("held_out"), "lang_pred", "score")
+    return identified(docs, model).select("doc_id", held_out(3, 1), "lang_pred", "score")

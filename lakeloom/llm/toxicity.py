@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import crc_mod, read, texts
+from lakeloom.llm.common import crc_mod, held_out, read, texts
 
 #: Words in a window, and from one window's start to the next.
 SPAN, STEP = 24, 12
@@ -319,4 +319,4 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = train(labelled_sample(docs, read(spark, sf_dir, "labels"), "toxic", crc_mod(5) != 0))
-    return scored(docs, model).select("doc_id", (crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(docs, model).select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
