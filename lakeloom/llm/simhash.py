@@ -2,8 +2,9 @@
 
 Fingerprints are 64 bits over the hashes of a text's word shingles. Copies of a fingerprint are first
 merged into one representative (its smallest doc_id). Two fingerprints that differ in at most BUDGET bits
-agree wholly in at least two of BUDGET + 2 blocks of bits, so each pair of blocks names the root nodes of
-a trie: fingerprints that agree there share a root, and their trie is walked against itself. The walk
+agree wholly in at least n of BUDGET + n blocks of bits, so each choice of n blocks names the root nodes of
+a trie: fingerprints that agree there share a root, and their trie is walked against itself. n is 2, and more
+only for so many fingerprints that roots would hold over ROOM each; the links are the same for any n. The walk
 takes node pairs together, adds up the bits in which the nodes' prefixes differ, leaves a pair as soon as
 the budget is exceeded, and also leaves a pair whose leaves all stand in one component already. A root
 emits the links of a spanning forest, never all pairs.
@@ -35,6 +36,8 @@ from lakeloom.llm.common import read, texts, utf8, written
 WORDS, SEED, BUDGET = 4, 42, 4
 #: Fingerprints under one root that are walked in one task; more are dealt out once more.
 HOT = 4096
+#: Fingerprints under a root, were they spread evenly, from which on roots take another block.
+ROOM = 64
 #: Up to so many fingerprints of one root are compared as a leaf.
 LEAF = 48
 
@@ -154,9 +157,17 @@ def blocks(bits: list[int], n: int) -> list[list[int]]:
     return [[int(b) for b in part] for part in np.array_split(np.array(bits), n)]
 
 
-def roots(bits: list[int], budget: int) -> list[list[int]]:
-    """The bit sets of which a pair within budget agrees on at least one: two of budget + 2 blocks."""
-    return [a + b for a, b in combinations(blocks(bits, budget + 2), 2)]
+def roots(bits: list[int], budget: int, whole: int = 2) -> list[list[int]]:
+    """The bit sets of which a pair within budget agrees on at least one: `whole` of budget + `whole` blocks."""
+    return [sum(some, []) for some in combinations(blocks(bits, budget + whole), whole)]
+
+
+def whole_blocks(n: int, budget: int) -> int:
+    """How many blocks make a root for n fingerprints."""
+    whole = 2
+    while n >> (64 * whole // (budget + whole)) > ROOM:
+        whole += 1
+    return whole
 
 
 def packed(fp, bits: list[int]):
@@ -270,9 +281,9 @@ def _deal(rows: DataFrame, hot: int | None, budget: int) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _walk_groups(batches, hot, budget), _EMITS)
 
 
-def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
+def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT, whole: int | None = None) -> DataFrame:
     """distinct: fp, rep, each fp once. Links (a, b) of reps that connect all fingerprints within budget bits."""
-    first = roots(list(range(64)), budget)
+    first = roots(list(range(64)), budget, whole or whole_blocks(distinct.count(), budget))
     keyed = [F.struct(F.lit(i).cast("int").alias("root"), packed(F.col("fp"), bits).alias("key")) for i, bits in enumerate(first)]
     rows = distinct.select("fp", "rep", F.explode(F.array(*keyed)).alias("k")).select("k.root", "k.key", "fp", "rep")
     found = written(_deal(rows, hot, budget), "trie-links")

@@ -66,16 +66,26 @@ def test_walk_connects_as_all_pairs_do(n, spread):
     assert {i: find(i) for i in range(n)} == expected
 
 
-@pytest.mark.parametrize("hot", [4096, 20])
-def test_links_and_components(spark, hot):
+@pytest.mark.parametrize("hot,whole", [(4096, None), (20, None), (4096, 3), (20, 3)])
+def test_links_and_components(spark, hot, whole):
     values = clustered(600, 5, 5)
     fps = {10 * i + 3: v for i, v in enumerate(values)}
     rows = [(int(np.uint64(v).astype(np.int64)), i) for i, v in fps.items()]
-    found = simhash.components(simhash.links(spark.createDataFrame(rows, "fp long, rep long"), hot=hot)).collect()
+    found = simhash.components(simhash.links(spark.createDataFrame(rows, "fp long, rep long"), hot=hot, whole=whole)).collect()
     top = {i: i for i in fps} | {r.id: r.root for r in found}
     assert top == brute_components(fps)
 
 
+def test_roots_take_more_blocks_for_more_fingerprints():
+    assert [simhash.whole_blocks(n, 4) for n in (0, 10**6, 10**8, 10**9, 10**11)] == [2, 2, 2, 3, 4]
+    for whole in (2, 3):
+        sets = [set(b) for b in simhash.roots(list(range(64)), 4, whole)]
+        r = random.Random(whole)
+        for _ in range(500):
+            differ = set(r.sample(range(64), 4))
+            assert any(not differ & s for s in sets)
+
+
 def test_chain_is_one_component(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
     found = {r.id: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
