@@ -65,9 +65,10 @@ def orders_with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer
-WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1""")
-def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idle = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2000-01-01') GROUP BY 1""")
+def customers_without_late_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= ntz("2000-01-01"))
+    idle = table(spark, sf_dir, "customer").join(late, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     return idle.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), money(F.sum("c_acctbal")).alias("balance"))
 
 
