@@ -29,6 +29,8 @@ PER_CLASS = 1500
 BUCKETS = 1 << 15
 #: Words among which distinct ones are counted, and bytes that are looked at together.
 STRETCH, BLOCK = 128, 2_000_000
+#: Bytes of the sample that are fitted together.
+PART = 500_000
 BAD, GOOD, NONE = 0, 1, 2
 TRAITS = ("upper", "symbols", "marked", "lone", "repeated", "distinct", "length", "worded")
 #: For each trait: least words; bad beyond; good beyond (both on the side that the signs say).
@@ -173,21 +175,33 @@ class Scorer:
 
     @staticmethod
     def fit(some: list[bytes], target: np.ndarray, rounds: int = 60, rate: float = 0.2, decay: float = 1e-4) -> Scorer:
-        data = np.frombuffer(b"".join(some), np.uint8)
-        bounds = np.r_[0, np.cumsum([len(x) for x in some])].astype(np.int64)
-        words, seen = traits(data, bounds)
-        level = steps(words, seen)
-        n = np.maximum(np.diff(bounds) - 2, 0)
-        places = np.concatenate([np.arange(s, s + k) for s, k in zip(bounds[:-1], n, strict=True)] or [np.zeros(0, np.int64)])
-        grams = trigrams(data)[places] if len(places) else places
-        owner = np.repeat(np.arange(len(some)), n)
+        level, found, held, size = [], [], [], 0
+        for k, x in enumerate(some):  # in parts: what is held is a row for each text and distinct trigram
+            held.append(x)
+            size += len(x)
+            if size < PART and k + 1 < len(some):
+                continue
+            data = np.frombuffer(b"".join(held), np.uint8)
+            sizes = np.array([len(x) for x in held])
+            bounds = np.r_[0, np.cumsum(sizes)]
+            level.append(steps(*traits(data, bounds)))
+            if len(data) > 2:
+                n = np.maximum(sizes - 2, 0)
+                owner = np.repeat(np.arange(len(held)), n)
+                places = np.arange(len(owner)) + (bounds[:-1] - (np.cumsum(n) - n))[owner]
+                pairs, count = np.unique(owner * BUCKETS + trigrams(data)[places], return_counts=True)
+                owner = pairs // BUCKETS
+                found.append((pairs % BUCKETS, owner + k + 1 - len(held), count / n[owner]))
+            held, size = [], 0
+        level = np.concatenate(level)
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        grams, owner, share = (np.concatenate(x) for x in zip(empty, *found, strict=True))
         p = np.zeros(BUCKETS + 1024 + 1)
         m, v = np.zeros_like(p), np.zeros_like(p)
-        share = 1 / np.maximum(n, 1)
         for t in range(1, rounds + 1):
-            logit = p[-1] + p[BUCKETS:-1][level].sum(axis=1) + share * np.bincount(owner, p[grams], len(some))
+            logit = p[-1] + p[BUCKETS:-1][level].sum(axis=1) + np.bincount(owner, p[grams] * share, len(some))
             d = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - target) / len(some)
-            g = np.r_[np.bincount(grams, (d * share)[owner], BUCKETS), np.bincount(level.ravel(), np.repeat(d, len(TRAITS)), 1024), d.sum()] + decay * p
+            g = np.r_[np.bincount(grams, d[owner] * share, BUCKETS), np.bincount(level.ravel(), np.repeat(d, len(TRAITS)), 1024), d.sum()] + decay * p
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         return Scorer(p[:BUCKETS].astype(np.float32), p[BUCKETS:-1].copy(), float(p[-1]))
