@@ -37,8 +37,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: Rows of documents that an Arrow batch holds, where the session keeps Spark's own 10,000.
+ROWS_AT_ONCE = 1000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of documents in hundreds of rows: both ends of a pipe hold some whole, outside the JVM's heap."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(ROWS_AT_ONCE))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, a null text as empty; other columns can't clash with ours."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

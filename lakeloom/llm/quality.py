@@ -28,7 +28,7 @@ from lakeloom.llm.common import flat_bytes, read, texts, written
 PER_CLASS = 1500
 BUCKETS = 1 << 15
 #: Words among which distinct ones are counted, and bytes that are looked at together.
-STRETCH, BLOCK = 128, 2_000_000
+STRETCH, BLOCK = 128, 500_000
 #: Bytes of the sample that are fitted together.
 PART = 500_000
 BAD, GOOD, NONE = 0, 1, 2
