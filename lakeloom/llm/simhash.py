@@ -40,6 +40,10 @@ HOT = 4096
 ROOM = 64
 #: Up to so many fingerprints of one root are compared as a leaf.
 LEAF = 48
+#: What the pipeline drops: 4/5 of the shingles of so many words. Who is compared: by fingerprints of the distinct words,
+#: within WIDE bits; all 48 pairs of different sets of shingles at 0.8 or more on the 0.1 tables lie within them.
+SIMILAR_WORDS, WIDE_WORDS, WIDE = 5, 1, 10
+WIDE_HOT, WIDE_ROOM, GROUP = 1 << 14, 1 << 10, 256
 
 
 def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -68,13 +72,15 @@ def majority(hashes: np.ndarray) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp for each row of docs."""
+def fingerprints(docs: DataFrame, words: int = WORDS, once: bool = False) -> DataFrame:
+    """doc_id, fp for each row of docs; once: a shingle weighs 1 however often it occurs."""
+
+    weighed = np.unique if once else lambda hashes: hashes
 
     def rows(batches):
         for batch in batches:
             column = utf8(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([majority(shingle_hashes(x.as_py(), words)) for x in column], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([majority(weighed(shingle_hashes(x.as_py(), words))) for x in column], pa.int64())], names=["doc_id", "fp"])
 
     return texts(docs).mapInArrow(rows, "doc_id long, fp long")
 
@@ -162,10 +168,10 @@ def roots(bits: list[int], budget: int, whole: int = 2) -> list[list[int]]:
     return [sum(some, []) for some in combinations(blocks(bits, budget + whole), whole)]
 
 
-def whole_blocks(n: int, budget: int) -> int:
+def whole_blocks(n: int, budget: int, room: int = ROOM) -> int:
     """How many blocks make a root for n fingerprints."""
     whole = 2
-    while n >> (64 * whole // (budget + whole)) > ROOM:
+    while n >> (64 * whole // (budget + whole)) > room:
         whole += 1
     return whole
 
@@ -281,9 +287,9 @@ def _deal(rows: DataFrame, hot: int | None, budget: int) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _walk_groups(batches, hot, budget), _EMITS)
 
 
-def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT, whole: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT, whole: int | None = None, room: int = ROOM) -> DataFrame:
     """distinct: fp, rep, each fp once. Links (a, b) of reps that connect all fingerprints within budget bits."""
-    first = roots(list(range(64)), budget, whole or whole_blocks(distinct.count(), budget))
+    first = roots(list(range(64)), budget, whole or whole_blocks(distinct.count(), budget, room))
     keyed = [F.struct(F.lit(i).cast("int").alias("root"), packed(F.col("fp"), bits).alias("key")) for i, bits in enumerate(first)]
     rows = distinct.select("fp", "rep", F.explode(F.array(*keyed)).alias("k")).select("k.root", "k.key", "fp", "rep")
     found = written(_deal(rows, hot, budget), "trie-links")
@@ -322,11 +328,11 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(small.union(low.toDF("hi", "lo")).distinct(), "star")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, hot: int = HOT, once: bool = False, room: int = ROOM) -> DataFrame:
     """doc_id, fp, component_id for each row of docs."""
-    each = written(fingerprints(docs, words), "fingerprints")
+    each = written(fingerprints(docs, words, once), "fingerprints")
     distinct = written(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    roots_of = components(links(distinct.where("rep is not null"), budget, hot))
+    roots_of = components(links(distinct.where("rep is not null"), budget, hot, room=room))
     named = distinct.join(roots_of, distinct["rep"] == roots_of["id"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return each.join(written(named, "components"), "fp").select("doc_id", "fp", "component_id")
 
@@ -337,5 +343,85 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets of shingles share 4/5 or more of what either has; empty ones are alike."""
+    a, b = len(x), len(y)
+    if 5 * min(a, b) < 4 * max(a, b):
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 5 * shared >= 4 * (a + b - shared)
+
+
+def _standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, doc_id, tags) in order of group and doc_id: those not similar to one of their group that stands before them.
+
+    Similar sets share one of their smallest hashes, a fifth of each set, so only standing sets under those are compared.
+    """
+    group, index, standing, empty = None, {}, [], False
+    for batch in batches:
+        keep = []
+        groups, tags = batch.column(0).to_pylist(), batch.column(2)
+        for i, g in enumerate(groups):
+            if g != group:
+                group, index, standing, empty = g, {}, [], False
+            x = tags[i].values.to_numpy()
+            if not len(x):
+                keep.append(not empty)
+                empty = True
+                continue
+            first = x[: len(x) - -(-4 * len(x) // 5) + 1].tolist()
+            some = {j for h in first for j in index.get(h, ())}
+            stands = not any(similar(x, standing[j]) for j in some)
+            keep.append(stands)
+            if stands:
+                for h in first:
+                    index.setdefault(h, []).append(len(standing))
+                standing.append(x)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, tags (sorted hashes of distinct shingles of SIMILAR_WORDS) for each row of docs."""
+
+    def rows(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 100):
+                some = batch.slice(i, 100)
+                sets = [np.unique(shingle_hashes(x.as_py(), SIMILAR_WORDS).view(np.int64)) for x in utf8(some.column(1))]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "tags"])
+
+    return texts(docs).mapInArrow(rows, "doc_id long, tags array<long>")
+
+
+def deduplicate_similar(docs: DataFrame) -> DataFrame:
+    """The rows of docs without those that share 0.8 or more of their 5-word shingles with a standing one of smaller doc_id.
+
+    The trie self-join at a wide budget only names who is compared: all documents of a component. Larger
+    components are dealt out in groups of GROUP; what stands in them is dealt again into groups four times as
+    large, until each component is one group. Rows without a doc_id are kept.
+    """
+    loose = near_duplicates(docs.where("doc_id is not null"), WIDE_WORDS, WIDE, WIDE_HOT, True, WIDE_ROOM).select("doc_id", "component_id").distinct()
+    loose = written(loose, "loose")
+    crowds = loose.groupBy("component_id").count().where("count > 1").select("component_id")
+    named = loose.join(crowds, "component_id").select(F.col("doc_id").alias("compared_id"), "component_id")
+    named = written(named, "compared")
+    wanted = docs.join(named.select("compared_id").distinct(), F.col("doc_id").cast("long") == F.col("compared_id"), "left_semi")
+    sets = shingle_sets(wanted).dropDuplicates(["doc_id"])
+    now = written(sets.join(named.dropDuplicates(["compared_id"]), F.col("doc_id") == F.col("compared_id")).select("component_id", "doc_id", "tags"), "sets")
+    every, size = now.select("doc_id"), GROUP
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        counts = written(now.groupBy("component_id").count().withColumn("deals", F.ceil(F.col("count") / F.lit(size))), "crowds")
+        group = F.xxhash64("component_id", F.pmod(F.xxhash64("doc_id"), F.col("deals")))
+        rows = now.join(counts, "component_id").select(group.alias("group"), "doc_id", "tags", "component_id")
+        dealt = rows.repartition(parts, "group").sortWithinPartitions("group", "doc_id")
+        now = written(dealt.mapInArrow(_standing, dealt.schema).select("component_id", "doc_id", "tags"), "standing")
+        if counts.where("deals > 1").isEmpty():
+            break
+        size *= 4
+    dropped = every.join(now.select("doc_id"), "doc_id", "left_anti").withColumnRenamed("doc_id", "dropped_id")
+    return docs.join(written(dropped, "dropped"), F.col("doc_id").cast("long") == F.col("dropped_id"), "left_anti")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
