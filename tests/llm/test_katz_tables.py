@@ -1,0 +1,50 @@
+import math
+from collections import Counter
+
+import duckdb
+import pytest
+
+from lakeloom.llm import katz
+from tests.llm.test_katz import SF, plain_tokens
+
+
+def discounted(n, d, absolute):
+    return n * (d[n] if n <= katz.LAST_DISCOUNTED else 1) - absolute
+
+
+def test_word_bigrams_against_a_plain_model(spark):
+    rows = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet' order by 1 limit 60").fetchall()
+    rows += [(9000, "zyxa zyxb"), (9001, "zyxb zyxa"), (9002, None), (9003, "new newer")] + [(k, "zyxa zyxb") for k in range(9010, 9020)]
+    train = [(d, t) for d, t in rows if d % 3 and d not in (9001, 9003)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    t = katz.train_tables(katz.texts(spark.createDataFrame(train, "doc_id long, text string")))
+    uni, bi = Counter(), Counter()
+    for _, text in train:
+        w = plain_tokens(text or "")
+        uni.update(w)
+        bi.update(zip([katz.END, *w], w))
+    d1, d2 = katz.discounts(Counter(uni.values())), katz.discounts(Counter(bi.values()))
+    total = sum(uni.values())
+    p1 = {w: discounted(n, *d1) / (total + 1) for w, n in uni.items()}
+    unseen = 1 - sum(p1.values())
+    assert t.unseen == pytest.approx(unseen)
+    p2, alpha = {}, {}
+    for b in {b for b, _ in bi}:
+        after = {w: n for (x, w), n in bi.items() if x == b}
+        kept, below = sum(discounted(n, *d2) for n in after.values()), sum(after.values())
+        below += below - kept < 1e-9
+        p2 |= {(b, w): discounted(n, *d2) / below for w, n in after.items()}
+        alpha[b] = (1 - kept / below) / (1 - sum(p1[w] for w in after))
+        whole = sum(p2[b, w] for w in after) + alpha[b] * (unseen + sum(p for w, p in p1.items() if w not in after))
+        assert whole == pytest.approx(1)
+
+    def plain(text):
+        w = plain_tokens(text or "")
+        return sum(math.log10(p2[b, x] if (b, x) in p2 else alpha.get(b, 1) * p1.get(x, unseen)) for b, x in zip([katz.END, *w], w))
+
+    got = {r.doc_id: r.score for r in katz.score_by_tables(docs, t).collect()}
+    assert got == {d: pytest.approx(plain(x), rel=1e-9) for d, x in rows}
+    assert got[9000] > got[9001] + 1  # the same rare words, of which training holds one order only
+    none = katz.train_tables(katz.texts(docs.limit(0)))
+    assert {r.score for r in katz.score_by_tables(docs, none).collect()} == {0.0}
+    assert katz.score_by_tables(docs.limit(0), t).count() == 0
