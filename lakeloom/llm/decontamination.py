@@ -8,9 +8,10 @@ block values that near to its own, and an equality join of blocks finds every wi
 finds is verified by the exact weighted similarity of the two multisets of shingles: what they share, over
 what either has.
 
-Which windows are fingerprinted: a window without a shingle of the item has similarity 0, so windows are
-taken where a shingle of the item occurs, set so that the shingle falls on its place in the item. The index
-of items' shingles is broadcast only if it is counted small; else it is joined by shuffle.
+Which windows are fingerprinted: a window without a shingle of the item has similarity 0, so all starts are
+taken from which an item's shingle lies inside the window, merged into runs. A start is left only where an
+exact upper bound says so: what lies inside of shingles that the item has at all, over what either has at
+least. The index of items' shingles is broadcast only if it is counted small; else it is joined by shuffle.
 
 At similarity 0.8 the expected difference is about 10 of 64 bits with a deviation under 3; RADIUS 23 lies
 more than four deviations beyond, and is the only place where a window is left before exact comparison.
@@ -22,7 +23,7 @@ rows that repeat a doc_id are one document; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import read, texts, written
@@ -78,6 +79,22 @@ def near_masks() -> list[int]:
     return [m for m in range(1 << 64 // BLOCKS) if m.bit_count() <= RADIUS // BLOCKS]
 
 
+def bounded_starts(found: DataFrame, least: float) -> DataFrame:
+    """found: doc_id, item, n, size, at (places of the item's shingles). doc_id, item, n, start of all windows that can reach least.
+
+    A window over `inside` such places shares at most that many: similarity inside / (its size + n - inside) at most.
+    """
+    last = F.greatest(F.lit(0), F.col("size") - F.col("n"))
+    # the number inside changes only where a place enters (at - n + 1) or has left (at + 1)
+    steps = F.array(F.struct(F.greatest(F.lit(0), F.col("at") - F.col("n") + 1).alias("start"), F.lit(1).alias("more")), F.struct((F.col("at") + 1).alias("start"), F.lit(-1).alias("more")))
+    changes = found.select("doc_id", "item", "n", "size", last.alias("last"), F.explode(steps).alias("s")).groupBy("doc_id", "item", "n", "size", "last", "s.start").agg(F.sum("s.more").alias("more"))
+    order = Window.partitionBy("doc_id", "item", "size").orderBy("start")
+    inside = changes.withColumn("inside", F.sum("more").over(order)).withColumn("next", F.lead("start").over(order))
+    both = F.least("n", "size") + F.col("n")
+    enough = inside.where((F.col("inside") > 0) & (F.col("inside") >= F.lit(least) * (both - F.col("inside")) - 1e-9) & (F.col("start") <= F.col("last")))
+    return enough.select("doc_id", "item", "n", F.explode(F.sequence("start", F.least("last", F.col("next") - 1))).alias("start")).distinct()
+
+
 def matches(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """docs: doc_id, text; items: item_id, text. For each document and item that it holds: the best window.
 
@@ -87,19 +104,19 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFram
     known = written(shingled.withColumn("n", F.size("h")), "items")
     most = known.agg(F.max("n")).first()[0] or 0
     known = written(numbered(fingerprinted(known, most)), "items")
-    index = known.select("item", "n", F.posexplode("h").alias("place", "x"))
+    index = known.select("item", "n", F.explode("h").alias("x")).distinct()
     small = index.count() <= SMALL
 
     # not posexplode: its inferred filter on h would be pushed down and split a text for each of its words
-    each = with_shingles(texts(docs)).select("doc_id", F.posexplode_outer("h").alias("at", "x"))
+    each = with_shingles(texts(docs)).select("doc_id", F.size("h").alias("size"), F.posexplode_outer("h").alias("at", "x"))
     found = each.join(F.broadcast(index) if small else index, "x")
-    starts = written(found.select("doc_id", "item", "n", (F.col("at") - F.col("place")).alias("start")).distinct(), "starts")
+    starts = written(bounded_starts(found.select("doc_id", "item", "n", "size", "at").distinct(), least), "starts")
 
     ids = written(starts.select("doc_id").distinct(), "touched").toDF("touched_id")
     few = ids.count() <= SMALL
     touched = texts(docs).join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("touched_id")), "left_semi")
     touched = with_shingles(touched).withColumnRenamed("doc_id", "held_id")
-    place = F.greatest(F.lit(0), F.least("start", F.size("h") - F.col("n")))
+    place = F.greatest(F.lit(0), F.least("start", F.size("h") - F.col("n")))  # rows that repeat a doc_id may differ in size
     windows = starts.join(touched, F.col("doc_id").eqNullSafe(F.col("held_id"))).select("doc_id", "item", place.alias("start"), F.slice("h", place + 1, F.greatest(F.lit(1), "n")).alias("h"))
     windows = written(windows, "windows")
     windows = written(numbered(fingerprinted(windows, most)).drop("h").withColumn("window", F.monotonically_increasing_id()), "windows")
