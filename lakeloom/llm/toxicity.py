@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
-A word's input is the sum of its own vector (words of the sample's vocabulary; others share one) and the
+A word of more than PIECE characters counts as several, its consecutive pieces. A word's input is the sum of its own vector (words of the sample's vocabulary; others share one) and the
 mean vector of its hashed n-grams of characters (of their bytes). Two gated recurrent layers read a window of SPAN words in both
 directions, attention pools their states, and a logistic unit scores the window. A document's score is that
 of its highest window, over all overlapping windows of the whole text.
@@ -28,6 +28,8 @@ from lakeloom.llm.common import crc_mod, held_out, read, texts
 
 #: Words in a window, and from one window's start to the next.
 SPAN, STEP = 24, 12
+#: Characters of a word: longer ones are cut into pieces, each an input of its own.
+PIECE = 32
 PER_CLASS = 1000
 WORD_SIZE, HIDDEN, ATTENTION = 16, 8, 8
 #: 13 bits of the n-gram hash are kept.
@@ -39,12 +41,16 @@ SEED = 11
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Words, longer ones as consecutive pieces."""
+    found = WORD.findall(text.lower())
+    if max(map(len, found), default=0) <= PIECE:
+        return found
+    return [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the 3-, 4- and 5-grams of each <word>, over its UTF-8 bytes, and where each word's begin."""
-    data = np.frombuffer(("<" + "><".join(w[:32] for w in words) + ">").encode(), np.uint8)
+    data = np.frombuffer(("<" + "><".join(words) + ">").encode(), np.uint8)
     starts = np.flatnonzero(data == ord("<"))
     sizes = np.diff(np.r_[starts, len(data)])
     left = np.repeat(starts + sizes, sizes) - np.arange(len(data))  # bytes to the end of the word
