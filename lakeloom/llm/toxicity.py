@@ -26,10 +26,8 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import crc_mod, held_out, read, texts
 
-#: Words in a window, and from one window's start to the next.
-SPAN, STEP = 24, 12
-#: Characters of a word: longer ones are cut into pieces, each an input of its own.
-PIECE = 32
+#: Words in a window; and characters of a word: longer ones are cut into pieces, each an input of its own.
+SPAN, PIECE = 24, 32
 PER_CLASS = 1000
 WORD_SIZE, HIDDEN, ATTENTION = 16, 8, 8
 #: 13 bits of the n-gram hash are kept.
@@ -69,9 +67,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def windows(n: int) -> np.ndarray:
     """Starts of all windows over n words; the last one ends with the text."""
-    if n <= SPAN:
-        return np.zeros(min(n, 1), np.int64)
-    return np.unique(np.r_[np.arange(0, n - SPAN, STEP), n - SPAN])
+    return np.arange(max(min(n, 1), n - SPAN + 1))
 
 
 def gathered(values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:

@@ -1,3 +1,5 @@
+import numpy as np
+
 from lakeloom.llm import toxicity
 
 
@@ -7,3 +9,13 @@ def test_long_runs_are_read_whole():
     model = toxicity.Model.new({})
     a, b = toxicity.Scorer(model).scores(["好" * 40 + "坏" * 30, "好" * 70])
     assert a != b
+
+
+def test_every_start_is_scored():
+    for n in (0, 1, 24, 25, 60):
+        assert toxicity.windows(n).tolist() == list(range(max(min(n, 1), n - toxicity.SPAN + 1)))
+    r = np.random.default_rng(2)
+    words = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    scorer = toxicity.Scorer(toxicity.Model.new({w: i + 1 for i, w in enumerate(words)}))
+    whole = scorer.scores([" ".join(words)])[0]
+    assert np.isclose(whole, max(scorer.scores([" ".join(words[k : k + toxicity.SPAN]) for k in range(60 - toxicity.SPAN + 1)])), atol=1e-6)
