@@ -35,11 +35,11 @@ LEAST_VALUE = 12
 #: How far, in characters, a complementary part may be.
 REACH = 200
 #: An identifier that is too short for the base, or an id that is named as one.
-IDENTIFIER = re.compile(r"""AKIA[A-Z0-9]{8,13}(?![A-Z0-9])|(?ai:client|account|access|user)[_-]?(?ai:id|key)["']?\x20{0,4}[:=]\x20{0,4}["']?(?P<value>[A-Za-z0-9_-]{4,64})""")
+IDENTIFIER = re.compile(r"""AKIA[A-Z0-9]{8,13}(?![A-Z0-9])|(?ai:client|account|access|user)[_-]?(?ai:id|key)["']?\x20{0,4}[:=]\x20{0,4}["']?(?P<value>[A-Za-z0-9_-]{4,})""")
 NAMES = ("client", "account", "access", "user")
-#: A run that may be a secret: letters and digits mixed.
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_-])")
-ENDPOINT = re.compile(r"(?:https?|s3|redis|postgres(?:ql)?|mysql|mongodb|amqps?)://[^\s\"'<>]{3,256}")
+#: A whole run that may be a secret, if letters and digits are mixed; possessive, so a run is passed over once.
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_-])")
+ENDPOINT = re.compile(r"(?:https?|s3|redis|postgres(?:ql)?|mysql|mongodb|amqps?)://[^\s\"'<>]{3,}")
 DIGIT = re.compile(r"[0-9]")
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -68,7 +68,7 @@ def weak_parts(text: str, base: list[Span]) -> list[Span]:
     if DIGIT.search(text):
         for m in OPAQUE.finditer(text):
             value = m[0]
-            if len(Counter(value)) >= 10 and any(c.islower() for c in value) and any(c.isupper() for c in value) and named.free(*m.span()):
+            if DIGIT.search(value) and len(Counter(value)) >= 10 and any(c.islower() for c in value) and any(c.isupper() for c in value) and named.free(*m.span()):
                 found.append(("opaque", *m.span()))
     return sorted((f for f in found if taken.free(f[1], f[2])), key=lambda f: f[1])
 
