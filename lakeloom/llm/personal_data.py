@@ -93,7 +93,8 @@ WORD_BEFORE = re.compile(r"([A-Za-z]{2,12})[^A-Za-z0-9]{0,4}$")
 
 def stretches(text: str) -> list[tuple[str, int, int]]:
     found = [("n", *m.span()) for m in NUMERIC.finditer(text)] if ANY_DIGIT.search(text) else []
-    if " at " in text or "at]" in text or "at)" in text or "at}" in text:
+    low = text.lower()  # only to tell quickly that no written-out address is there
+    if " at " in low or "at]" in low or "at)" in low or "at}" in low:
         found += [("w", *m.span()) for m in WRITTEN.finditer(text)]
     return found
 
