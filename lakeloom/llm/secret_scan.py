@@ -79,27 +79,28 @@ ROLE = {"assign": "opaque", "access": "identifier", "hex": "opaque"}
 def linked(text: str, base: list[Span]) -> list[Span]:
     """The weak parts that have a complementary part within reach and scope.
 
-    An interval join: parts are sorted by start and each looks at those whose start lies in its widened
-    interval; per role only the nearest part on either side can decide, so a crowd of parts costs no more.
+    An interval join: parts are sorted by start, with the running maximum of their ends per role and scope. Of the
+    parts that start before the widened interval's end, that maximum tells whether one ends after its start.
     """
     weak = weak_parts(text, base)
     if not weak:
         return []
     cuts = [m.start() for m in BLANK.finditer(text)]
-    at: dict[str, tuple[list[int], list[int]]] = {}
+    at: dict[str, tuple[list[int], list[int], list[int]]] = {}
     for kind, s, e in sorted(base + weak, key=lambda f: f[1]):
-        starts, ends = at.setdefault(ROLE.get(kind, kind), ([], []))
+        starts, tops, scopes = at.setdefault(ROLE.get(kind, kind), ([], [], []))
+        scope = bisect.bisect_right(cuts, s)
+        tops.append(max(e, tops[-1]) if scopes and scopes[-1] == scope else e)
         starts.append(s)
-        ends.append(e)
+        scopes.append(scope)
     found = []
     for kind, s, e in weak:
         scope = bisect.bisect_right(cuts, s)
-        for role, (starts, ends) in at.items():
+        for role, (starts, tops, scopes) in at.items():
             if role == kind:
                 continue
-            i = bisect.bisect_left(starts, s)
-            near = [j for j in (i - 1, i) if 0 <= j < len(starts) and starts[j] <= e + REACH and ends[j] >= s - REACH]
-            if any(bisect.bisect_right(cuts, starts[j]) == scope for j in near):
+            j = min(bisect.bisect_right(starts, e + REACH), bisect.bisect_right(scopes, scope)) - 1
+            if j >= 0 and scopes[j] == scope and tops[j] >= s - REACH:
                 found.append((kind, s, e))
                 break
     return found
