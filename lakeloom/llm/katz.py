@@ -354,21 +354,33 @@ class Tables:
     unseen: float
 
 
+def removed(table: DataFrame) -> None:
+    """The folder of a written table is deleted; no later step reads it."""
+    jvm = table.sparkSession._jvm
+    files = table.inputFiles()
+    if files:
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def train_tables(train: DataFrame) -> Tables:
     counts = written(count_words(train), "unigrams")
     total, types, of = few_counts(counts)
     p1 = taken_off(F.col("n"), *discounts(of)) / F.lit(total + 1.0)
     words = written(counts.select(F.xxhash64("word").alias("w"), "n", p1.alias("p1")), "words")
     unseen = 1 - (words.agg(F.sum("p1")).first()[0] or 0.0)
-    pairs = written(count_word_bigrams(train), "bigram-counts")
-    pairs = pairs.withColumn("left", taken_off(F.col("n"), *discounts(few_counts(pairs)[2])))
+    counted = written(count_word_bigrams(train), "bigram-counts")
+    pairs = counted.withColumn("left", taken_off(F.col("n"), *discounts(few_counts(counted)[2])))
     pairs = written(pairs.join(words.select("w", F.col("n").alias("n1"), "p1"), "w"), "bigram-words")
+    removed(counted)
     sums = pairs.groupBy("b").agg(F.sum("n").alias("total"), F.sum("left").alias("kept"), F.sum("p1").alias("lower"))
     below = F.when(F.col("total") - F.col("kept") < 1e-9, F.col("total") + 1.0).otherwise(F.col("total").cast("double"))
     sums = sums.withColumn("below", below)
     alpha = F.log10((1 - F.col("kept") / F.col("below")) / (1 - F.col("lower")))
     contexts = written(sums.select("b", "below", alpha.alias("alpha")), "contexts")
     bigrams = written(pairs.join(contexts, "b").select("b", "w", F.log10(F.col("left") / F.col("below")).alias("p"), F.col("n1").alias("n")), "bigrams")
+    removed(pairs)
+    removed(counts)
     return Tables(words, bigrams, contexts.select("b", "alpha"), total, types, unseen)
 
 
