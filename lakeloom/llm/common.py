@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +28,50 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="lakeloom-"))
 
 
+#: Folders of intermediate tables that this process has written and not deleted, the oldest first.
+_WRITTEN: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lakeloom/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/lakeloom/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(at)
+    return at
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and safe from lost executors."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and safe from lost executors. by: a column that parts its files."""
     at = fresh_path(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    (df.write.partitionBy(by) if by else df.write).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at).select(df.columns)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.remove(at)
+
+
+def removed(table: DataFrame) -> None:
+    """A table that written() gave is deleted; nothing that is computed later may read it."""
+    files = table.inputFiles()
+    for at in [x for x in _WRITTEN if files and f"/{x.rsplit('/', 1)[-1]}/" in files[0]]:
+        _delete(table.sparkSession, at)
+
+
+@contextmanager
+def swept(spark: SparkSession, keep: int = 0):
+    """Tables written inside are deleted at the end, but for the last `keep`: for callers who have written what they return."""
+    before = set(_WRITTEN)
+    yield
+    made = [x for x in _WRITTEN if x not in before]
+    for at in made[: len(made) - keep]:
+        _delete(spark, at)
+
+
+def released(spark: SparkSession) -> None:
+    """The driver collects its garbage, so that Spark deletes shuffle files of finished steps now and not at its next half hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Rows of documents that an Arrow batch holds, where the session keeps Spark's own 10,000.
@@ -48,10 +85,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(ROWS_AT_ONCE))
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, a null text as empty; other columns can't clash with ours."""
+def texts(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id and text alone (and the columns named), a null text as empty; other columns can't clash with ours."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -1,34 +1,36 @@
 """Language-model scores by a Katz backoff model with Good-Turing discounts.
 
 Training counts every token of every training text: words (lower-cased A-Z, split at ASCII white space) and
-one end for each text. Counts are gathered in each task, shuffled as sums and kept in tables in the shared
-folder: unigrams (all words) and bigrams, the latter partitioned by their context.
+one end for each text; and every pair of a word and the one before it, over all words.
 
-Bigrams are over words, all of them: the tables grow with the corpus and are looked up by joins, never gathered.
-
-    P(w | b) = d(n) n / n(b) where the bigram b w occurs, else alpha(b) P(w)
+    P(w | b) = d(n) n / n(b) where the pair b w occurs, else alpha(b) P(w)
     P(w) = d(n) n / (N + 1), and what the discounts leave is that of one unseen word, which stands for all
 
 d are Good-Turing discounts for counts up to 5 (absolute discounts where the counts of counts allow none), of
-bigrams and of words; a context whose bigrams lose nothing counts one more, so that something is left to back
-off to; alpha makes the words after each context sum to one. A context that was not seen backs off with weight
+pairs and of words; a context whose pairs lose nothing counts one more, so that something is left to back off
+to; alpha makes the words after each context sum to one. A context that was not seen backs off with weight
 one. The context of a text's first token is an end.
 
-In the tables a word is its 64-bit hash. A document's distinct bigrams are joined with the bigram table, which
-holds their logarithms and the words' counts; only those that training lacks go on to the tables of contexts
-and words.
-
-train_model and score are an older bigram model over at most CLASSES classes of words; no query uses it.
+How it is dealt out. Texts are cut into blocks of about TOKENS tokens, written as numbers of the block's own
+vocabulary. A block asks for the counts of its distinct words and pairs, each once, and says how often its
+training texts hold them; the questions go to buckets, ranges of the 64-bit hash of a word or pair, which add
+up what all blocks say, write the sums as tables (a row for each bucket, its keys in order) and answer each
+block. So no word or context is hot, however common, and nothing is gathered in one place. What contexts need
+for alpha are whole numbers (how many followers occur how often), summed in the same way: one block alone,
+the first that holds a pair, counts it as a follower. New texts are scored by the same steps, with the rows
+of the tables among the questions.
 
 Defined cases: a null text is the empty text, whose one token is its end; without training texts N and V
 are 0 and every token is unseen; rows that repeat a doc_id give a row each; a null doc_id is not trained on
-and not held out; other columns are not read.
+and not held out; an empty table gives no rows; a text of more than TOKENS tokens is a block of its own,
+read whole; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import crc_mod, fresh_path, held_out, read, texts, utf8, written
+from lakeloom.llm.common import crc_mod, held_out, read, released, removed, texts, utf8, written
 
-CLASSES, FREQUENT, PARTS = 2048, 1 << 16, 16
 LAST_DISCOUNTED = 5
 #: No word holds white space, so this can't be one.
 END = b"\n"
-#: Words that a task counts before it hands its sums on, and bytes that are scored together.
-HELD, BLOCK = 400_000, 1_000_000
+#: Tokens of a block, questions to a bucket (as far as blocks' tokens tell), and buckets for each task at least.
+TOKENS, ROOM, SPREAD = 2_000_000, 1_000_000, 4
+HASH_SEED = 42
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -52,26 +54,6 @@ def tokens(text: bytes) -> list[bytes]:
     return out
 
 
-def count_words(train: DataFrame) -> DataFrame:
-    """word, n over all texts of train."""
-
-    def rows(batches):
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-
-        counts: Counter = Counter()
-        for batch in batches:
-            for x in utf8(batch.column(1)):
-                counts.update(tokens(x.as_py()))
-                if len(counts) > HELD:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
-
-    return train.mapInArrow(rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 def discounts(of: dict[int, int]) -> tuple[np.ndarray, float]:
     """Good-Turing factors d[1:] for counts 1 to LAST_DISCOUNTED from counts of counts; and an absolute discount for all counts, 0 if the factors hold."""
     k = LAST_DISCOUNTED
@@ -94,330 +76,446 @@ def discounted(n: np.ndarray, d: np.ndarray, absolute: float) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    """counts: FREQUENT commonest words and theirs, commonest first; classes 1, 2 ... are the first of them. Logs to base 10."""
+class Counts:
+    """What all buckets of words, or of pairs, hold together: the sum, how many there are, and how many occur 1, 2 ... 6 times."""
 
-    words: dict[bytes, int]
-    counts: np.ndarray
     total: int
     types: int
-    d: np.ndarray
-    absolute: float
-    rest: int
-    unseen: float
-    unigram: np.ndarray
-    seen: np.ndarray
-    alpha: np.ndarray
-
-    def class_of(self, index: np.ndarray) -> np.ndarray:
-        """Of places in words; -1 (another word) and places beyond the classes are class 0."""
-        return np.where((index >= 0) & (index < len(self.unigram) - 1), index + 1, 0)
-
-    def bigram(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-        """log P(class | class before): the bigram if it occurred, else backed off to the class alone."""
-        out = self.seen[before, now].astype(np.float64)
-        miss = np.isnan(out)
-        out[miss] = self.alpha[before[miss]] + self.unigram[now[miss]]
-        return out
-
-    def in_rest(self, n: np.ndarray) -> np.ndarray:
-        """log P(word | shared class) by the word's count; 0: unseen."""
-        with np.errstate(divide="ignore"):
-            known = np.log10(discounted(n, self.d, self.absolute) / (self.rest + 1))
-        return np.where(np.asarray(n) > 0, known, np.log10(self.unseen))
-
-    def first(self) -> int:
-        """The class before a text: that of the end, if it is one."""
-        return int(self.class_of(np.array([self.words.get(END, -1)]))[0])
-
-
-def bigram_tables(pairs: np.ndarray, n: np.ndarray, unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of the discounted bigrams (NaN: unseen) and of each context's backoff weight."""
-    k = len(unigram)
-    d, absolute = discounts(dict(zip(*(x.tolist() for x in np.unique(n, return_counts=True)), strict=True)))
-    table = np.zeros((k, k))
-    table[pairs // k, pairs % k] = n
-    totals = table.sum(axis=1, keepdims=True)
-    hit = table > 0
-    p = np.where(hit, discounted(table, d, absolute), 0) / np.maximum(totals, 1)
-    left, room = 1 - p.sum(axis=1), 1 - np.where(hit, unigram[None, :], 0).sum(axis=1)
-    closed = hit.all(axis=1) | (room < 1e-12)  # nothing to back off to
-    p[closed] /= np.maximum(p[closed].sum(axis=1, keepdims=True), 1e-300)
-    with np.errstate(divide="ignore"):
-        seen = np.where(hit, np.log10(p), np.nan).astype(np.float32)
-        # the weight is taken from what is stored, so that rounding to 32 bits leaves the sums exact
-        left = 1 - np.where(hit, 10.0 ** seen.astype(np.float64), 0).sum(axis=1)
-        alpha = np.where(closed, -np.inf, np.log10(np.maximum(left, 1e-300) / np.where(closed, 1, room)))
-    return seen, alpha
+    few: list[int]
 
+    def discounts(self) -> tuple[np.ndarray, float]:
+        return discounts({r + 1: n for r, n in enumerate(self.few)})
 
-def count_bigrams(train: DataFrame, words: dict[bytes, int], classes: int) -> DataFrame:
-    """pair (class before * classes + class), n over all texts of train."""
-    top = {w: i + 1 for w, i in words.items() if i < classes - 1}
-    shared = train.sparkSession.sparkContext.broadcast(top)  # under CLASSES words
 
-    def rows(batches):
-        get, start = shared.value.get, shared.value.get(END, 0)
-
-        def out():
-            pair, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], names=["pair", "n"])
-
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            for x in utf8(batch.column(1)):
-                some = tokens(x.as_py())
-                ids = np.fromiter((get(w, 0) for w in some), np.int64, len(some))
-                held.append(np.r_[start, ids[:-1]] * classes + ids)
-                size += len(ids)
-                if size > 4_000_000:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-
-    return train.mapInArrow(rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def train_model(train: DataFrame, classes: int = CLASSES, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
-    """train: doc_id, text. The model, and the table of all words' counts."""
-    spark = train.sparkSession
-    unigrams = written(count_words(train), "unigrams")
-    few = [F.sum((F.col("n") == r).cast("long")) for r in range(1, LAST_DISCOUNTED + 2)]
-    total, types, *few = (x or 0 for x in unigrams.agg(F.sum("n"), F.count(F.lit(1)), *few).first())
-    rows = unigrams.orderBy(F.desc("n"), "word").limit(frequent).collect()
-    words = {bytes(r.word): i for i, r in enumerate(rows)}
-    counts = np.array([r.n for r in rows], np.int64)
-    own = counts[: classes - 1]
-    of = {r + 1: int(n) - int((own == r + 1).sum()) for r, n in enumerate(few)}
-    rest = int(total - own.sum())
-    d, absolute = discounts(of)
-    low = sum(r * of[r] for r in range(1, LAST_DISCOUNTED + 1))
-    mass = sum(of[r] * r * d[r] for r in range(1, LAST_DISCOUNTED + 1)) + (rest - low) - absolute * (types - len(own))
-    unigram = np.log10(np.r_[rest + 1, own] / (total + 1))
-    path = fresh_path(spark, "bigrams")
-    k = len(unigram)
-    count_bigrams(train, words, k).withColumn("part", (F.col("pair") / F.lit(k) * F.lit(PARTS) / F.lit(k)).cast("int")).write.partitionBy("part").parquet(path)
-    table = spark.read.schema("pair long, n long, part int").parquet(path).select("pair", "n").toArrow()  # at most CLASSES squared rows
-    seen, alpha = bigram_tables(table["pair"].to_numpy(), table["n"].to_numpy(), 10.0**unigram)
-    return Model(words, counts, int(total), int(types), d, absolute, rest, (rest + 1 - mass) / (rest + 1), unigram, seen, alpha), unigrams
-
-
-def score(docs: DataFrame, model: Model, unigrams: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed sizes: about 20 MB
-    below = float(np.log10(model.total + model.types + 1))
+@dataclass
+class Tables:
+    """counts: kind (words, pairs), bucket, keys, counts; contexts: bucket, keys, followers, alpha (see unfolded); buckets of each kind."""
+
+    counts: DataFrame
+    contexts: DataFrame | None
+    buckets: dict[str, int]
+    words: Counts
+    pairs: Counts
+
+    @property
+    def unseen(self) -> float:
+        """P of the unseen word."""
+        (d, absolute), w = self.words.discounts(), self.words
+        taken = sum((1 - d[r]) * r * w.few[r - 1] for r in range(1, LAST_DISCOUNTED + 1)) + absolute * w.types
+        return (taken + 1) / (w.total + 1)
+
+
+# Numbers in few bytes
+
+HEAD = Struct("<IB")
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers, or the bits of others, byte by byte of all of them, compressed; bytes that are 0 everywhere at the top are left."""
+    x = np.ascontiguousarray(x)
+    if x.dtype.itemsize < 8:
+        x = x.astype(np.uint64)
+    planes = x.view(np.uint8).reshape(-1, 8).T
+    k = 8
+    while k and not planes[k - 1].any():
+        k -= 1
+    return HEAD.pack(len(x), k) + pa.compress(np.ascontiguousarray(planes[:k]).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, k = HEAD.unpack_from(data)
+    out = np.zeros((n, 8), np.uint8)
+    if n and k:
+        out[:, :k] = np.frombuffer(pa.decompress(data[HEAD.size :], n * k, "zstd", asbytes=True), np.uint8).reshape(k, n).T
+    return out.reshape(-1).view(np.uint64)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Keys in order, as differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that are in order of their first columns, by those."""
+    held, now = [], None
+    for batch in batches:
+        columns = batch.columns
+        for i in range(batch.num_rows):
+            row = tuple(c[i].as_py() for c in columns)
+            if held and row[:keys] != now:
+                yield now, held
+                held = []
+            now = row[:keys]
+            held.append(row[keys:])
+    if held:
+        yield now, held
+
+
+def batch_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def fields(**kinds) -> pa.Schema:
+    return pa.schema(list(kinds.items()))
+
+
+LONG, BYTES, INT, TEXT = pa.int64(), pa.binary(), pa.int32(), pa.string()
 
-    def rows(batches):
-        m = shared.value
-        get, first = m.words.get, m.first()
-        class_of = m.class_of(np.arange(len(m.words) + 1) - 1)  # by place + 1
-        base_of = np.r_[0.0, np.log10(m.counts + 1.0) - below]
-        own_of = np.r_[0.0, np.where(class_of[1:] == 0, m.in_rest(m.counts), 0.0)]
-        for batch in batches:
-            n, sums, rare_words, rare_n, rare_size, some, held, done = [], [], [], [], [], [], 0, 0
-            column = utf8(batch.column(2))
-            for k, x in enumerate(column):
-                some.append(tokens(x.as_py()))
-                held += len(some[-1])
-                if held * 8 < BLOCK and k + 1 < batch.num_rows:
-                    continue
-                sizes = np.array([len(t) for t in some], np.int64)
-                ids = np.fromiter((get(w, -1) for t in some for w in t), np.int64, int(sizes.sum())) + 1
-                starts = np.cumsum(sizes) - sizes
-                now = class_of[ids]
-                before = np.r_[first, now[:-1]]
-                before[starts] = first
-                per = [(ids > 0).astype(np.float64), base_of[ids], own_of[ids] + m.bigram(before, now)]
-                sums.append(np.stack([np.add.reduceat(p, starts) for p in per], axis=1))
-                n.append(sizes)
-                for i in np.flatnonzero(np.add.reduceat((ids == 0).astype(np.int64), starts)).tolist():
-                    at = np.flatnonzero(ids[starts[i] : starts[i] + sizes[i]] == 0).tolist()
-                    counts = Counter(map(some[i].__getitem__, at))
-                    rare_words += counts.keys()
-                    rare_n += counts.values()
-                    rare_size.append((done + i, len(counts)))
-                done += len(some)
-                some, held = [], 0
-            sizes, sums = np.concatenate([np.zeros(0, np.int64), *n]), np.concatenate([np.zeros((0, 3)), *sums])
-            per_row = np.zeros(len(sizes), np.int64)
-            for i, c in rare_size:
-                per_row[i] = c
-            structs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_n, pa.int32())], names=["word", "k"])
-            rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_row)].astype(np.int32)), structs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), *(pa.array(c) for c in sums.T), rare], names=["row", "doc_id", "n_tokens", "known", "base", "own", "rare"])
-
-    numbered = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    local = written(numbered.mapInArrow(rows, "row long, doc_id long, n_tokens long, known double, base double, own double, rare array<struct<word binary, k int>>"), "local-scores")
-    other = local.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
-    c = F.coalesce("n", F.lit(0))
-    in_rest = F.when(c == 0, F.lit(float(np.log10(model.unseen))))
-    for r in range(1, LAST_DISCOUNTED + 1):
-        in_rest = in_rest.when(c == r, F.lit(float(model.in_rest(np.array([r]))[0])))
-    in_rest = in_rest.otherwise(F.log10((c - F.lit(model.absolute)) / F.lit(float(model.rest + 1))))
-    sums = other.join(unigrams, "word", "left").groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("k") * (F.log10(c + 1.0) - F.lit(below))).alias("more_base"),
-        F.sum(F.col("k") * in_rest).alias("more_own"),
-    )
-    zero = lambda name: F.coalesce(name, F.lit(0.0))
-    return local.drop("rare").join(sums, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("known").cast("long") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("more_base")).alias("base_score"),
-        (F.col("own") + zero("more_own")).alias("score"),
-    )
-
-
-#: The hash of a word in the tables of bigrams, the same as Spark's.
-HASH_SEED = 42
 
+# Blocks
 
-def word_ids(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, HASH_SEED) for w in words), np.uint64, len(words)).view(np.int64)
+BLOCK = fields(block=LONG, docs=pa.list_(LONG), train=BYTES, sizes=BYTES, words=BYTES, tokens=BYTES, n_tokens=LONG, n_words=LONG)
+BLOCK_SQL = "block long, docs array<long>, train binary, sizes binary, words binary, tokens binary, n_tokens long, n_words long"
 
 
-def bigrams_of(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """before, word (their hashes), and each text's number of tokens; an end stands before each text."""
-    some = [tokens(x) for x in texts_]
-    ids: dict[bytes, int] = {}
-    at = np.fromiter((ids.setdefault(w, len(ids)) for t in some for w in t), np.int64)
-    word = word_ids(list(ids))[at]
-    sizes = np.array([len(t) for t in some], np.int64)
-    before = np.r_[word_ids([END]), word[:-1]]  # each text ends with an end, so one stands before the next
-    return before, word, sizes
+class Numbers(dict):
+    """A number for each word, in order of arrival."""
 
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
-def summed(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows of keys and how often they occur."""
-    order = np.lexsort(keys)
-    keys = [k[order] for k in keys]
-    first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
-    return [k[first] for k in keys], np.diff(np.r_[first, len(order)])
 
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, doc_id, text, train). A block's words are its own, the commonest first."""
+    number, docs, train, some, first, n = Numbers(), [], [], [], None, 0
 
-def count_word_bigrams(train: DataFrame) -> DataFrame:
-    """b, w (hashes of words), n over all texts of train."""
+    def out():
+        ids = np.concatenate(some)
+        order = np.argsort(-np.bincount(ids), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        names = list(number)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(names[i], HASH_SEED) for i in order.tolist()), np.uint64, len(order))
+        sizes = np.array([len(x) for x in some])
+        return batch_of(BLOCK, [(first, docs, packed(np.array(train, np.uint64)), packed(sizes), hashes.tobytes(), packed(rank[ids]), len(ids), len(hashes))])
+
+    for batch in batches:
+        rows, ids, column, flags = batch.column(0), batch.column(1), utf8(batch.column(2)), batch.column(3)
+        for i in range(batch.num_rows):
+            words = tokens(column[i].as_py())
+            if first is None:
+                first = rows[i].as_py()
+            some.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+            docs.append(ids[i].as_py())
+            train.append(bool(flags[i].as_py()))
+            n += len(words)
+            if n >= TOKENS:
+                yield out()
+                number, docs, train, some, first, n = Numbers(), [], [], [], None, 0
+    if some:
+        yield out()
+
+
+class Block:
+    """A block's tokens and its distinct words and pairs, in order of their keys."""
+
+    def __init__(self, train: bytes, sizes: bytes, words: bytes, tokens_: bytes):
+        self.sizes = unpacked(sizes).astype(np.int64)
+        self.token = unpacked(tokens_).astype(np.int64)
+        self.train = np.repeat(unpacked(train) > 0, self.sizes)
+        self.word = np.frombuffer(words, np.uint64)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        # each text ends with an end, so one stands before the next
+        self.before = np.r_[self.token[-1:], self.token[:-1]]
+        self.word_order = np.argsort(self.word, kind="stable")
+        codes, self.pair = np.unique(self.before * len(self.word) + self.token, return_inverse=True)
+        self.pair_before, self.pair_word = codes // len(self.word), codes % len(self.word)
+        key = self.word[self.pair_before] * np.uint64(0x9E3779B97F4A7C15) + self.word[self.pair_word]
+        key ^= key >> np.uint64(32)
+        self.pair_key = key * np.uint64(0xD6E8FEB86659FD93)
+        self.pair_order = np.argsort(self.pair_key, kind="stable")
+
+    def asked(self) -> list[tuple[str, np.ndarray, np.ndarray]]:
+        """kind, keys in order, and how often the training texts hold them."""
+        n_words = np.bincount(self.token[self.train], minlength=len(self.word))
+        n_pairs = np.bincount(self.pair[self.train], minlength=len(self.pair_key))
+        return [("words", self.word[self.word_order], n_words[self.word_order]), ("pairs", self.pair_key[self.pair_order], n_pairs[self.pair_order])]
+
+
+def in_buckets(keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """bucket, start, end: n equal ranges of keys."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    return list(zip(bucket[bounds[:-1]].tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+
+
+# Counts
+
+ASKED = fields(kind=TEXT, bucket=INT, block=LONG, keys=BYTES, counts=BYTES)
+ASKED_SQL = "kind string, bucket int, block long, keys binary, counts binary"
+SUMMED = fields(kind=TEXT, bucket=INT, block=LONG, keys=BYTES, counts=BYTES, total=LONG, types=LONG, few=pa.list_(LONG))
+SUMMED_SQL = ASKED_SQL + ", total long, types long, few array<long>"
+#: The block that rows of a table come under.
+TABLE = -1
+
+
+def asking(buckets: dict[str, int], learn: bool):
+    """Questions of blocks; learn: with their own counts."""
 
     def rows(batches):
-        def out():
-            (b, w), n = summed([np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])])
-            return pa.RecordBatch.from_arrays([pa.array(b), pa.array(w), pa.array(n)], names=["b", "w", "n"])
-
-        held, size, some, some_size = [], 0, [], 0
-        for batch in batches:
-            for x in utf8(batch.column(1)):
-                some.append(x.as_py())
-                some_size += len(some[-1])
-                if some_size > BLOCK:
-                    held.append(bigrams_of(some)[:2])
-                    size += len(held[-1][0])
-                    some, some_size = [], 0
-                if size > 4_000_000:
-                    yield out()
-                    held, size = [], 0
-        if some:
-            held.append(bigrams_of(some)[:2])
-        if held:
-            yield out()
-
-    return train.mapInArrow(rows, "b long, w long, n long").groupBy("b", "w").agg(F.sum("n").alias("n"))
-
-
-def taken_off(n, d: np.ndarray, absolute: float):
-    """Column: the discounted count of n."""
-    out = F.when(n == 1, F.lit(float(d[1])))
-    for r in range(2, LAST_DISCOUNTED + 1):
-        out = out.when(n == r, F.lit(r * float(d[r])))
-    return out.otherwise(n.cast("double")) - F.lit(float(absolute))
-
-
-def few_counts(table: DataFrame) -> tuple[int, int, dict[int, int]]:
-    """The sum of n, the rows, and the counts of small counts."""
-    few = [F.sum((F.col("n") == r).cast("long")) for r in range(1, LAST_DISCOUNTED + 2)]
-    total, rows, *few = (x or 0 for x in table.agg(F.sum("n"), F.count(F.lit(1)), *few).first())
-    return int(total), int(rows), {r + 1: int(n) for r, n in enumerate(few)}
+        for (name,), ((train, sizes, words, tokens_),) in rows_of(batches, 1):
+            for kind, keys, counts in Block(train, sizes, words, tokens_).asked():
+                said = counts if learn else np.zeros_like(counts)
+                out = [(kind, b, name, packed_keys(keys[s:e]), packed(said[s:e])) for b, s, e in in_buckets(keys, buckets[kind])]
+                yield batch_of(ASKED, out)
 
+    return rows
 
-@dataclass
-class Tables:
-    """words: w, n, p1; bigrams: b, w, p (log), n (of the word); contexts: b, alpha (log). unseen: P of the unseen word."""
 
-    words: DataFrame
-    bigrams: DataFrame
-    contexts: DataFrame
-    total: int
-    types: int
-    unseen: float
+def summing(learn: bool):
+    """Rows (kind, bucket, block, keys, counts) by kind and bucket: an answer for each block and, to learn, the bucket's table.
 
+    Of each key an answer holds twice its count, and one more for the first block that counted it.
+    """
 
-def removed(table: DataFrame) -> None:
-    """The folder of a written table is deleted; no later step reads it."""
-    jvm = table.sparkSession._jvm
-    files = table.inputFiles()
-    if files:
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    def rows(batches):
+        for (kind, bucket), some in rows_of(batches, 2):
+            parts = [unpacked_keys(r[1]) for r in some]
+            keys, said = np.concatenate(parts), np.concatenate([unpacked(r[2]) for r in some])
+            order = np.argsort(keys, kind="stable")
+            keys, said = keys[order], said[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            sums = np.add.reduceat(said, first)
+            group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))
+            counted = np.flatnonzero(said)
+            own = counted[np.r_[True, group[counted][1:] != group[counted][:-1]][: len(counted)]]
+            answer = sums[group] * np.uint64(2)
+            answer[own] += np.uint64(1)
+            back = np.empty_like(answer)
+            back[order] = answer
+            out = []
+            if learn:
+                held = sums > 0
+                few = np.bincount(np.minimum(sums, LAST_DISCOUNTED + 2).astype(np.int64), minlength=LAST_DISCOUNTED + 3)
+                out.append((kind, bucket, TABLE, packed_keys(keys[first][held]), packed(sums[held]), int(sums.sum()), int(held.sum()), few[1 : LAST_DISCOUNTED + 2].tolist()))
+            at = np.cumsum([len(p) for p in parts])
+            out += [(f"{kind} answered", bucket, r[0], None, packed(back[e - len(p) : e]), None, None, None) for r, p, e in zip(some, parts, at, strict=True) if r[0] != TABLE]
+            yield batch_of(SUMMED, out)
+
+    return rows
+
+
+def dealt(rows: DataFrame, *by: str, then: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that are equal in `by` together and in order."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *by).sortWithinPartitions(*by, *then)
+
+
+def counts_of(table: DataFrame, kind: str) -> Counts:
+    few = [F.sum(F.col("few")[r]) for r in range(LAST_DISCOUNTED + 1)]
+    total, types, *few = (int(x or 0) for x in table.where(F.col("kind") == kind).agg(F.sum("total"), F.sum("types"), *few).first())
+    return Counts(total, types, few)
+
+
+# Scores but for backoff weights, and what contexts need
+
+#: Whole numbers of a context: followers that occur after it 1 to 5 times, all followers, their sum; followers that occur anywhere 1 to 5 times, and the sum of the others' counts.
+FOLLOWERS = 2 * LAST_DISCOUNTED + 3
+PART = fields(kind=TEXT, bucket=INT, block=LONG, keys=BYTES, followers=pa.list_(BYTES), wanted=BYTES, docs=pa.list_(LONG), sums=pa.list_(BYTES), open=pa.list_(BYTES))
+PART_SQL = "kind string, bucket int, block long, keys binary, followers array<binary>, wanted binary, docs array<long>, sums array<binary>, open array<binary>"
+
+
+def followers(block: Block, n_word: np.ndarray, n_pair: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """FOLLOWERS numbers for each word of the block as a context, over the pairs that this block counts for all."""
+    b, n, m = block.pair_before[own], n_pair[own], n_word[block.pair_word[own]]
+    size = len(block.word)
+    out = np.zeros((FOLLOWERS, size), np.int64)
+    for r in range(1, LAST_DISCOUNTED + 1):
+        out[r - 1] = np.bincount(b[n == r], minlength=size)
+        out[LAST_DISCOUNTED + 1 + r] = np.bincount(b[m == r], minlength=size)
+    out[LAST_DISCOUNTED] = np.bincount(b, minlength=size)
+    np.add.at(out[LAST_DISCOUNTED + 1], b, n)
+    np.add.at(out[-1], b[m > LAST_DISCOUNTED], m[m > LAST_DISCOUNTED])
+    return out
+
+
+def weights(f: np.ndarray, words: Counts, pairs: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of alpha and of the factor that pairs seen after the context get besides, from a context's numbers; a context without followers: 0."""
+    k = LAST_DISCOUNTED
+    (d1, absolute1), (d2, absolute2) = words.discounts(), pairs.discounts()
+    r = np.arange(1, k + 1)
+    total = f[k + 1].astype(float)
+    lost = ((1 - d2[1:]) * r) @ f[:k] + absolute2 * f[k]
+    more = (lost < 1e-9) & (total > 0)
+    below = np.maximum(total + more, 1)
+    lower = (d1[1:] * r) @ f[k + 2 : 2 * k + 2] + f[-1] - absolute1 * f[k]
+    with np.errstate(divide="ignore"):
+        alpha = np.log10((lost + more) / below) - np.log10((words.total + 1 - lower) / (words.total + 1))
+    return np.where(total > 0, alpha, 0.0), np.where(more, np.log10(np.maximum(total, 1) / below), 0.0)
+
+
+def scoring(words: Counts, pairs: Counts, unseen: float, buckets: int):
+    """Blocks with the answers to them: each document's sums, its open places, and the contexts' numbers."""
+    below = float(np.log10(words.total + words.types + 1))
+
+    def rows(batches):
+        (d1, absolute1), (d2, absolute2) = words.discounts(), pairs.discounts()
+        for (name,), parts in rows_of(batches, 1):
+            mine = next(p for p in parts if p[0] == "block")
+            answers = {k: np.concatenate([unpacked(p[2]) for p in parts if p[0] == k]).astype(np.int64) for k in ("words answered", "pairs answered")}
+            docs, block = mine[3], Block(*mine[4:8])
+            n_word, n_pair = np.empty(len(block.word), np.int64), np.empty(len(block.pair_key), np.int64)
+            n_word[block.word_order] = answers["words answered"] >> 1
+            n_pair[block.pair_order] = answers["pairs answered"]
+            own, n_pair = (n_pair & 1) > 0, n_pair >> 1
+            n = len(docs)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                alone = np.where(n_word > 0, np.log10(discounted(n_word, d1, absolute1) / (words.total + 1)), np.log10(unseen))
+                seen = n_pair > 0
+                p = np.where(seen, np.log10(discounted(n_pair, d2, absolute2) / n_word[block.pair_before]), alone[block.pair_word])
+            known = np.bincount(block.doc, n_word[block.token] > 0, n)
+            base = np.bincount(block.doc, (np.log10(n_word + 1.0) - below)[block.token], n)
+            sums = [packed(block.sizes), packed(known.astype(np.int64)), packed(base), packed(np.bincount(block.doc, p[block.pair], n))]
+
+            # open: tokens that back off from a known context, and seen ones after a context whose pairs may lose nothing
+            least = np.full(len(block.word), np.iinfo(np.int64).max)
+            np.minimum.at(least, block.pair_before[seen], n_pair[seen])
+            lossless = least > LAST_DISCOUNTED if not absolute2 else np.zeros(len(block.word), bool)
+            backs = (~seen & (n_word[block.pair_before] > 0))[block.pair]
+            may = (seen & lossless[block.pair_before])[block.pair]
+            at = np.flatnonzero(backs | may)
+            codes, where = np.unique(block.doc[at] * len(block.word) + block.before[at], return_inverse=True)
+            of_doc, context = codes // len(block.word), codes % len(block.word)
+            wanted = np.zeros(len(block.word), bool)
+            wanted[context] = True
+            place = np.cumsum(wanted[block.word_order]) - 1  # among the wanted ones, in order of their keys
+            of_word = np.empty(len(block.word), np.int64)
+            of_word[block.word_order] = place
+            backed = np.bincount(where, backs[at], len(codes)).astype(np.int64)
+            maybe = np.bincount(where, may[at], len(codes)).astype(np.int64)
+            opened = [packed(np.diff(of_doc, prepend=0)), packed(of_word[context]), packed(backed), packed(maybe)]
+            yield batch_of(PART, [("documents", None, name, None, None, None, docs, sums, opened)])
+
+            numbers = followers(block, n_word, n_pair, own)
+            told = block.word_order[((numbers[LAST_DISCOUNTED] > 0) | wanted)[block.word_order]]
+            keys, numbers, wanted = block.word[told], numbers[:, told], wanted[told]
+            out = [("contexts", b, name, packed_keys(keys[s:e]), [packed(x[s:e]) for x in numbers], packed(wanted[s:e]), None, None, None) for b, s, e in in_buckets(keys, buckets)]
+            yield batch_of(PART, out)
+
+    return rows
+
+
+CONTEXTS = fields(kind=TEXT, bucket=INT, block=LONG, keys=BYTES, followers=pa.list_(BYTES), alpha=BYTES, factor=BYTES)
+CONTEXTS_SQL = "kind string, bucket int, block long, keys binary, followers array<binary>, alpha binary, factor binary"
+
+
+def weighing(words: Counts, pairs: Counts, learn: bool):
+    """Contexts' numbers by bucket: the weights that each block wants and, to learn, the table of contexts."""
+
+    def rows(batches):
+        for (bucket,), some in rows_of(batches, 1):
+            parts = [unpacked_keys(r[1]) for r in some]
+            keys = np.concatenate(parts)
+            said = np.stack([np.concatenate([unpacked(r[2][k]) for r in some]) for k in range(FOLLOWERS)])
+            names, where = np.unique(keys, return_inverse=True)
+            order = np.argsort(where, kind="stable")
+            starts = np.searchsorted(where[order], np.arange(len(names)))
+            numbers = np.add.reduceat(said[:, order], starts, axis=1).astype(np.int64)
+            alpha, factor = weights(numbers, words, pairs)
+            held = numbers[LAST_DISCOUNTED] > 0
+            out = [("contexts", bucket, TABLE, packed_keys(names[held]), [packed(x[held]) for x in numbers], packed(alpha[held]), packed(factor[held]))] if learn else []
+            at = np.cumsum([len(p) for p in parts])
+            for r, p, e in zip(some, parts, at, strict=True):
+                if r[0] != TABLE:
+                    mine = where[e - len(p) : e][unpacked(r[3]) > 0]
+                    out.append(("answered", bucket, r[0], None, None, packed(alpha[mine]), packed(factor[mine])))
+            yield batch_of(CONTEXTS, out)
+
+    return rows
+
+
+def finishing(batches):
+    """Each document's sums with the weights of its open places."""
+    names = fields(doc_id=LONG, n_tokens=LONG, n_known=LONG, base_score=pa.float64(), score=pa.float64())
+    for _, parts in rows_of(batches, 1):
+        mine = next(p for p in parts if p[0] == "documents")
+        weight = [np.concatenate([np.zeros(0), *(unpacked(p[k]).view(np.float64) for p in parts if p[0] == "answered")]) for k in (2, 3)]
+        sizes, known = (unpacked(x).astype(np.int64) for x in mine[5][:2])
+        base, score = (unpacked(x).view(np.float64) for x in mine[5][2:])
+        doc, context, backed, maybe = (unpacked(x).astype(np.int64) for x in mine[6])
+        more = backed * weight[0][context] + maybe * weight[1][context]
+        score = score + np.bincount(np.cumsum(doc), more, len(sizes))
+        yield pa.RecordBatch.from_arrays([pa.array(mine[4], LONG), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)], schema=names)
+
+
+# The whole
+
+SCORES_SQL = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def modelled(docs: DataFrame, tables: Tables | None = None) -> tuple[Tables, DataFrame]:
+    """docs: doc_id, text, train. The tables, and doc_id, n_tokens, n_known, train_tokens, base_score, score for each row.
+
+    Without tables they are learnt from the rows with train; else they are only read.
+    """
+    spark, learn = docs.sparkSession, tables is None
+    rows = texts(docs, "train").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "train")
+    blocks = written(rows.mapInArrow(blocks_of, BLOCK_SQL), "blocks")
+    if learn:
+        n_tokens, n_words = (int(x or 0) for x in blocks.agg(F.sum("n_tokens"), F.sum("n_words")).first())
+        least = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = {"words": max(least, n_words // ROOM), "pairs": max(least, n_tokens // ROOM)}
+    else:
+        buckets = tables.buckets
+    asked = blocks.select("block", "train", "sizes", "words", "tokens").mapInArrow(asking(buckets, learn), ASKED_SQL)
+    if not learn:
+        asked = asked.unionByName(tables.counts.select("kind", "bucket", "block", "keys", "counts"))
+    counts = written(dealt(asked, "kind", "bucket", then=("block",)).mapInArrow(summing(learn), SUMMED_SQL), "counts", "kind")
+    released(spark)
+    if learn:
+        table = counts.where(F.col("block") == TABLE)
+        tables = Tables(table, None, buckets, counts_of(table, "words"), counts_of(table, "pairs"))
+    words, pairs = tables.words, tables.pairs
+
+    answers = counts.where(F.col("block") != TABLE).select("block", "kind", "bucket", "counts")
+    own = blocks.select("block", F.lit("block").alias("kind"), "docs", "train", "sizes", "words", "tokens")
+    met = own.unionByName(answers, allowMissingColumns=True).select("block", "kind", "bucket", "counts", "docs", "train", "sizes", "words", "tokens")
+    some = written(dealt(met, "block", then=("kind", "bucket")).mapInArrow(scoring(words, pairs, tables.unseen, buckets["words"]), PART_SQL), "scored", "kind")
+    removed(blocks)
+    released(spark)
+
+    told = some.where("kind = 'contexts'").select("bucket", "block", "keys", "followers", "wanted")
+    if not learn:
+        told = told.unionByName(tables.contexts.select("bucket", "block", "keys", "followers"), allowMissingColumns=True)
+    contexts = written(dealt(told, "bucket", then=("block",)).mapInArrow(weighing(words, pairs, learn), CONTEXTS_SQL), "contexts", "kind")
+    if learn:
+        tables.contexts = contexts.where("kind = 'contexts'")
+
+    documents = some.where("kind = 'documents'").select("block", "kind", "docs", "sums", "open")
+    back = contexts.where("kind = 'answered'").select("block", "kind", "bucket", "alpha", "factor")
+    met = back.unionByName(documents, allowMissingColumns=True).select("block", "kind", "bucket", "alpha", "factor", "docs", "sums", "open")
+    scores = dealt(met, "block", then=("kind", "bucket")).mapInArrow(finishing, SCORES_SQL)
+    total = F.lit(words.total).cast("long").alias("train_tokens")
+    return tables, scores.select("doc_id", "n_tokens", "n_known", total, "base_score", "score")
 
 
 def train_tables(train: DataFrame) -> Tables:
-    counts = written(count_words(train), "unigrams")
-    total, types, of = few_counts(counts)
-    p1 = taken_off(F.col("n"), *discounts(of)) / F.lit(total + 1.0)
-    words = written(counts.select(F.xxhash64("word").alias("w"), "n", p1.alias("p1")), "words")
-    unseen = 1 - (words.agg(F.sum("p1")).first()[0] or 0.0)
-    counted = written(count_word_bigrams(train), "bigram-counts")
-    pairs = counted.withColumn("left", taken_off(F.col("n"), *discounts(few_counts(counted)[2])))
-    pairs = written(pairs.join(words.select("w", F.col("n").alias("n1"), "p1"), "w"), "bigram-words")
-    removed(counted)
-    sums = pairs.groupBy("b").agg(F.sum("n").alias("total"), F.sum("left").alias("kept"), F.sum("p1").alias("lower"))
-    below = F.when(F.col("total") - F.col("kept") < 1e-9, F.col("total") + 1.0).otherwise(F.col("total").cast("double"))
-    sums = sums.withColumn("below", below)
-    alpha = F.log10((1 - F.col("kept") / F.col("below")) / (1 - F.col("lower")))
-    contexts = written(sums.select("b", "below", alpha.alias("alpha")), "contexts")
-    bigrams = written(pairs.join(contexts, "b").select("b", "w", F.log10(F.col("left") / F.col("below")).alias("p"), F.col("n1").alias("n")), "bigrams")
-    removed(pairs)
-    removed(counts)
-    return Tables(words, bigrams, contexts.select("b", "alpha"), total, types, unseen)
-
-
-def score_by_tables(docs: DataFrame, t: Tables) -> DataFrame:
+    """The model of all rows of train (doc_id, text)."""
+    return modelled(train.select("doc_id", "text", F.lit(True).alias("train")))[0]
+
+
+def score_by_tables(docs: DataFrame, tables: Tables) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
+    return modelled(docs.select("doc_id", "text", F.lit(False).alias("train")), tables)[1]
+
+
+def unfolded(table: DataFrame) -> DataFrame:
+    """A table of counts as plain rows: kind, key (hash), n."""
 
     def rows(batches):
-        for batch in batches:
-            column, some, done, size = utf8(batch.column(2)), [], 0, 0
-            for i, x in enumerate(column):
-                some.append(x.as_py())
-                size += len(some[-1])
-                if size < BLOCK and i + 1 < batch.num_rows:
-                    continue
-                b, w, sizes = bigrams_of(some)
-                (w, b, doc), k = summed([w, b, np.repeat(np.arange(done, done + len(some)), sizes)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(b), pa.array(w), pa.array(k)], names=["row", "doc_id", "b", "w", "k"])
-                done, some, size = done + len(some), [], 0
-
-    numbered = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    each = numbered.mapInArrow(rows, "row long, doc_id long, b long, w long, k long")
-    below = F.lit(float(np.log10(t.total + t.types + 1)))
-    k = F.col("k")
-
-    def sums(n, p):
-        return [F.sum(F.when(n > 0, k).otherwise(0)).alias("known"), F.sum(k * (F.log10(n + 1.0) - below)).alias("base"), F.sum(k * p).alias("own")]
-
-    missing = F.collect_list(F.when(F.col("p").isNull(), F.struct("b", "w", "k"))).alias("missing")
-    found = each.join(t.bigrams, ["b", "w"], "left").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("k").alias("n_tokens"), *sums(F.col("n"), F.col("p")), missing)
-    found = written(found, "found-bigrams")
-    other = found.select("row", F.explode("missing").alias("m")).select("row", "m.b", "m.w", "m.k").join(t.words, "w", "left").join(t.contexts, "b", "left")
-    p = F.coalesce("alpha", F.lit(0.0)) + F.log10(F.coalesce("p1", F.lit(t.unseen)))
-    other = other.groupBy("row").agg(*sums(F.coalesce("n", F.lit(0)), p)).toDF("row", "more_known", "more_base", "more_own")
-    plus = lambda name, zero: F.coalesce(name, F.lit(zero)) + F.coalesce(f"more_{name}", F.lit(zero))
-    return found.join(other, "row", "left").select("doc_id", "n_tokens", plus("known", 0).cast("long").alias("n_known"), F.lit(t.total).cast("long").alias("train_tokens"), plus("base", 0.0).alias("base_score"), plus("own", 0.0).alias("score"))
+        for (kind, keys, counts), _ in rows_of(batches, 3):
+            k, n = unpacked_keys(keys).view(np.int64), unpacked(counts).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(k), TEXT), pa.array(k), pa.array(n)], names=["kind", "key", "n"])
+
+    return table.select("kind", "keys", "counts").mapInArrow(rows, "kind string, key long, n long")
 
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return score_by_tables(docs, train_tables(texts(docs.where(crc_mod(7) != 2)))).select("doc_id", held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs = read(spark, sf_dir, "documents").withColumn("train", F.coalesce(crc_mod(7) != 2, F.lit(False)))
+    return modelled(docs)[1].select("doc_id", held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")

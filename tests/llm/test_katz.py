@@ -1,6 +1,7 @@
 import math
+import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -8,15 +9,54 @@ import pytest
 
 from lakeloom.llm import katz
 
+SF = "/root/testdata/sf0.001"
+
 
 def plain_tokens(text):
-    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
         low = low.replace(c, " ")
     return [w.encode() for w in low.split(" ") if w] + [katz.END]
 
 
-SF = "/root/testdata/sf0.001"
+def discounted(n, d, absolute):
+    return n * (d[n] if n <= katz.LAST_DISCOUNTED else 1) - absolute
+
+
+class Plain:
+    """The model from dictionaries, token by token."""
+
+    def __init__(self, train):
+        uni, bi = Counter(), Counter()
+        for text in train:
+            w = plain_tokens(text)
+            uni.update(w)
+            bi.update(zip([katz.END, *w], w))
+        self.d1, self.d2 = katz.discounts(Counter(uni.values())), katz.discounts(Counter(bi.values()))
+        self.counts, self.total, self.types = uni, sum(uni.values()), len(uni)
+        self.p1 = {w: discounted(n, *self.d1) / (self.total + 1) for w, n in uni.items()}
+        self.unseen = 1 - sum(self.p1.values())
+        self.after = defaultdict(dict)
+        for (b, w), n in bi.items():
+            self.after[b][w] = n
+        self.p2, self.alpha, self.lossless = {}, {}, 0
+        for b, after in self.after.items():
+            kept, below = sum(discounted(n, *self.d2) for n in after.values()), sum(after.values())
+            none = below - kept < 1e-9
+            self.lossless += none
+            below += none
+            self.p2 |= {(b, w): discounted(n, *self.d2) / below for w, n in after.items()}
+            self.alpha[b] = (1 - kept / below) / (1 - sum(self.p1[w] for w in after))
+
+    def p(self, b, w):
+        return self.p2[b, w] if (b, w) in self.p2 else self.alpha.get(b, 1) * self.p1.get(w, self.unseen)
+
+    def score(self, text):
+        w = plain_tokens(text)
+        return sum(math.log10(self.p(b, x)) for b, x in zip([katz.END, *w], w))
+
+    def base(self, text):
+        return sum(math.log10((self.counts[w] + 1) / (self.total + self.types + 1)) for w in plain_tokens(text))
 
 
 @pytest.fixture(scope="module")
@@ -24,47 +64,53 @@ def rows():
     return duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
 
 
-def test_base_score_against_plain_counts(spark, rows):
+def test_query_against_a_plain_model(spark, rows):
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
-    counts = Counter(w for d, t in rows if not held[d] for w in plain_tokens(t))
-    total, types = sum(counts.values()), len(counts)
+    plain = Plain([t for d, t in rows if not held[d]])
     got = {r.doc_id: r for r in katz.op8_katz(spark, SF).collect()}
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and any(held.values())
     for d, t in rows:
-        words = plain_tokens(t)
-        r = got[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(words), sum(counts[w] > 0 for w in words), total)
-        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (total + types + 1)) for w in words), rel=1e-9)
-        assert r.score < 0
-
-
-@pytest.mark.parametrize("classes,frequent", [(2048, 1 << 16), (12, 30), (3, 2)])
-def test_scores_against_a_plain_model_and_sums_to_one(spark, rows, classes, frequent):
-    rows = rows[:60]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model, unigrams = katz.train_model(katz.texts(docs.where("doc_id % 3 <> 0")), classes, frequent)
-    counts = Counter(w for d, t in rows if d % 3 for w in plain_tokens(t))
-    ordered = sorted(counts, key=lambda w: (-counts[w], w))
-    cls = {w: i + 1 for i, w in enumerate(ordered[: classes - 1])}
-    k = len(cls) + 1
-    for before in range(k):  # every context's classes, and the words of the shared one, sum to one
-        p = 10 ** model.bigram(np.full(k, before), np.arange(k))
-        assert p.sum() == pytest.approx(1, abs=1e-6)
-    rest = np.array([n for w, n in counts.items() if w not in cls])
-    assert (10 ** model.in_rest(rest)).sum() + model.unseen == pytest.approx(1)
-    assert 0 < model.unseen <= 1
-
-    def plain(text):
-        out, before = 0.0, cls.get(katz.END, 0)
-        for w in plain_tokens(text):
-            c = cls.get(w, 0)
-            out += model.bigram(np.array([before]), np.array([c]))[0]
-            out += 0.0 if c else model.in_rest(np.array([counts[w]]))[0]
-            before = c
-        return out
-
-    got = {r.doc_id: r.score for r in katz.score(docs, model, unigrams).collect()}
-    assert got == {d: pytest.approx(plain(t), rel=1e-6) for d, t in rows}
+        words, r = plain_tokens(t), got[d]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(words), sum(plain.counts[w] > 0 for w in words), plain.total)
+        assert r.base_score == pytest.approx(plain.base(t), rel=1e-9)
+        assert r.score == pytest.approx(plain.score(t), rel=1e-9)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_word_bigrams_against_a_plain_model(spark, rows, parts):
+    rows = sorted(rows)[:60]
+    rows += [(9000, "zyxa zyxb"), (9001, "zyxb zyxa"), (9002, None), (9003, "new newer")] + [(k, "zyxa zyxb") for k in range(9010, 9020)]
+    train = [(d, t) for d, t in rows if d % 3 and d not in (9001, 9003)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    t = katz.train_tables(spark.createDataFrame(train, "doc_id long, text string").repartition(parts))
+    plain = Plain([x for _, x in train])
+    assert t.unseen == pytest.approx(plain.unseen, rel=1e-9)
+    got = {r.doc_id: r.score for r in katz.score_by_tables(docs, t).collect()}
+    assert got == {d: pytest.approx(plain.score(x), rel=1e-9) for d, x in rows}
+    assert got[9000] > got[9001] + 1  # the same rare words, of which training holds one order only
+    counts = [r.n for r in katz.unfolded(t.counts.where("kind = 'pairs'")).collect()]
+    assert sorted(counts) == sorted(n for a in plain.after.values() for n in a.values())
+    none = katz.train_tables(docs.limit(0))
+    assert {r.score for r in katz.score_by_tables(docs, none).collect()} == {0.0}
+    assert katz.score_by_tables(docs.limit(0), t).count() == 0
+
+
+def test_every_context_sums_to_one(spark):
+    r = random.Random(3)
+    common = " ".join(["big cat"] * 500 + ["big dog"] * 50)  # a context whose followers all occur more than 5 times
+    some = [common] + [" ".join(f"w{min(int(r.paretovariate(0.7)), 400)}" for _ in range(60)) for _ in range(200)]
+    plain = Plain(some)
+    assert not plain.d2[1] and plain.lossless and b"big" in plain.alpha
+    t = katz.train_tables(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"))
+    words = sorted(plain.counts) + [b"neverseen"]
+    asked = [(b, w) for b in (b"big", b"w1", b"w7", b"w400") for w in words if w != katz.END]
+    texts = [(i, f"{b.decode()} {w.decode()}") for i, (b, w) in enumerate(asked)] + [(-1 - i, b.decode()) for i, b in enumerate((b"big", b"w1", b"w7", b"w400"))]
+    scores = {x.doc_id: x.score for x in katz.score_by_tables(spark.createDataFrame(texts, "doc_id long, text string"), t).collect()}
+    for i, b in enumerate((b"big", b"w1", b"w7", b"w400")):
+        first = plain.p(katz.END, b)
+        after = sum(10 ** scores[k] / first / plain.p(w, katz.END) for k, (x, w) in enumerate(asked) if x == b)
+        assert after + 10 ** scores[-1 - i] / first == pytest.approx(1, abs=1e-9), b
+        assert min(math.log10(plain.p(b, w)) for w in words) > -8
 
 
 def test_good_turing_factors():
@@ -75,13 +121,22 @@ def test_good_turing_factors():
     assert katz.discounts({1: 3}) == (pytest.approx(np.ones(6)), 0.5)
 
 
+def test_numbers_in_few_bytes():
+    r = np.random.default_rng(1)
+    for x in (np.zeros(0, np.uint64), np.zeros(5, np.uint64), np.array([1, 2, 1 << 63], np.uint64), r.integers(0, 1 << 63, 1000, dtype=np.uint64)):
+        assert katz.unpacked(katz.packed(x)).tolist() == x.tolist()
+        assert katz.unpacked_keys(katz.packed_keys(np.sort(x))).tolist() == sorted(x.tolist())
+    y = np.array([-1.5, 0.0, np.inf, 1e-300])
+    assert katz.unpacked(katz.packed(y)).view(np.float64).tolist() == y.tolist()
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 0.0), (3, "", 0.0), (4, "The the THE\tend", 0.0), (4, "The the THE\tend", 0.0), (None, "x", 0.0), (5, "a " * 50_000 + "b", 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
-    model, unigrams = katz.train_model(katz.texts(docs.where("doc_id in (3, 4, 5)")))
-    got = katz.score(docs, model, unigrams).collect()
+    t = katz.train_tables(docs.where("doc_id in (3, 4, 5)"))
+    got = katz.score_by_tables(docs, t).collect()
     assert sorted(r.n_tokens for r in got) == [1, 1, 2, 5, 5, 50_002]
-    empty, none = katz.train_model(katz.texts(docs.limit(0)))
-    r = {x.n_tokens: x for x in katz.score(docs, empty, none).collect()}
+    plain = Plain([x for d, x, _ in rows if d in (3, 4, 5)])
+    assert sorted(r.score for r in got) == pytest.approx(sorted(plain.score(x) for _, x, _ in rows), rel=1e-9)
+    r = {x.n_tokens: x for x in katz.score_by_tables(docs, katz.train_tables(docs.limit(0))).collect()}
     assert r[1].base_score == 0 and r[1].score == 0 and r[5].n_known == 0 and r[5].train_tokens == 0
-    assert katz.score(docs.limit(0), model, unigrams).count() == 0
