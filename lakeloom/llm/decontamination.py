@@ -1,24 +1,27 @@
 """Benchmark decontamination by SimHash of item-sized windows, with DataFrame functions only.
 
 Texts and items are lower-cased and split into words (runs of letters and digits); shingles are FIVE words.
-A window of a document has as many words as an item. Its fingerprint is the SimHash of its shingles, each
+A window of a document has as many shingles as an item. Its fingerprint is the SimHash of its shingles, each
 weighing as often as it occurs. Fingerprints are cut into BLOCKS blocks; two that differ in at most RADIUS
 bits differ in at most RADIUS / BLOCKS (rounded down) bits of some block, so each item is indexed under all
-block values that near to its own, and an equality join of blocks finds every window within RADIUS. What it
-finds is verified by the exact weighted similarity of the two multisets of shingles: what they share, over
-what either has.
+block values that near to its own, by its size, and an equality join of sizes and blocks finds for every window
+all items of its size within RADIUS. What it finds is verified by the exact weighted similarity of the two
+multisets of shingles: what they share, over what either has.
 
-Which windows are fingerprinted: a window without a shingle of the item has similarity 0, so all starts are
-taken from which an item's shingle lies inside the window, merged into runs. A start is left only where an
-exact upper bound says so: what lies inside of shingles that the item has at all, over what either has at
-least. The index of items' shingles is broadcast only if it is counted small; else it is joined by shuffle.
+Which windows are fingerprinted: a window without a shingle of an item of its size has similarity 0 to all, so
+all starts are taken from which such a shingle lies inside, as runs. A start is left only where an exact upper
+bound says so (what lies inside of shingles that an item has at all, over what either has at least), or where
+the window before it holds the same multiset. The index of items' shingles is broadcast only if it is counted
+small; else it is joined by shuffle.
 
-At similarity 0.8 the expected difference is about 10 of 64 bits with a deviation under 3; RADIUS 23 lies
-more than four deviations beyond, and is the only place where a window is left before exact comparison.
+At similarity 0.8 the expected difference is about 10 of 64 bits with a deviation under 3; RADIUS 19 lies
+three deviations beyond, and is the only place where a window is left before exact comparison.
 
 Defined cases: items and texts of fewer than FIVE words have no shingle and match nothing; null texts are
-empty; windows that would reach beyond a document are set to its edge; repeated items are matched each;
-rows that repeat a doc_id are one document; other columns are not read.
+empty; windows that would reach beyond a document are set to its edge; of a document's windows on an item the
+most similar counts, of equal ones the first; repeated items are matched each; rows that repeat a doc_id are one
+document; an empty table on either side gives no rows; texts of any length are read whole, and one of many equal
+words has one window for each size; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import read, texts, written
 
 FIVE, LEAST = 5, 0.8
-BLOCKS, RADIUS = 8, 23
+BLOCKS, RADIUS, BITS = 5, 19, 64
 #: Rows of an index, or ids, that may be broadcast; 16 bytes or so each.
 SMALL = 1_000_000
 
@@ -70,17 +73,43 @@ def numbered(rows: DataFrame) -> DataFrame:
     return ordered.withColumn("tags", F.transform("ordered", lambda x, i: F.xxhash64(x, i - F.array_position("ordered", x)))).drop("ordered")
 
 
+def bounds(k: int) -> tuple[int, int]:
+    """The bits of block k."""
+    return k * BITS // BLOCKS, (k + 1) * BITS // BLOCKS
+
+
 def block(fp: Column, k: int) -> Column:
-    return F.shiftrightunsigned(fp, k * (64 // BLOCKS)).bitwiseAND(F.lit((1 << 64 // BLOCKS) - 1).cast("long"))
+    low, high = bounds(k)
+    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << high - low) - 1).cast("long"))
+
 
+def near_masks(k: int) -> list[int]:
+    """All values of block k's bits with few enough set."""
+    low, high = bounds(k)
+    return [m for m in range(1 << high - low) if m.bit_count() <= RADIUS // BLOCKS]
 
-def near_masks() -> list[int]:
-    """All values of a block's bits with few enough set."""
-    return [m for m in range(1 << 64 // BLOCKS) if m.bit_count() <= RADIUS // BLOCKS]
 
+def item_blocks(known: DataFrame) -> DataFrame:
+    """known: item, n, fp. The index: n, k, v (all values near to block k of fp), item, item_fp."""
+    each = None
+    for k in range(BLOCKS):
+        masks = F.array(*(F.lit(m).cast("long") for m in near_masks(k)))
+        own = known.select("n", F.lit(k).alias("k"), block(F.col("fp"), k).alias("own"), "item", F.col("fp").alias("item_fp"))
+        rows = own.select("n", "k", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("v"), "item", "item_fp")
+        each = rows if each is None else each.unionByName(rows)
+    return each
 
-def bounded_starts(found: DataFrame, least: float) -> DataFrame:
-    """found: doc_id, item, n, size, at (places of the item's shingles). doc_id, item, n, start of all windows that can reach least.
+
+def near_pairs(windows: DataFrame, known: DataFrame) -> DataFrame:
+    """windows: window, n, fp; known: item, n, fp. All (window, item, hamming) of one size within RADIUS."""
+    cut = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), block(F.col("fp"), k).alias("v")) for k in range(BLOCKS))))
+    probes = windows.select("window", "n", "fp", cut.alias("b")).select("window", "n", "fp", "b.k", "b.v")
+    differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
+    return probes.join(item_blocks(known), ["n", "k", "v"]).withColumn("hamming", differ).where(F.col("hamming") <= RADIUS).select("window", "item", "hamming").distinct()
+
+
+def bounded_runs(found: DataFrame, least: float) -> DataFrame:
+    """found: doc_id, item, n, size, at (places of the item's shingles). doc_id, size, n, start, end: runs of starts of all windows that can reach least.
 
     A window over `inside` such places shares at most that many: similarity inside / (its size + n - inside) at most.
     """
@@ -92,7 +121,10 @@ def bounded_starts(found: DataFrame, least: float) -> DataFrame:
     inside = changes.withColumn("inside", F.sum("more").over(order)).withColumn("next", F.lead("start").over(order))
     both = F.least("n", "size") + F.col("n")
     enough = inside.where((F.col("inside") > 0) & (F.col("inside") >= F.lit(least) * (both - F.col("inside")) - 1e-9) & (F.col("start") <= F.col("last")))
-    return enough.select("doc_id", "item", "n", F.explode(F.sequence("start", F.least("last", F.col("next") - 1))).alias("start")).distinct()
+    # runs that follow each other are one
+    new = F.when(F.lag("end").over(order) + 1 >= F.col("start"), 0).otherwise(1)
+    runs = enough.withColumn("end", F.least("last", F.col("next") - 1)).withColumn("new", new).withColumn("run", F.sum("new").over(order))
+    return runs.groupBy("doc_id", "size", "n", "item", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "size", "n", "start", "end").distinct()
 
 
 def matches(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
@@ -110,25 +142,21 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFram
     # not posexplode: its inferred filter on h would be pushed down and split a text for each of its words
     each = with_shingles(texts(docs)).select("doc_id", F.size("h").alias("size"), F.posexplode_outer("h").alias("at", "x"))
     found = each.join(F.broadcast(index) if small else index, "x")
-    starts = written(bounded_starts(found.select("doc_id", "item", "n", "size", "at").distinct(), least), "starts")
+    runs = written(bounded_runs(found.select("doc_id", "item", "n", "size", "at").distinct(), least), "runs")
 
-    ids = written(starts.select("doc_id").distinct(), "touched").toDF("touched_id")
+    ids = written(runs.select("doc_id").distinct(), "touched").toDF("touched_id")
     few = ids.count() <= SMALL
     touched = texts(docs).join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("touched_id")), "left_semi")
-    touched = with_shingles(touched).withColumnRenamed("doc_id", "held_id")
-    place = F.greatest(F.lit(0), F.least("start", F.size("h") - F.col("n")))  # rows that repeat a doc_id may differ in size
-    windows = starts.join(touched, F.col("doc_id").eqNullSafe(F.col("held_id"))).select("doc_id", "item", place.alias("start"), F.slice("h", place + 1, F.greatest(F.lit(1), "n")).alias("h"))
-    windows = written(windows, "windows")
+    touched = with_shingles(touched).withColumnRenamed("doc_id", "held_id").withColumn("held_size", F.size("h"))
+    here = F.col("doc_id").eqNullSafe(F.col("held_id")) & (F.col("size") == F.col("held_size"))
+    # a window that loses the shingle it takes up is the one before it
+    fresh = F.filter(F.sequence("start", "end"), lambda s: (s == F.col("start")) | (F.get("h", s - 1) != F.get("h", s - 1 + F.col("n"))))
+    windows = runs.join(touched, here).select("doc_id", "n", "h", F.explode(fresh).alias("start"))
+    windows = windows.select("doc_id", "n", "start", F.slice("h", F.col("start") + 1, F.greatest(F.lit(1), "n")).alias("h"))
     windows = written(numbered(fingerprinted(windows, most)).drop("h").withColumn("window", F.monotonically_increasing_id()), "windows")
 
-    masks = F.array(*(F.lit(m).cast("long") for m in near_masks()))
-    of_items = known.select("item", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), block(F.col("fp"), k).alias("v")) for k in range(BLOCKS)))).alias("b"), F.col("fp").alias("item_fp"))
-    of_items = of_items.select("item", "item_fp", "b.k", F.explode(F.transform(masks, lambda m: F.col("b.v").bitwiseXOR(m))).alias("v"))
-    of_windows = windows.select("window", "item", "fp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), block(F.col("fp"), k).alias("v")) for k in range(BLOCKS)))).alias("b")).select("window", "item", "fp", "b.k", "b.v")
-    differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = of_windows.join(of_items, ["item", "k", "v"]).withColumn("hamming", differ).where(F.col("hamming") <= RADIUS).select("window", "hamming").distinct()
-
-    pairs = windows.join(near, "window").join(known.select("item", "item_id", F.col("tags").alias("item_tags")), "item")
+    near = near_pairs(windows.select("window", "n", "fp"), known.select("item", "n", "fp"))
+    pairs = windows.drop("n", "fp").join(near, "window").join(known.select("item", "item_id", F.col("tags").alias("item_tags")), "item")
     shared = F.size(F.array_intersect("tags", "item_tags"))
     pairs = pairs.withColumn("similarity", shared / (F.size("tags") + F.size("item_tags") - shared)).where(F.col("similarity") >= least)
     best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.size("tags").alias("n"), (-F.col("hamming")).alias("far"))).alias("m"))

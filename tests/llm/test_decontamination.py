@@ -66,7 +66,7 @@ def test_edited_passages(spark):
     got = {(r.doc_id, r.item_id): r.similarity for r in found.collect()}
     assert got.keys() <= plain.keys() and all(got[k] <= plain[k] + 1e-9 for k in got)
     clear = {k for k, v in plain.items() if v > 0.86}
-    assert clear <= got.keys() and len(got) >= 0.9 * len(plain) and len(plain) > 25
+    assert clear <= got.keys() and len(got) >= 0.95 * len(plain) and len(plain) > 25
 
 
 def test_fingerprint_and_numbers(spark):
@@ -90,3 +90,27 @@ def test_odd_rows(spark):
     kept = dc.decontaminate(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
     assert dc.matches(docs.limit(0), items).count() == dc.matches(docs, items.limit(0)).count() == 0
+
+
+def test_index_finds_all_within_radius(spark):
+    r = random.Random(5)
+    flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(64), n))
+    signed = lambda x: x - (x >> 63 << 64)
+    items = [(i, r.choice((10, 20)), r.getrandbits(64)) for i in range(30)]
+    windows = [(20 * i + k, n, flip(x, k)) for i, n, x in items for k in range(20)] + [(1000 + i, 20, r.getrandbits(64)) for i in range(50)]
+    frame = lambda rows, name: spark.createDataFrame([(a, n, signed(x)) for a, n, x in rows], f"{name} long, n int, fp long")
+    got = {(x.window, x.item): x.hamming for x in dc.near_pairs(frame(windows, "window"), frame(items, "item")).collect()}
+    plain = {(w, i): (x ^ y).bit_count() for w, n, x in windows for i, m, y in items if n == m and (x ^ y).bit_count() <= dc.RADIUS}
+    assert got == plain and all((20 * i + k, i) in got for i, _, _ in items for k in range(20))
+    assert sum(high - low for low, high in map(dc.bounds, range(dc.BLOCKS))) == 64
+
+
+def test_equal_words_have_one_window(spark):
+    item = ["a"] * 400
+    docs = [(1, "a " * 20_000), (2, "b " * 50 + "a " * 1000 + "c " * 50), (3, "a " * 390 + "b " * 100), (4, "a " * 100)]
+    run = dc.bounded_runs(spark.createDataFrame([(1, 0, 396, 19_996, at) for at in range(19_996)], "doc_id long, item long, n int, size int, at int"), 0.8)
+    assert [tuple(x) for x in run.collect()] == [(1, 19_996, 396, 0, 19_600)]
+    items = [(7, " ".join(item))]
+    found = dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.similarity for r in found.collect()}
+    assert got == pytest.approx(brute([(d, t) for d, t in docs if d > 1], items) | {(1, 7): 1.0})
