@@ -1,6 +1,6 @@
 """The core queries, each with its SQL (run by DuckDB on the same tables).
 
-Sums of money are rounded to cents on both sides, orders end in a unique column.
+Sums of money are sums of exact decimals on both sides, orders end in a unique column.
 """
 
 from __future__ import annotations
@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.functions import json_long, money
+from lakeloom.functions import cents, discounted, dot, json_long, money, strip_tags
 from lakeloom.operators.joins import asof_join, range_join
-from lakeloom.operators.windows import sessions, top_of_each
+from lakeloom.operators.windows import quantile_of_each, sessions, top_of_each
 from lakeloom.sources import table
 
 QUERIES: dict = {}
@@ -30,18 +30,18 @@ def ntz(text: str):
 
 
 @query("""
-SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
-       round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, count(*) AS count_order
+SELECT l_returnflag, l_linestatus, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS sum_qty,
+       sum(l_extendedprice::DECIMAL(18,2) * (1 - l_discount::DECIMAL(18,2)))::DOUBLE AS sum_disc_price, count(*) AS count_order
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= ntz("1998-09-02"))
     return items.groupBy("l_returnflag", "l_linestatus").agg(
-        money(F.sum("l_quantity")).alias("sum_qty"), money(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("sum_disc_price"), F.count(F.lit(1)).alias("count_order")
+        money(cents("l_quantity")).alias("sum_qty"), money(discounted()).alias("sum_disc_price"), F.count(F.lit(1)).alias("count_order")
     )
 
 
 @query("""
-SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+SELECT n_name, sum(l_extendedprice::DECIMAL(18,2) * (1 - l_discount::DECIMAL(18,2)))::DOUBLE AS revenue
 FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
 JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
 JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey
@@ -52,7 +52,7 @@ def local_supplier_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = t("region").join(t("nation"), F.col("r_regionkey") == F.col("n_regionkey"))
     bought = t("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).join(orders, F.col("c_custkey") == F.col("o_custkey")).join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     sold = bought.join(t("supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
-    return sold.groupBy("n_name").agg(money(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("revenue"))
+    return sold.groupBy("n_name").agg(money(discounted()).alias("revenue"))
 
 
 @query("""
@@ -64,12 +64,12 @@ def orders_with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer
+SELECT c_mktsegment, count(*) AS n, sum(c_acctbal::DECIMAL(18,2))::DOUBLE AS balance FROM customer
 WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2000-01-01') GROUP BY 1""")
 def customers_without_late_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= ntz("2000-01-01"))
     idle = table(spark, sf_dir, "customer").join(late, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-    return idle.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), money(F.sum("c_acctbal")).alias("balance"))
+    return idle.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), money(cents("c_acctbal")).alias("balance"))
 
 
 @query("""
@@ -90,11 +90,13 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT coalesce(o_orderstatus, 'all') AS o_orderstatus, coalesce(o_orderpriority, 'all') AS o_orderpriority, (grouping(orders.o_orderstatus) * 2 + grouping(orders.o_orderpriority))::BIGINT AS level, count(*) AS n
-FROM orders GROUP BY CUBE (orders.o_orderstatus, orders.o_orderpriority)""")
+SELECT CASE WHEN grouping(o_orderstatus) = 1 THEN 'all' ELSE o_orderstatus END AS status, CASE WHEN grouping(o_orderpriority) = 1 THEN 'all' ELSE o_orderpriority END AS priority,
+       (grouping(o_orderstatus) * 2 + grouping(o_orderpriority))::BIGINT AS level, count(*) AS n
+FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
 def order_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"))
-    return counted.na.fill("all", ["o_orderstatus", "o_orderpriority"])
+    whole = lambda c: F.when(F.grouping(c) == 1, F.lit("all")).otherwise(F.col(c))
+    counted = table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority")
+    return counted.agg(whole("o_orderstatus").alias("status"), whole("o_orderpriority").alias("priority"), F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n")).select("status", "priority", "level", "n")
 
 
 @query("""
@@ -117,8 +119,8 @@ LEFT JOIN LATERAL (SELECT event_id FROM events v WHERE v.event_type = 'view' AND
                    ORDER BY v.ts DESC, v.event_id DESC LIMIT 1) v ON true""")
 def last_view_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    views = rows.where("event_type = 'view'").withColumn("view_id", F.col("event_id"))
-    return asof_join(rows.where("event_type = 'purchase'").drop("event_type"), views, ["user_id"], "ts", ["view_id"], "view_id").select("event_id", F.coalesce("view_id", F.lit(-1)).alias("view_id"))
+    views = rows.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+    return asof_join(rows.where("event_type = 'purchase'").drop("event_type"), views, ["user_id"], "ts", ["view_id"], "view_id", F.to_date("ts")).select("event_id", F.coalesce("view_id", F.lit(-1)).alias("view_id"))
 
 
 @query("""
@@ -140,15 +142,17 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""")
+SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY ALL""")
 def six_hour_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), money(F.sum("value")).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return table(spark, sf_dir, "events").groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), money(cents("value")).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 @query("""
 SELECT p_brand, count(DISTINCT p_type) AS types, quantile_cont(p_retailprice, 0.5) AS median_price FROM part GROUP BY 1""")
 def brand_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.countDistinct("p_type").alias("types"), F.percentile("p_retailprice", 0.5).alias("median_price"))
+    parts = table(spark, sf_dir, "part")
+    types = parts.groupBy("p_brand").agg(F.countDistinct("p_type").alias("types"))
+    return types.join(quantile_of_each(parts, ["p_brand"], "p_retailprice", 0.5, "median_price"), "p_brand")
 
 
 @query("""
@@ -156,3 +160,203 @@ SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0 EXCEPT SELECT o_custkey
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
     return low.subtract(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")))
+
+
+@query("""
+SELECT coalesce(c_nationkey, s_nationkey) AS nation, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers
+FROM (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1) c
+FULL JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON c_nationkey = s_nationkey""")
+def nations_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 5000").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"))
+    s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("suppliers"))
+    both = c.join(s, F.col("c_nationkey") == F.col("s_nationkey"), "full")
+    return both.select(F.coalesce("c_nationkey", "s_nationkey").alias("nation"), F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
+
+
+@query("""
+SELECT c_custkey, count(o_orderkey) AS orders, coalesce(sum(o_totalprice::DECIMAL(18,2))::DOUBLE, 0) AS spent
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY 1""")
+def open_orders_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spent = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), money(cents("o_totalprice")).alias("spent"))
+    joined = table(spark, sf_dir, "customer").join(spent, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return joined.select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders"), F.coalesce("spent", F.lit(0.0)).alias("spent"))
+
+
+@query("""
+SELECT o_orderpriority AS name, 'priority' AS kind FROM orders UNION SELECT l_returnflag, 'flag' FROM lineitem UNION SELECT c_mktsegment, 'segment' FROM customer""")
+def labels_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = (("orders", "o_orderpriority", "priority"), ("lineitem", "l_returnflag", "flag"), ("customer", "c_mktsegment", "segment"))
+    each = [table(spark, sf_dir, t).select(F.col(c).alias("name"), F.lit(k).alias("kind")).distinct() for t, c, k in some]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("""
+SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'""")
+def set_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda status: table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("k"))
+    return of("F").intersect(of("O"))
+
+
+@query("""
+SELECT s_nationkey AS k FROM supplier EXCEPT ALL SELECT c_nationkey FROM customer WHERE c_acctbal > 9000""")
+def bag_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_nationkey")
+    return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")).exceptAll(rich)
+
+
+@query("""
+SELECT CASE WHEN grouping(r_name) = 1 THEN 'all' ELSE r_name END AS region, CASE WHEN grouping(n_name) = 1 THEN 'all' ELSE n_name END AS nation, count(*) AS n, max(c_acctbal) AS most
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
+def customers_rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: table(spark, sf_dir, name)
+    placed = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    whole = lambda c: F.when(F.grouping(c) == 1, F.lit("all")).otherwise(F.col(c))
+    return placed.rollup("r_name", "n_name").agg(whole("r_name").alias("region"), whole("n_name").alias("nation"), F.count(F.lit(1)).alias("n"), F.max("c_acctbal").alias("most")).select("region", "nation", "n", "most")
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, l_discount, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_discount), ())""")
+def lines_by_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag, status, discount = (F.col(c) for c in ("l_returnflag", "l_linestatus", "l_discount"))
+    return table(spark, sf_dir, "lineitem").groupingSets([[flag, status], [discount], []], flag, status, discount).agg(flag, status, discount, F.count(F.lit(1)).alias("n")).select("l_returnflag", "l_linestatus", "l_discount", "n")
+
+
+@query("""
+SELECT p_partkey, ntile(4) OVER w AS quarter, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS rank, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS dense, percent_rank() OVER w AS share, cume_dist() OVER w AS below
+FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)""")
+def part_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
+    by_size = Window.partitionBy("p_brand").orderBy("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", F.ntile(4).over(w).alias("quarter"), F.rank().over(by_size).alias("rank"), F.dense_rank().over(by_size).alias("dense"), F.percent_rank().over(w).alias("share"), F.cume_dist().over(w).alias("below"))
+
+
+@query("""
+SELECT event_id, first_value(event_id) OVER w AS opened, lead(event_type, 1, 'none') OVER w AS then_type, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS hour_n
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def event_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    hour = Window.partitionBy("user_id").orderBy("at").rangeBetween(-3_600_000_000, 0)
+    return rows.select("event_id", F.first("event_id").over(w).alias("opened"), F.lead("event_type", 1, "none").over(w).alias("then_type"), F.count(F.lit(1)).over(hour).alias("hour_n"))
+
+
+@query("""
+SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, year(o_orderdate)::INT AS year, quarter(o_orderdate)::INT AS quarter, isodow(o_orderdate)::INT AS weekday, count(*) AS n, sum(date_diff('day', o_orderdate, last_day(o_orderdate)::TIMESTAMP))::BIGINT AS days_left
+FROM orders GROUP BY ALL""")
+def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.col("o_orderdate")
+    parts = [F.date_trunc("month", day).cast("timestamp_ntz").alias("month"), F.year(day).alias("year"), F.quarter(day).alias("quarter"), (F.weekday(day) + 1).alias("weekday")]
+    return table(spark, sf_dir, "orders").groupBy(*parts).agg(F.count(F.lit(1)).alias("n"), F.sum(F.date_diff(F.last_day(day), F.to_date(day))).cast("long").alias("days_left"))
+
+
+@query("""
+SELECT upper(split_part(p_name, ' ', 1)) AS first_word, length(p_type) AS type_size, count(*) AS n, min(substr(p_brand, 7))  AS least, max(lpad(p_size::VARCHAR, 4, '0')) AS widest, count(*) FILTER (p_name LIKE '%widget') AS widgets
+FROM part GROUP BY ALL""")
+def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy(F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("first_word"), F.length("p_type").cast("long").alias("type_size")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.expr("substr(p_brand, 7)")).alias("least"), F.max(F.lpad(F.col("p_size").cast("string"), 4, "0")).alias("widest"), F.count_if(F.col("p_name").like("%widget")).alias("widgets")
+    )
+
+
+@query("""
+SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY o_orderdate, o_orderkey) AS priorities, len(list(o_orderkey)) AS n, list_sort(list(DISTINCT o_orderstatus)) AS statuses
+FROM orders GROUP BY 1""")
+def priorities_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderpriority")))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.array_join(F.transform(ordered, lambda x: x["o_orderpriority"]), "|").alias("priorities"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("o_orderstatus")).alias("statuses")
+    )
+
+
+@query("""
+SELECT label, dim::INT AS dim, count(*) AS n, round(avg(x), 6) AS mean FROM
+(SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY ALL""")
+def embedding_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
+    return each.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+@query("""
+SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, list_position(embedding, list_max(embedding))::INT AS peak, len(list_filter(embedding, lambda x: x > 0)) AS positive FROM embeddings""")
+def embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.round(F.sqrt(dot(v, v)), 6).alias("norm"), F.array_position(v, F.array_max(v)).cast("int").alias("peak"), F.size(F.filter(v, lambda x: x > 0)).cast("long").alias("positive"))
+
+
+@query("""
+SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, split_part(url, '://', 1) AS scheme, count(*) AS n, count(*) FILTER (contains(url, 'utm_')) AS tracked, sum(length(html))::BIGINT AS size FROM pages GROUP BY ALL""")
+def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy(F.split_part("url", F.lit("://"), F.lit(1)).alias("scheme"), F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("url").contains("utm_")).alias("tracked"), F.sum(F.length("html")).alias("size")
+    )
+
+
+@query(r"""
+SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href=')) AS n_links,
+       trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS plain
+FROM pages""")
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.regexp_extract(html, '<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all(html, F.lit("<a href="), 0)).cast("long").alias("n_links"), strip_tags(html).alias("plain")
+    )
+
+
+@query("""
+SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, string_agg(left(role, 1), '' ORDER BY turn) AS shape, max_by(role, turn) AS last_role, sum(length(text)) FILTER (role = 'assistant')::BIGINT AS answered
+FROM conversations GROUP BY 1""")
+def conversation_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("turns"),
+        F.countDistinct("role").alias("roles"),
+        F.array_join(F.transform(turns, lambda x: F.left(x["role"], F.lit(1))), "").alias("shape"),
+        F.max_by("role", "turn").alias("last_role"),
+        F.sum(F.when(F.col("role") == "assistant", F.length("text"))).alias("answered"),
+    )
+
+
+@query("""
+SELECT a.conv_id, a.turn, b.turn AS answer_turn, length(b.text) AS size FROM conversations a ASOF JOIN (SELECT * FROM conversations WHERE role = 'assistant') b
+ON a.conv_id = b.conv_id AND a.turn >= b.turn WHERE a.role = 'user'""")
+def answers_before_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    asked = rows.where("role = 'user'").select("conv_id", "turn")
+    answers = rows.where("role = 'assistant'").select("conv_id", "turn", F.col("turn").alias("answer_turn"), F.length("text").cast("long").alias("size"))
+    return asof_join(asked, answers, ["conv_id"], "turn", ["answer_turn", "size"], "answer_turn").where("answer_turn is not null")
+
+
+@query("""
+SELECT e.event_id, count(*) AS n FROM events e JOIN (SELECT epoch_us(ts) AS s, epoch_us(ts) + (value * 1000000 * CASE WHEN event_id % 50 = 0 THEN 500 ELSE 1 END)::BIGINT AS t FROM events WHERE event_type = 'signup') r
+ON epoch_us(e.ts) >= r.s AND epoch_us(e.ts) < r.t WHERE e.event_type = 'purchase' GROUP BY 1""")
+def purchases_in_open_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    long = F.when(F.col("event_id") % 50 == 0, F.lit(500)).otherwise(F.lit(1))
+    offers = rows.where("event_type = 'signup'").select(F.col("at").alias("from_at"), (F.col("at") + F.round(F.col("value") * 1000000 * long).cast("long")).alias("to_at"))
+    found = range_join(rows.where("event_type = 'purchase'").select("event_id", "at"), offers, F.col("at"), F.col("from_at"), F.col("to_at"), 300_000_000)
+    return found.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT l_returnflag, corr(l_quantity, l_extendedprice) > 0.5 AS linked, round(stddev_samp(l_quantity), 6) AS spread, round(avg(l_discount), 6) AS mean, count(DISTINCT l_suppkey) AS suppliers, bool_or(l_tax > 0.07) AS taxed
+FROM lineitem GROUP BY 1""")
+def line_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        (F.corr("l_quantity", "l_extendedprice") > 0.5).alias("linked"), F.round(F.stddev_samp("l_quantity"), 6).alias("spread"), F.round(F.avg("l_discount"), 6).alias("mean"), F.countDistinct("l_suppkey").alias("suppliers"), F.bool_or(F.col("l_tax") > 0.07).alias("taxed")
+    )
+
+
+@query("""
+SELECT p_partkey, what, amount FROM (SELECT p_partkey, p_size::DOUBLE AS size, p_retailprice AS price FROM part) UNPIVOT (amount FOR what IN (size, price))""")
+def part_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    return wide.unpivot("p_partkey", ["size", "price"], "what", "amount")
+
+
+@query("""
+SELECT n_name, s_name, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey
+WHERE s_acctbal > (SELECT avg(x.s_acctbal) FROM supplier x WHERE x.s_nationkey = n_nationkey)""")
+def suppliers_above_their_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    mean = s.groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("mean"))
+    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(mean, F.col("s_nationkey") == F.col("k")).where("s_acctbal > mean").select("n_name", "s_name", "s_acctbal")
