@@ -1,18 +1,21 @@
 """Personal data: base patterns, and a semi-Markov conditional random field that adds spans.
 
-The field scores whole candidate segments: runs of up to MOST parts (digit groups, or the words of a
-written-out address) inside a stretch of text that could hold personal data. Its features look at the whole
-span, such as the lengths of all digit groups, the separators between them and a check sum. Dynamic
-programming over at most MOST parts per entity chooses boundaries and types of a stretch together. Weights
-are fitted here, by gradient ascent on the conditional likelihood of generated examples (fixed seed).
+The field scores whole candidate segments: runs of up to MOST parts (digit groups, or a written-out address)
+inside a stretch of text that could hold personal data. Its features look at the whole span, such as how many
+digit groups of which lengths it has, the separators between them, how it begins, a check sum and the word
+before it. Dynamic programming over at most MOST parts per entity chooses boundaries and types of a stretch
+together. Weights are fitted here, by gradient ascent on the conditional likelihood of generated examples
+(fixed seed): usual ways to write each kind, and numbers and phrases that are none.
 
 Every place outside the stretches scores as "no entity" under any weights, since each entity needs four
 digits or a written "at"; so only stretches are decoded. Base matches always stay, and a segment that
-overlaps one is no candidate.
+overlaps one is no candidate. Of equal scores the segmentation with fewer entities stays, then the one whose
+last entity begins first.
 
-Defined cases: a null text is the empty text and has no span; base matches that fail their check are
-dropped without another try; a stretch of any length takes time in proportion to it; other columns of the
-input are not read; a repeated row gives a row each time.
+Defined cases: a null text is the empty text and has no span; an empty table gives no rows; base matches that
+fail their check are dropped without another try; texts, stretches and parts of any length are read whole and
+take time in proportion to them; a text in upper case has the written-out addresses of its lower case; other
+columns of the input are not read; a repeated row gives a row each time.
 """
 
 from __future__ import annotations
@@ -86,17 +89,31 @@ def base_spans(text: str) -> list[Span]:
 #: Parts of one entity at most.
 MOST = 8
 NUMERIC = re.compile(r"(?<![A-Za-z0-9])[0-9][0-9().\x20/:,_-]{2,}[0-9](?![A-Za-z0-9])")
-WRITTEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._+-]{0,63}(?:\x20?[\[({]at[\])}]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\x20?[\[({]dot[\])}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63})+", re.IGNORECASE | re.ASCII)
+AT = re.compile(r"\x20?[\[({]at[\])}]\x20?|\x20at\x20", re.IGNORECASE | re.ASCII)
+PLACE = re.compile(r"[A-Za-z0-9-]+(?:(?:\x20?[\[({]dot[\])}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]+)+", re.IGNORECASE | re.ASCII)
+NAME = LOCAL - {"%"}
 GROUP = re.compile(r"[0-9]+")
 WORD_BEFORE = re.compile(r"([A-Za-z]{2,12})[^A-Za-z0-9]{0,4}$")
 
 
+def written_out(text: str) -> list[tuple[int, int]]:
+    """Each written "at" with the name before it, back to the last address, and the place after it."""
+    found, free = [], 0
+    for m in AT.finditer(text):
+        s = m.start()
+        while s > free and text[s - 1] in NAME:
+            s -= 1
+        while s < m.start() and not text[s].isalnum():
+            s += 1
+        if s < m.start() and m.start() >= free and (p := PLACE.match(text, m.end())):
+            found.append((s, p.end()))
+            free = p.end()
+    return found
+
+
 def stretches(text: str) -> list[tuple[str, int, int]]:
     found = [("n", *m.span()) for m in NUMERIC.finditer(text)] if ANY_DIGIT.search(text) else []
-    low = text.lower()  # only to tell quickly that no written-out address is there
-    if " at " in low or "at]" in low or "at)" in low or "at}" in low:
-        found += [("w", *m.span()) for m in WRITTEN.finditer(text)]
-    return found
+    return found + [("w", s, e) for s, e in written_out(text)]
 
 
 def parts_of(text: str, kind: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -107,20 +124,29 @@ def parts_of(text: str, kind: str, start: int, end: int) -> list[tuple[int, int]
 def features(text: str, kind: str, s: int, e: int, groups: list[tuple[int, int]], before: str) -> list[str]:
     """What the whole span text[s:e] looks like."""
     if kind == "w":
-        v = text[s:e].lower()
-        return ["written", f"marked={any(c in v for c in '[({')}", f"dots={min(3, v.count('dot'))}", f"tail={min(6, len(re.split(r'[^a-z0-9]+', v)[-1] or v))}"]
-    digits = "".join(text[a:b] for a, b in groups)
+        at = AT.search(text, s, e)
+        name, place = text[s : at.start()], text[at.end() : e].lower()
+        marked, plain = "at" != at[0].strip().lower(), name.isalpha()
+        return ["written", f"marked={marked}", f"plain={plain}", f"marked={marked}&plain={plain}", f"dots={min(3, place.count('dot'))}", f"tail={min(6, len(re.split(r'[^a-z0-9]+', place)[-1] or place))}"]
+    sizes = [b - a for a, b in groups]
     gaps = sorted({text[groups[i][1] : groups[i + 1][0]] for i in range(len(groups) - 1)})
-    sizes = "-".join(str(b - a) for a, b in groups)
-    seps = "|".join(gaps)[:12]
-    n = len(digits)
-    out = ["any", f"n={min(n, 20)}", f"sizes={sizes}", f"seps={seps}", f"sizes={sizes}&seps={seps}", f"open={text[s] == '('}"]
+    n, k, seps = sum(sizes), len(groups), "|".join(gaps)[:12]
+    first = text[groups[0][0] : groups[0][0] + 2]
+    lead = first if first in ("00", "01") else first[0] if first[0] in "01" else "other"
+    start = "(" if text[s] == "(" else "0" if lead[0] == "0" else "1" if lead == "1" and sizes[0] == 1 else "other"
+    parted = "few" if k <= 2 else "some" if k <= 5 else "many"
+    out = ["any", f"n={min(n, 20)}", f"groups={min(k, 7)}", f"seps={seps}", f"start={start}", f"start={start}&n={min(n, 20)}", f"start={start}&parted={parted}", f"start={start}&seps={seps}", f"seps={seps}&groups={min(k, 7)}"]
+    out += [f"first={min(sizes[0], 7)}", f"last={min(sizes[-1], 7)}", f"widest={min(max(sizes), 7)}", f"narrowest={min(min(sizes), 7)}", f"even={min(sizes) == max(sizes)}"]
+    if k <= MOST and n <= 20:
+        shape = "-".join(map(str, sizes))
+        out += [f"sizes={shape}", f"sizes={shape}&seps={seps}"]
     if 12 <= n <= 19:
-        out.append(f"luhn={luhn(digits)}")
-    if len(groups) == 4 and gaps == ["."]:
+        right = luhn("".join(text[a:b] for a, b in groups))
+        out += [f"luhn={right}", f"luhn={right}&start={start}"]
+    if k == 4 and gaps == ["."]:
         out.append(f"bytes={all(b - a <= 3 and int(text[a:b]) <= 255 for a, b in groups)}")
     if before:
-        out.append(f"before={before}")
+        out += [f"before={before}", f"before={before}&n={min(n, 20)}"]
     return out
 
 
@@ -134,8 +160,6 @@ def segments(text: str, stretch: tuple[str, int, int], taken: Taken | None = Non
     for i in range(len(parts)):
         for j in range(i, min(len(parts), i + MOST)):
             s, e = parts[i][0], parts[j][1]
-            if e - s > 48 and kind == "n":
-                break
             if kind == "n" and sum(b - a for a, b in parts[i : j + 1]) < 4:
                 continue
             if s and text[s - 1] == "(" and ")" in text[s:e]:
@@ -150,7 +174,7 @@ def log_sum(x: list[float]) -> float:
     return top + math.log(sum(math.exp(v - top) for v in x))
 
 
-def examples(seed: int = 7, n: int = 420) -> list[tuple[str, list[Span]]]:
+def examples(seed: int = 7, n: int = 1000) -> list[tuple[str, list[Span]]]:
     """Generated texts with their entities: the usual ways to write each kind, and numbers that are none."""
     r = random.Random(seed)
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -162,25 +186,42 @@ def examples(seed: int = 7, n: int = 420) -> list[tuple[str, list[Span]]]:
 
     def phone() -> str:
         a, b, c = str(r.randint(2, 9)) + num(2), num(3), num(4)
-        return r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"1-{a}-{b}-{c}"))
+        return r.choice((
+            f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"1-{a}-{b}-{c}", f"(0{num(2)}) {num(4)} {num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(4)} {num(6)}", f"0{num(4)} {num(3)} {num(3)}",
+            f"00{r.randint(20, 99)} {num(2)} {num(7)}", f"00{r.randint(20, 99)} {num(3)} {num(3)} {num(4)}", f"00{r.randint(20, 99)}-{num(2)}-{num(7)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"0{num(1)}.{num(2)}.{num(2)}.{num(2)}.{num(2)}", f"0{num(2)}/{num(7)}", f"0{num(3)}-{num(7)}", f"0{num(2)}-{num(3)}-{num(4)}",
+        ))
+
+    def named() -> tuple[str, str]:
+        """A number that only the word before it tells."""
+        return r.choice(("call ", "phone: ", "tel. ", "mobile ", "fax: ", "cell ", "telephone ", "ring ")), r.choice((str(r.randint(2, 9)) + num(9), f"{num(3)} {num(4)}", f"{num(3)}-{num(4)}", "0" + num(10), f"{num(4)} {num(4)}"))
+
+    def word(least: int = 3, most: int = 8) -> str:
+        return "".join(r.choice("abcdefghiklmnorstu") for _ in range(r.randint(least, most)))
 
     def written() -> str:
-        w = lambda: "".join(r.choice("abcdefghiklmnorstu") for _ in range(r.randint(3, 8)))
-        return w() + r.choice((" [at] ", " (at) ", "[at]")) + w() + r.choice((" [dot] ", " (dot) ", ".")) + r.choice(("com", "org", "net", "de"))
+        end, dot = r.choice(("com", "org", "net", "de")), r.choice((" [dot] ", " (dot) ", ".", "[dot]", "(dot)"))
+        if r.random() < 0.7:
+            return word() + r.choice(("", "." + word(), num(2))) + r.choice((" [at] ", " (at) ", "[at]", "(at)")) + word() + dot + end
+        return word() + r.choice(("." + word(), "_" + word(), num(2))) + " at " + word() + r.choice((" dot ", " dot ", ".")) + end
 
     def none() -> str:
         return r.choice((
-            f"20{num(2)}-{num(2)}-{num(2)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.19{num(2)}", f"{r.randint(1, 999)},{num(3)}", f"{num(2)}.{num(2)}", num(r.randint(4, 20)),
-            f"{num(4)} {num(4)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(2)}:{num(2)}:{num(2)}", f"{r.randint(256, 999)}.{num(3)}.{num(2)}.{num(1)}", f"{num(4)}-{num(4)}-{num(4)}-{num(4)}", f"{num(3)}-{num(2)}", f"{num(2)} {num(2)} {num(2)} {num(2)}", f"{num(4)}/{num(4)}",
-            f"look at {r.choice(('home', 'noon', 'that'))}.then", "he sat at it.is",
+            f"20{num(2)}-{num(2)}-{num(2)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.19{num(2)}", f"0{r.randint(1, 9)}.0{r.randint(1, 9)}.20{num(2)}", f"0{r.randint(1, 9)}/{r.randint(10, 28)}/20{num(2)}", f"{r.randint(1, 999)},{num(3)}", f"{r.randint(1, 99)},{num(3)},{num(3)}", f"{r.randint(1, 99)}.{num(3)}.{num(3)}", f"{num(2)}.{num(2)}", f"0.{num(6)}", num(r.randint(4, 20)), "0" + num(r.randint(4, 11)),
+            f"{num(4)} {num(4)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(2)}:{num(2)}:{num(2)}", f"{r.randint(256, 999)}.{num(3)}.{num(2)}.{num(1)}", f"{r.randint(256, 999)}.{num(3)}.{num(3)}.{num(4)}", f"{num(4)}-{num(4)}-{num(4)}-{num(4)}", f"{num(3)}-{num(2)}", f"{num(3)}-{num(4)}", f"{num(2)} {num(2)} {num(2)} {num(2)}", f"{r.randint(1, 9)}{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"{num(4)}/{num(4)}", f"19{num(2)}-20{num(2)}",
+            f"{num(5)} {num(5)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", " ".join(num(r.randint(1, 4)) for _ in range(r.randint(2, 7))), ", ".join(num(r.randint(1, 3)) for _ in range(r.randint(2, 7))), num(16), num(16),
+            f"look at {r.choice(('home', 'noon', 'that'))}.then", "he sat at it.is", f"{word()} at {word()} dot {r.choice(('com', 'org', 'net'))}", f"{word()} at {word()}.{word(2, 4)}",
         ))
 
     made = []
     for _ in range(n):
         text, spans = r.choice(("", "on the ", "see ", "in that ")), []
         for _ in range(r.choice((1, 1, 1, 2))):
-            kind = r.choice(("email", "ip", "card", "card", "phone", "phone", "", "", "", ""))
-            v = {"email": written, "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), "card": lambda: card(r.choice(("", " ", "-", "."))), "phone": phone, "": none}[kind]()
+            kind = r.choice(("email", "ip", "card", "card", "phone", "phone", "named", "", "", "", "", ""))
+            if kind == "named":
+                kind, (lead, v) = "phone", named()
+                text += lead
+            else:
+                v = {"email": written, "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), "card": lambda: card(r.choice(("", " ", "-", "."))), "phone": phone, "": none}[kind]()
             if kind:
                 spans.append((kind, len(text), len(text) + len(v)))
             text += v + r.choice((" and ", " the ", ", of "))
@@ -224,6 +265,27 @@ def fitted(rounds: int = 30, rate: float = 4.0, decay: float = 1e-3) -> dict[str
     return {f: tuple(weight[i].tolist()) for f, i in names.items()}
 
 
+def best_spans(n: int, scored: list[tuple[int, int, float, Span]]) -> list[Span]:
+    """The spans of the best way to cut n parts into entities (first part, last part, score, span) and parts of none, which score 0."""
+    ends: dict[int, list[tuple[int, float, Span]]] = {}
+    for i, j, score, span in scored:
+        ends.setdefault(j, []).append((i, score, span))
+    best: list[tuple[float, Span | None, int]] = [(0.0, None, 0)]
+    for j in range(n):
+        choice = (best[j][0], None, j)
+        for i, score, span in ends.get(j, ()):
+            if best[i][0] + score > choice[0]:
+                choice = (best[i][0] + score, span, i)
+        best.append(choice)
+    found, j = [], n
+    while j:
+        _, span, i = best[j]
+        if span:
+            found.append(span)
+        j = i
+    return found
+
+
 def decode(text: str, base: list[Span], weights: dict[str, tuple[float, ...]]) -> list[Span]:
     """The best set of entities outside the base matches, stretch by stretch."""
     todo = stretches(text)
@@ -232,38 +294,18 @@ def decode(text: str, base: list[Span], weights: dict[str, tuple[float, ...]]) -
     taken, added = Taken(base), []
     for stretch in todo:
         parts, found = segments(text, stretch, taken)
-        if not found:
-            continue
-        ends: dict[int, list[tuple[int, float, Span]]] = {}
+        scored = []
         for i, j, s, e, seen in found:
-            if "any" in seen and f"sizes={'-'.join(str(b - a) for a, b in parts[i : j + 1])}" not in weights:
-                continue  # a shape that no example had says nothing for an entity
             rows = [weights[f] for f in seen if f in weights]
-            for t, kind in enumerate(KINDS):
-                score = sum(w[t] for w in rows)
-                if score > 0:
-                    ends.setdefault(j, []).append((i, score, (kind, s, e)))
-        best: list[tuple[float, Span | None, int]] = [(0.0, None, 0)]
-        for j in range(len(parts)):
-            choice = (best[j][0], None, j)
-            for i, score, span in ends.get(j, ()):
-                if best[i][0] + score > choice[0]:
-                    choice = (best[i][0] + score, span, i)
-            best.append(choice)
-        j = len(parts)
-        while j:
-            _, span, i = best[j]
-            if span:
-                added.append(span)
-            j = i
-    if added:  # stretches of both sorts may overlap: the earlier start stays
-        added.sort(key=lambda x: (x[1], -x[2]))
-        apart = [added[0]]
-        for x in added[1:]:
-            if x[1] >= apart[-1][2]:
-                apart.append(x)
-        return apart
-    return []
+            scored += [(i, j, score, (kind, s, e)) for t, kind in enumerate(KINDS) if (score := sum(w[t] for w in rows)) > 0]
+        if scored:
+            added += best_spans(len(parts), scored)
+    # stretches of both sorts may overlap: the earlier start stays
+    apart: list[Span] = []
+    for x in sorted(added, key=lambda x: (x[1], -x[2])):
+        if not apart or x[1] >= apart[-1][2]:
+            apart.append(x)
+    return apart
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -82,3 +82,69 @@ def test_odd_rows(spark):
     assert got[2][6] == "email:0:5,ip:6:13" and got[0][5] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     assert [r.n_access for r in secret_scan.scan(docs).collect()] == [0, 0, 1, 1, 0]
     assert personal_data.find(docs.limit(0)).count() == secret_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_field_knows_shapes_that_no_example_had():
+    for phone in ("(020) 7946 0958", "07911 123456", "0049 30 1234567", "04 12 34 56 78"):
+        assert added(f"see {phone} now") == [("phone", phone)], phone
+    assert added("call 7435553824") == [("phone", "7435553824")] and added("7435553824 of them") == []
+    for nothing in ("999.888.777.6666", "he works at acme dot org", "from 1990-1995 to 2001", "id 12345678901234567890", "1,234,567.89 and 3.14159"):
+        assert added(nothing) == [], nothing
+    long = "x" * 5000 + ".y [at] " + "z" * 5000 + " [dot] com"
+    assert added(long) == [("email", long)]
+
+
+def all_ways(n, scored, at=0):
+    """Every way to cut parts at .. n - 1: its score and spans."""
+    if at == n:
+        yield 0.0, []
+        return
+    for score, spans in all_ways(n, scored, at + 1):
+        yield score, spans
+    for i, j, s, span in scored:
+        if i == at:
+            for score, spans in all_ways(n, scored, j + 1):
+                yield score + s, [*spans, span]
+
+
+def test_decoding_against_all_segmentations():
+    r = random.Random(6)
+    for _ in range(300):
+        n = r.randint(1, 6)
+        scored = [(i, j, r.uniform(0.1, 5), (r.choice(personal_data.KINDS), 10 * i, 10 * j + 5)) for i in range(n) for j in range(i, n) for _ in range(r.randint(0, 2))]
+        best, spans = max(all_ways(n, scored), key=lambda x: x[0])
+        got = personal_data.best_spans(n, scored)
+        value = {}
+        for i, j, s, span in scored:
+            value[span] = max(s, value.get(span, 0))
+        assert sum(value[x] for x in got) == pytest.approx(best) and sorted(got) == sorted(spans)
+    weights, pieces = personal_data.fitted(), ["020", " ", "7946", "0958", "-", ".", "4111111111111111", "10.0.0.300", "(555)", "1234567", "12", "00"]
+    for _ in range(300):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(2, 9)))
+        for stretch in personal_data.stretches(text):
+            parts, found = personal_data.segments(text, stretch)
+            if len(parts) <= 7:
+                scored = [(i, j, sum(weights[f][t] for f in seen if f in weights), (k, s, e)) for i, j, s, e, seen in found for t, k in enumerate(personal_data.KINDS)]
+                best = max(score for score, _ in all_ways(len(parts), [x for x in scored if x[2] > 0]))
+                got = set(personal_data.best_spans(len(parts), [x for x in scored if x[2] > 0]))
+                assert sum(s for _, _, s, span in scored if span in got) == pytest.approx(best)
+
+
+def test_queries_against_the_plain_patterns(spark):
+    import hashlib
+
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    rows = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
+    for query, plain, more, module, base in (
+        (personal_data.op4_personal_data, plain_personal, lambda t, b: personal_data.decode(t, b, personal_data.fitted()), personal_data, personal_data.KINDS),
+        (secret_scan.op9_secret_scan, plain_secrets, secret_scan.linked, secret_scan, secret_scan.BASE),
+    ):
+        got = {r.doc_id: r for r in query(spark, sf).collect()}
+        assert len(got) == len(rows)
+        for d, text in rows:
+            found, r = plain(text), got[d]
+            assert [r[f"n_{k}"] for k in base] == [sum(f[0] == k for f in found) for k in base]
+            assert r.base_sha256 == hashlib.sha256(joined(found, base).encode()).hexdigest()
+            assert r.spans == joined(found + more(text, found), module.KINDS)
