@@ -6,7 +6,8 @@ decided by taking both apart along their merges. A table of these last tokens gi
 from its end; an append only extends the table, an edit renews it up to where it agrees again.
 
 Defined cases: a null text is the empty text, with no token; any other text decodes to its own bytes;
-pieces of any length take time in proportion to it; a repeated row gives a row each time.
+pieces of any length take time in proportion to it; an empty table gives no rows; a repeated row gives a row
+each time, and rows without a doc_id are encoded like others; other columns are not read.
 """
 
 from __future__ import annotations

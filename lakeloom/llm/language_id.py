@@ -9,9 +9,11 @@ The model is fitted on a bounded sample: at most SAMPLE documents with a languag
 hash of doc_id, and holds words and n-grams that occur at least twice there. Prediction reads nothing but
 the text.
 
-Defined cases: a text without a letter, and a null text, is `und` with score 0; without any training
-language all texts are `und`; equal scores go to the language that sorts first; rows that repeat a doc_id
-give a row each; texts are read whole; other columns are not read.
+Defined cases: a text without a letter (Unicode's categories L), and a null text, is `und` with score 0; numerals
+that are no digits, such as ² and Ⅷ, are no letters; without any training language all texts are `und`; an
+empty table gives no rows; equal scores go to the language that sorts first; rows that repeat a doc_id give a row
+each, and of such rows in the sample the one whose text sorts first is learnt from; texts of any length are read
+whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +41,11 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters; numerals such as ² count as \\w but not as digits, so words that hold one are parted there."""
+    found = LETTERS.findall(text.lower())
+    if "".join(found).isalpha() or not found:
+        return found
+    return [part for w in found for part in (w if w.isalpha() else "".join(c if c.isalpha() else " " for c in w)).split()]
 
 
 def code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +171,9 @@ def training_sample(docs: DataFrame, train_rows, sample: int = SAMPLE) -> list[t
     """At most sample texts with their language, the first in order of a hash of doc_id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).where(train_rows)
     ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids.distinct()), "doc_id").dropDuplicates(["doc_id"]).collect()
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: r.doc_id)]
+    first = F.min(F.struct("text", "lang")).alias("first")
+    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids.distinct()), "doc_id").groupBy("doc_id").agg(first).collect()
+    return [(r.first.text, r.first.lang) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -10,7 +10,8 @@ No label of the tables is used.
 
 Defined cases: a text without a word (null, empty, white space) scores 0 and is rejected; an empty table
 gives no rows; where all patterns fall on one side, the posteriors are the scores; rows that repeat a doc_id
-give a row each; texts of any length are read whole, in blocks; other columns are not read.
+give a row each, and of such rows in the sample the one whose text sorts first is learnt from; texts of any
+length are read whole, in blocks; other columns are not read.
 """
 
 from __future__ import annotations
@@ -249,7 +250,8 @@ def trained(docs: DataFrame) -> Scorer:
     if not ids:
         return Scorer(np.zeros(BUCKETS, np.float32), np.zeros(1024), 1.0)
     chosen = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, target double")
-    sample = sorted(texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
+    sample = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "target").agg(F.min("text").alias("text"))
+    sample = sorted(sample.collect(), key=lambda r: r.doc_id)
     target = np.array([r.target for r in sample])
     scorer = Scorer.fit([r.text.encode() for r in sample], target)
     # the sample has as many of either side; the bias goes back to the shares of all documents

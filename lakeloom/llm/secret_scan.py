@@ -7,8 +7,9 @@ A text falls into scopes, the blocks between blank lines. Within a scope the par
 REACH characters, are joined in order of position; a weak part is reported only when a part of another,
 complementary role (weak or strong) overlaps its widened interval in the same scope.
 
-Defined cases: a null text is the empty text and has no span; base matches that fail their length are
-dropped without another try; a weak part that overlaps a base match is not reported; other columns of
+Defined cases: a null text is the empty text and has no span; an empty table gives no rows; base matches that
+fail their length are dropped without another try; a weak part that overlaps a base match is not reported, and of
+two weak parts at one place a named identifier stays; texts and parts of any length are read whole; other columns of
 the input are not read; a repeated row gives a row each time.
 """
 

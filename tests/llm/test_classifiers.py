@@ -44,6 +44,10 @@ def test_language_backs_off(spark):
     assert [(r.doc_id, r.lang_pred) for r in language_id.identified(docs, model).collect()] == [(1, "und"), (1, "und"), (None, "de")]
     assert [r.lang_pred for r in language_id.identified(docs, language_id.Model.fit([])).collect()] == ["und"] * 3
     assert language_id.identified(docs.limit(0), model).count() == 0
+    numerals = spark.createDataFrame([(1, "²"), (2, "½ ①"), (3, "Ⅷ 12 ٣"), (4, "²katze")], "doc_id long, text string")
+    assert [r.lang_pred for r in language_id.identified(numerals, model).collect()] == ["und", "und", "und", "de"]
+    again = spark.createDataFrame([(2, "b c", "de"), (2, "a c", "fr"), (3, "x", "fr")], "doc_id long, text string, lang string")
+    assert language_id.training_sample(again, crc_mod(3) != 9) == [("a c", "fr"), ("x", "fr")]
 
 
 def test_gradients_by_differences():
