@@ -69,7 +69,11 @@ def swept(spark: SparkSession, keep: int = 0):
 
 
 def released(spark: SparkSession) -> None:
-    """The driver collects its garbage, so that Spark deletes shuffle files of finished steps now and not at its next half hour."""
+    """The driver collects its garbage, so that Spark deletes shuffle files of finished steps now and not at its next half hour.
+
+    A small job comes first: each queue of listeners holds the last event, and with it the plan of the step that it ended.
+    """
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
