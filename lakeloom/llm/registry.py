@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import bpe, decontamination, exact_dedup, katz, language_id, personal_data, quality, secret_scan, simhash, toxicity
+from lakeloom.llm import bpe, decontamination, exact_dedup, katz, language_id, partial, personal_data, quality, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_katz": katz.op8_katz,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_quality": quality.op10_quality,
+    **partial.QUERIES,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    **partial.ORACLES,
 }
