@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import bpe, decontamination, exact_dedup, katz, language_id, partial, personal_data, quality, secret_scan, simhash, toxicity
+from lakeloom.llm import bpe, decontamination, exact_dedup, katz, language_id, partial, personal_data, quality, secret_scan, simhash, simhash_sql, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -20,5 +20,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op3_simhash": simhash_sql.OP3_SQL,
     **partial.ORACLES,
 }

@@ -1,16 +1,16 @@
 import duckdb
 import pytest
 
-from lakeloom.llm import partial
+from lakeloom.llm import partial, registry
 from tests.test_core import plain
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(partial.QUERIES))
+@pytest.mark.parametrize("name", [*sorted(partial.QUERIES), "op3_simhash"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    ours, theirs = partial.QUERIES[name](spark, SF), con.sql(partial.ORACLES[name])
+    ours, theirs = registry.QUERIES[name](spark, SF), con.sql(registry.ORACLES[name])
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert plain(ours.columns, ours.collect()) == plain(theirs.columns, theirs.fetchall())
