@@ -4,8 +4,9 @@ Strong parts are the base matches (assignments, access identifiers, long hexadec
 each worthless alone, have a role: an identifier (a short access identifier, a client or account id),
 a secret (an opaque mixed run of letters and digits) or an endpoint (a URL or host with a service name).
 A text falls into scopes, the blocks between blank lines. Within a scope the parts' intervals, widened by
-REACH characters, are joined in order of position; a weak part is reported only when a part of another,
-complementary role (weak or strong) overlaps its widened interval in the same scope.
+`reach` characters, are joined in order of position; a weak part is reported only when a part of another,
+complementary role (weak or strong) overlaps its widened interval in the same scope. REACH keeps prose without
+blank lines from being one scope; with reach None the scope alone bounds the join.
 
 Defined cases: a null text is the empty text and has no span; an empty table gives no rows; base matches that
 fail their length are dropped without another try; a weak part that overlaps a base match is not reported, and of
@@ -33,7 +34,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE = 12
 
-#: How far, in characters, a complementary part may be.
+#: How far, in characters, a complementary part may be unless a caller says otherwise.
 REACH = 200
 #: An identifier that is too short for the base, or an id that is named as one.
 IDENTIFIER = re.compile(r"""AKIA[A-Z0-9]{8,13}(?![A-Z0-9])|(?ai:client|account|access|user)[_-]?(?ai:id|key)["']?\x20{0,4}[:=]\x20{0,4}["']?(?P<value>[A-Za-z0-9_-]{4,})""")
@@ -77,7 +78,7 @@ def weak_parts(text: str, base: list[Span]) -> list[Span]:
 ROLE = {"assign": "opaque", "access": "identifier", "hex": "opaque"}
 
 
-def linked(text: str, base: list[Span]) -> list[Span]:
+def linked(text: str, base: list[Span], reach: int | None = REACH) -> list[Span]:
     """The weak parts that have a complementary part within reach and scope.
 
     An interval join: parts are sorted by start, with the running maximum of their ends per role and scope. Of the
@@ -94,24 +95,25 @@ def linked(text: str, base: list[Span]) -> list[Span]:
         tops.append(max(e, tops[-1]) if scopes and scopes[-1] == scope else e)
         starts.append(s)
         scopes.append(scope)
+    reach = len(text) if reach is None else reach
     found = []
     for kind, s, e in weak:
         scope = bisect.bisect_right(cuts, s)
         for role, (starts, tops, scopes) in at.items():
             if role == kind:
                 continue
-            j = min(bisect.bisect_right(starts, e + REACH), bisect.bisect_right(scopes, scope)) - 1
-            if j >= 0 and scopes[j] == scope and tops[j] >= s - REACH:
+            j = min(bisect.bisect_right(starts, e + reach), bisect.bisect_right(scopes, scope)) - 1
+            if j >= 0 and scopes[j] == scope and tops[j] >= s - reach:
                 found.append((kind, s, e))
                 break
     return found
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of docs."""
 
     def rows(batches):
-        return span_rows(batches, base_spans, linked, BASE, KINDS, ("n_assign", "n_access", "n_hex"))
+        return span_rows(batches, base_spans, lambda text, base: linked(text, base, reach), BASE, KINDS, ("n_assign", "n_access", "n_hex"))
 
     return texts(docs).mapInArrow(rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
