@@ -222,7 +222,7 @@ def lines_by_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, ntile(4) OVER w AS quarter, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS rank, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS dense, percent_rank() OVER w AS share, cume_dist() OVER w AS below
+SELECT p_partkey, (ntile(4) OVER w)::INT AS quarter, (rank() OVER (PARTITION BY p_brand ORDER BY p_size))::INT AS rank, (dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size))::INT AS dense, percent_rank() OVER w AS share, cume_dist() OVER w AS below
 FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)""")
 def part_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
@@ -259,12 +259,12 @@ def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY o_orderdate, o_orderkey) AS priorities, len(list(o_orderkey)) AS n, list_sort(list(DISTINCT o_orderstatus)) AS statuses
+SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY o_orderdate, o_orderkey) AS priorities, len(list(o_orderkey)) AS n, array_to_string(list_sort(list(DISTINCT o_orderstatus)), '') AS statuses
 FROM orders GROUP BY 1""")
 def priorities_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderpriority")))
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        F.array_join(F.transform(ordered, lambda x: x["o_orderpriority"]), "|").alias("priorities"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("o_orderstatus")).alias("statuses")
+        F.array_join(F.transform(ordered, lambda x: x["o_orderpriority"]), "|").alias("priorities"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), "").alias("statuses")
     )
 
 
