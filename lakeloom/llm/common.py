@@ -45,7 +45,8 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at).select(df.columns)
 
 
-def _delete(spark: SparkSession, at: str) -> None:
+def deleted(spark: SparkSession, at: str) -> None:
+    """Delete a folder that fresh_path() gave."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     _WRITTEN.remove(at)
@@ -55,7 +56,7 @@ def removed(table: DataFrame) -> None:
     """A table that written() gave is deleted; nothing that is computed later may read it."""
     files = table.inputFiles()
     for at in [x for x in _WRITTEN if files and f"/{x.rsplit('/', 1)[-1]}/" in files[0]]:
-        _delete(table.sparkSession, at)
+        deleted(table.sparkSession, at)
 
 
 @contextmanager
@@ -65,7 +66,7 @@ def swept(spark: SparkSession, keep: int = 0):
     yield
     made = [x for x in _WRITTEN if x not in before]
     for at in made[: len(made) - keep]:
-        _delete(spark, at)
+        deleted(spark, at)
 
 
 def released(spark: SparkSession) -> None:
@@ -95,6 +96,27 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+#: Ids, or rows as small, that may be broadcast: 16 bytes or so each.
+SMALL = 1_000_000
+
+
+def few(rows: DataFrame) -> bool:
+    return rows.count() <= SMALL
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """For a join: broadcast if the rows are counted few, else dealt out with the other side."""
+    return F.broadcast(rows) if few(rows) else rows
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among ids (one column, written)."""
+    name = "dropped_id"
+    while name in docs.columns:
+        name += "_"
+    return docs.join(sized(ids.toDF(name)), docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_anti")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

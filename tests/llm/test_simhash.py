@@ -110,3 +110,25 @@ def test_odd_rows(spark):
     assert {c for d, f, c in got if d in (4, 5, None)} == {4}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert simhash.deduplicate(docs).columns == docs.columns
+
+
+def test_hot_roots_are_dealt_again(spark):
+    r = random.Random(11)
+    values = set()  # all agree on 30 bits: whole first and second deals are hot
+    while len(values) < 3000:
+        values.add(r.getrandbits(34))
+    values = sorted(values)
+    for m in simhash.further(simhash.mask_of(list(range(20, 41))), 4):
+        assert m & simhash.mask_of(list(range(20, 41))) == simhash.mask_of(list(range(20, 41)))
+    rows = [(v, i) for i, v in enumerate(values)]
+    found = simhash.links(spark.createDataFrame(rows, "fp long, rep long").repartition(3), hot=100)
+    top = {i: i for i in range(len(values))} | {x.id: x.root for x in simhash.components(found).collect()}
+    assert top == brute_components(dict(enumerate(values)))
+
+
+def test_rows_without_an_id_link_others(spark):
+    rows = [(0, 0b0), (None, 0b1111), (2, 0b11111111), (None, 1 << 60 | 0xFFFF0000), (5, 0xFF00FF00FF00)]
+    each = spark.createDataFrame(rows, "doc_id long, fp long")
+    distinct = each.groupBy("fp").agg({"doc_id": "min"}).toDF("fp", "rep")
+    got = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.linked(each, distinct, 4, 4096, 64).collect()), key=lambda x: rows.index(x[:2]))
+    assert [c for _, _, c in got] == [0, 0, 0, None, 5]

@@ -16,9 +16,10 @@ def alike(a, b):
     return len(a & b) >= 0.8 * len(a | b)
 
 
-@pytest.mark.parametrize("group", [256, 4])
-def test_stage_drops_edited_copies(spark, monkeypatch, group):
+@pytest.mark.parametrize("group,most", [(256, 4096), (4, 4096), (4, 8)])
+def test_stage_drops_edited_copies(spark, monkeypatch, group, most):
     monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "MOST", most)
     r = random.Random(8)
     words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
     rows = []
@@ -53,3 +54,23 @@ def test_stage_on_the_tables(spark):
         for b in kept[:i]:
             y = sets[b]
             assert 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)) or not x & y or not alike(x, y)
+
+
+def test_texts_of_one_vocabulary_are_not_linked(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(300))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.compared(docs).count() == 0
+    assert simhash.linked(docs.limit(0).selectExpr("doc_id", "doc_id fp"), docs.limit(0).selectExpr("doc_id fp", "doc_id rep"), 4, 9, 64).count() == 0
+
+
+def test_stage_of_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(3, None), (1, ""), (2, " \n"), (4, long), (5, long + " more"), (6, long), (6, long), (None, long), (7, "Some words"), (8, "some  words"), (9, "other words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for clash in ("component_id", "compared_id", "dropped_id", "tags", "group"):
+        docs = docs.selectExpr("*", f"cast(null as long) {clash}")
+    kept = simhash.deduplicate_similar(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [1, 4, 7, 9, None]
+    assert simhash.deduplicate_similar(docs.limit(0)).count() == 0
