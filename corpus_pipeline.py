@@ -1,7 +1,15 @@
 """The corpus pipeline: quality, exact and near duplicates, benchmark passages, tokens.
 
 Each stage reads all that the one before it kept, written as Parquet in the shared folder. The first four
-return rows of documents, unchanged and with all columns; the last returns tokens. Counted with lakeloom.llm.
+return rows of documents, unchanged and with all columns; the last returns tokens. What a stage itself wrote on
+the way, and the stage before it, is deleted once the stage is written. Counted with lakeloom.llm.
+
+Defined cases: null and empty texts have no words, so the quality stage rejects them; after that (each stage also
+takes any table) they are equal texts to the exact and the near stage, hold no item and have no tokens. Rows without
+a doc_id are one document to the exact stage, are kept by the near stage, and are dropped together by the benchmark
+stage if one of them holds an item. Rows that repeat a doc_id are kept or dropped together by all stages but the
+first, which looks at each text. Of ties the smallest doc_id stays. Very long texts are read whole. Empty tables give
+empty tables. Other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm import bpe, decontamination, exact_dedup, quality, simhash
-from lakeloom.llm.common import read, written
+from lakeloom.llm.common import read, removed, swept, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +55,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with swept(spark, keep=1):
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:
+            removed(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -29,12 +29,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import read, texts, written
+from lakeloom.llm.common import read, sized, texts, without, written
 
 FIVE, LEAST = 5, 0.8
 BLOCKS, RADIUS, BITS = 5, 19, 64
-#: Rows of an index, or ids, that may be broadcast; 16 bytes or so each.
-SMALL = 1_000_000
 
 
 def with_shingles(rows: DataFrame) -> DataFrame:
@@ -137,16 +135,14 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFram
     most = known.agg(F.max("n")).first()[0] or 0
     known = written(numbered(fingerprinted(known, most)), "items")
     index = known.select("item", "n", F.explode("h").alias("x")).distinct()
-    small = index.count() <= SMALL
 
     # not posexplode: its inferred filter on h would be pushed down and split a text for each of its words
     each = with_shingles(texts(docs)).select("doc_id", F.size("h").alias("size"), F.posexplode_outer("h").alias("at", "x"))
-    found = each.join(F.broadcast(index) if small else index, "x")
+    found = each.join(sized(index), "x")
     runs = written(bounded_runs(found.select("doc_id", "item", "n", "size", "at").distinct(), least), "runs")
 
     ids = written(runs.select("doc_id").distinct(), "touched").toDF("touched_id")
-    few = ids.count() <= SMALL
-    touched = texts(docs).join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("touched_id")), "left_semi")
+    touched = texts(docs).join(sized(ids), F.col("doc_id").eqNullSafe(F.col("touched_id")), "left_semi")
     touched = with_shingles(touched).withColumnRenamed("doc_id", "held_id").withColumn("held_size", F.size("h"))
     here = F.col("doc_id").eqNullSafe(F.col("held_id")) & (F.col("size") == F.col("held_size"))
     # a window that loses the shingle it takes up is the one before it
@@ -165,9 +161,7 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFram
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no item."""
-    bad = written(matches(docs, items).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    few = bad.count() <= SMALL
-    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    return without(docs, written(matches(docs, items).select("doc_id").distinct(), "contaminated"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 The index is a Parquet table of one row per distinct text: its digest and the document that stays.
 New data are reduced to distinct digests, deduplicated against the index by a sort-merge anti-join
-(the index side needs neither shuffle nor sort of its own), and what is new is appended.
+(the index side is read by its buckets and needs no shuffle; Spark sorts each bucket again, as every append
+adds a sorted file to it), and what is new is appended. One writer at a time may append to an index.
 
 Defined cases: a null text is the empty text; an empty table gives no rows; rows that repeat a doc_id
-are one document, so each of them carries the same decision; other columns of the input are not read.
+are one document, which stays if one of its texts does; texts of any length are read whole; groups of any
+size are counted in tasks before they meet; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import fresh_path, read, texts, written
+from lakeloom.llm.common import deleted, fresh_path, read, texts, without, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -35,8 +37,10 @@ class DigestIndex:
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.at = None
         if not spark.catalog.tableExists(self.name):
             at = path or fresh_path(spark, self.name)
+            self.at = None if path else at
             spark.sql(
                 f"CREATE TABLE {self.name} (text_sha256 STRING, keep_id BIGINT) USING parquet "
                 f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{at}'"
@@ -45,6 +49,12 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def discard(self) -> None:
+        """Delete an index that this object made in the folder of intermediate tables; decisions already given stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if self.at:
+            deleted(self.spark, self.at)
+
     def add(self, docs: DataFrame) -> DataFrame:
         """Append the new texts of docs; a decision for each row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -60,14 +70,22 @@ class DigestIndex:
         return each.join(decided, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def decided(docs: DataFrame) -> DataFrame:
+    """What a new index decides on docs alone."""
+    index = DigestIndex(docs.sparkSession)
+    out = index.add(docs)
+    index.discard()
+    return out
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs whose text is the first of its group, by a new index."""
-    kept = DigestIndex(docs.sparkSession).add(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    each = decided(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return without(docs, written(each.where("not kept").select("doc_id"), "dropped"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DigestIndex(spark).add(read(spark, sf_dir, "documents"))
+    return decided(read(spark, sf_dir, "documents"))
 
 
 OP1_SQL = r"""

@@ -10,7 +10,7 @@ from lakeloom.llm import quality
 from lakeloom.llm.bpe import VOCABULARY, load_ranks
 from lakeloom.llm.common import read
 from tests.llm.test_decontamination import brute
-from tests.llm.test_simhash import brute_components, plain_fingerprint
+from tests.llm.test_similar import alike, plain_set
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,8 +34,11 @@ def test_run_against_plain_stages(spark):
     rows = [x for x in rows if x[0] in good]
     first = plain_exact(rows)
     rows = [x for x in rows if x[0] in first]
-    top = brute_components({d: plain_fingerprint(t) for d, t in rows})
-    rows = [x for x in rows if top[x[0]] == x[0]]
+    standing = {}
+    for d, t in sorted(rows):
+        if not any(alike(plain_set(t), x) for x in standing.values()):
+            standing[d] = plain_set(t)
+    rows = [x for x in rows if x[0] in standing]
     held = {d for d, _ in brute(rows, items)}
     rows = [x for x in rows if x[0] not in held]
     ranks = {t: i for i, t in enumerate(load_ranks(tok.path(VOCABULARY)))}
@@ -56,3 +59,26 @@ def test_stages_keep_columns(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
         assert out.exceptAll(docs).count() == 0 and stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_stages_of_odd_rows(spark):
+    """Each stage on nulls, empty and very long texts, repeated rows and rows without a doc_id."""
+    prose = [f"Plain sentence number {i} of some ordinary words, which say nothing much about the {i}th thing at hand today." for i in range(40)]
+    long = " ".join(prose) + " And " + " ".join(f"word{i} goes on" for i in range(30_000)) + "."
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(prose)]
+    rows += [(50, None, None, None, None), (51, "", "en", "s", 0), (52, long, "en", "s", len(long)), (53, long, "en", "s", len(long)), (54, prose[3], "en", "s", 1), (54, prose[3], "en", "s", 1), (None, prose[5], "en", "s", 1), (None, "Nothing but one more plain sentence of its own, in usual words.", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = sorted(((r.doc_id, r.text) for r in stage(spark, docs, SF).collect()), key=str)
+        ids = [d for d, _ in kept]
+        assert set(kept) <= {(r[0], r[1]) for r in rows}, name
+        if name == "quality":
+            assert 50 not in ids and 51 not in ids and {0, 52, 53, 54} <= set(ids), name
+        elif name == "exact_dedup":
+            assert 50 in ids and 51 not in ids and 53 not in ids and 54 not in ids and ids.count(None) == 2, name
+        elif name == "near_dedup":
+            assert 50 in ids and 51 not in ids and 53 not in ids and 54 not in ids and ids.count(None) == 2, name
+        else:
+            assert ids.count(54) == 2 and ids.count(None) == 2 and {50, 51, 52, 53} <= set(ids), name
+    out = corpus_pipeline.token_stage(spark, docs, SF)
+    assert out.count() == len(rows) and {r.n_tokens for r in out.where("doc_id in (50, 51)").collect()} == {0}
