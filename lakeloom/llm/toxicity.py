@@ -1,23 +1,30 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
-A word of more than PIECE characters counts as several, its consecutive pieces. A word's input is the sum of its own vector (words of the sample's vocabulary; others share one) and the
-mean vector of its hashed n-grams of characters (of their bytes). Two gated recurrent layers read a window of SPAN words in both
-directions, attention pools their states, and a logistic unit scores the window. A document's score is that
-of its highest window, over all overlapping windows of the whole text.
+A word of more than PIECE characters counts as several, its consecutive pieces. A word's input is the sum of its
+own vector (words of the sample's vocabulary; others share one) and the mean vector of its hashed n-grams of
+characters (of their bytes). Two gated recurrent layers read a stretch of STRETCH words in both directions,
+attention pools their states over each window of SPAN words in it, and a logistic unit scores the window.
+Stretches overlap so that every start of a window lies in one: window s is the (s mod STEP)-th of stretch
+s / STEP. A document's score is that of its highest window, over all overlapping windows of the whole text;
+windows share the states of their stretch, so that a word costs about one and a half steps in either direction
+however many windows hold it.
 
 Labels are of documents, so training goes by rounds: each document is represented by its highest window so
 far (first: by the words' log odds), clean documents also by random windows. The sample is bounded: at most
-PER_CLASS labelled documents of each class, the first in order of a hash of doc_id.
+PER_CLASS labelled documents of each class, the first in order of a hash of doc_id; of rows that repeat a
+doc_id the one whose text sorts first.
 
 Defined cases: texts without a word, and null texts, score 0; several labels for one doc_id: the highest
 counts; null labels are not used; where the sample lacks a class every score is 0; rows that repeat a
-doc_id give a row each; other columns are not read.
+doc_id give a row each; an empty table gives no rows; texts of any length are read whole; other columns are
+not read.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +35,16 @@ from lakeloom.llm.common import crc_mod, held_out, read, texts
 
 #: Words in a window; and characters of a word: longer ones are cut into pieces, each an input of its own.
 SPAN, PIECE = 24, 32
+#: Words that are read together, and how many windows start in them: those that lie inside.
+STRETCH = 72
+STEP = STRETCH - SPAN + 1
 PER_CLASS = 1000
 WORD_SIZE, HIDDEN, ATTENTION = 16, 8, 8
 #: 13 bits of the n-gram hash are kept.
 GRAM_BUCKETS, VOCABULARY = 1 << 13, 4000
 WORD = re.compile(r"\w+")
-#: Windows that are scored at once, and words whose inputs a worker keeps.
-BATCH, KEPT_WORDS = 4096, 200_000
+#: Stretches that are scored at once, and words whose inputs a worker keeps.
+BATCH, KEPT_WORDS = 512, 200_000
 SEED = 11
 
 
@@ -70,6 +80,28 @@ def windows(n: int) -> np.ndarray:
     return np.arange(max(min(n, 1), n - SPAN + 1))
 
 
+def stretches(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of so many words, one behind the other: each stretch's first word, its words, and how many windows start in it."""
+    starts = np.where(sizes > 0, np.maximum(sizes - SPAN, 0) + 1, 0)
+    per = -(-starts // STEP)
+    text = np.repeat(np.arange(len(sizes)), per)
+    offset = (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * STEP
+    first = np.cumsum(sizes) - sizes
+    return first[text] + offset, np.minimum(STRETCH, sizes[text] - offset), np.minimum(STEP, starts[text] - offset)
+
+
+def sliding(x: np.ndarray, size: int) -> np.ndarray:
+    """Sums of `size` rows that follow each other, from sums of 1, 2, 4 ...; nothing is taken off again."""
+    n, out, at, width = len(x) - size + 1, 0, 0, 1
+    while width <= size:
+        if size & width:
+            out = out + x[at : at + n]
+            at += width
+        x = x[:-width] + x[width:]
+        width *= 2
+    return out
+
+
 def gathered(values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of values by index."""
     return np.stack([np.bincount(index, v, n) for v in values.T], axis=1).astype(np.float32)
@@ -106,8 +138,8 @@ class Model:
         sizes = np.diff(np.r_[starts, len(flat)])[:, None].astype(np.float32)
         return self.p["word"][ids] + np.add.reduceat(self.p["gram"][flat], starts, axis=0) / sizes
 
-    def forward(self, gates: dict[str, np.ndarray], mask: np.ndarray, keep: bool = False):
-        """gates: for each way the input part (windows, words, 3 hidden); mask (windows, words). Logits, and states if asked for."""
+    def forward(self, gates: dict[str, np.ndarray], mask: np.ndarray, keep: bool = False, pool: np.ndarray | None = None):
+        """gates: for each way the input part (words, stretches, 3 hidden); mask (stretches, words): what is there; pool: a window in it. Logits, and states if asked for."""
         n, t, h = mask.shape[0], mask.shape[1], HIDDEN
         states, kept = np.empty((t, n, 2 * h), np.float32), {}
         for way, order in (("f", range(t)), ("b", range(t - 1, -1, -1))):
@@ -125,7 +157,7 @@ class Model:
                 states[i, :, at : at + h] = state
             kept[way] = log
         u = np.tanh(states @ self.p["att"] + self.p["att_bias"])
-        s = u @ self.p["att_out"] + (mask.T - 1) * 1e4
+        s = u @ self.p["att_out"] + ((mask if pool is None else pool).T - 1) * 1e4
         e = np.exp(s - s.max(axis=0))
         alpha = e / e.sum(axis=0)
         pooled = np.einsum("tn,tnk->nk", alpha, states)
@@ -135,12 +167,12 @@ class Model:
     def gates(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
         return {way: vectors @ self.p[f"in_{way}"] + self.p[f"bias_{way}"] for way in ("f", "b")}
 
-    def gradient(self, vectors: np.ndarray, at: np.ndarray, mask: np.ndarray, label: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Of the mean logistic loss, for all parameters but the word and n-gram tables, and for vectors. at (words, windows)."""
+    def gradient(self, vectors: np.ndarray, at: np.ndarray, mask: np.ndarray, label: np.ndarray, pool: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the mean logistic loss, for all parameters but the word and n-gram tables, and for vectors. at (words, stretches)."""
         p, h, n = self.p, HIDDEN, len(label)
         x = vectors[at]
         gates = {way: x @ p[f"in_{way}"] + p[f"bias_{way}"] for way in ("f", "b")}
-        logit, states, u, alpha, pooled, kept = self.forward(gates, mask, keep=True)
+        logit, states, u, alpha, pooled, kept = self.forward(gates, mask, True, pool)
         g: dict[str, np.ndarray] = {}
         d_logit = ((sigmoid(logit) - label) / n).astype(np.float32)
         g["out"], g["out_bias"] = pooled.T @ d_logit, d_logit.sum(keepdims=True)
@@ -170,16 +202,55 @@ class Model:
             d_x += d_gate @ p[f"in_{way}"].T
         return g, gathered(d_x.reshape(-1, x.shape[-1]), at.ravel(), len(vectors))
 
-    def score(self, gates: dict[str, np.ndarray], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Logits of windows ids[start:end]; gates by word."""
-        out = np.empty(len(starts), np.float32)
-        for k in range(0, len(starts), BATCH):
-            s, e = starts[k : k + BATCH], ends[k : k + BATCH]
-            where = np.arange(SPAN)[:, None] + s
-            mask = where < e
-            at = ids[np.minimum(where, len(ids) - 1)]
-            out[k : k + BATCH] = self.forward({way: gates[way][at] for way in ("f", "b")}, mask.T.astype(np.float32))
-        return out
+    def score(self, gates: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Logits of all windows of texts of so many words, in order; gates by word, as tables() gives them."""
+        start, length, count = stretches(sizes)
+        out = [np.zeros(0, np.float32)]
+        for k in range(0, len(start), BATCH):
+            s, n, c = start[k : k + BATCH], length[k : k + BATCH], count[k : k + BATCH]
+            width = max(SPAN, int(n.max()))
+            at = np.minimum(s[:, None] + np.arange(width), len(ids) - 1)
+            logits = self.window_logits(gates, ids[at].T, n).T
+            out.append(logits[np.arange(logits.shape[1]) < c[:, None]])
+        return np.concatenate(out)
+
+    def tables(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
+        """Gates for window_logits: the logistic units' halved, as they are taken from tanh."""
+        half = np.r_[np.full(2 * HIDDEN, 0.5, np.float32), np.ones(HIDDEN, np.float32)]
+        return {way: x * half for way, x in self.gates(vectors).items()}
+
+    def window_logits(self, gates: dict[str, np.ndarray], ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """ids (words, stretches), and how many words of a stretch there are. Logits of the windows from its first, second ... word; numbers stand in columns by stretch."""
+        t, n, h = *ids.shape, HIDDEN
+        there = np.arange(t)[:, None] < length
+        att, out = self.p["att"].T, self.p["out"]
+        attention, value = np.empty((t, ATTENTION, n), np.float32), np.zeros((t, n), np.float32)
+        for way in ("f", "b"):
+            own = np.ascontiguousarray(0.5 * self.p[f"own_{way}"].T)
+            part = slice(0, h) if way == "f" else slice(h, 2 * h)
+            mix, say = np.ascontiguousarray(att[:, part]), out[part]
+            state = np.zeros((h, n), np.float32)
+            for i in range(t) if way == "f" else range(t - 1, -1, -1):
+                x, mine = np.ascontiguousarray(gates[way][ids[i]].T), own @ state
+                x[: 2 * h] += mine[: 2 * h]
+                zr = np.tanh(x[: 2 * h], out=x[: 2 * h])
+                zr += 1
+                mine[2 * h :] *= zr[h:]
+                mine[2 * h :] += x[2 * h :]
+                new = np.tanh(mine[2 * h :], out=mine[2 * h :])
+                new -= state
+                new *= zr[:h]
+                new *= 0.5 * there[i]
+                state += new
+                if way == "f":
+                    attention[i] = mix @ state
+                else:
+                    attention[i] += mix @ state
+                value[i] += say @ state
+        attention += self.p["att_bias"][:, None]
+        s = np.einsum("a,tan->tn", self.p["att_out"], np.tanh(attention, out=attention)).astype(np.float64)
+        e = np.exp(s - s.max(axis=0)) * there
+        return sliding(e * value, SPAN) / np.maximum(sliding(e, SPAN), 1e-300) + self.p["out_bias"][0]
 
 
 def train(sample: list[tuple[str, int]], rounds: int = 4, epochs: int = 3, least_steps: int = 60, rate: float = 0.01) -> Model | None:
@@ -203,10 +274,10 @@ def train(sample: list[tuple[str, int]], rounds: int = 4, epochs: int = 3, least
     starts_of = [windows(n) + f for n, f in zip(sizes, first, strict=True)]
     per = np.array([len(s) for s in starts_of])
     bounds = np.cumsum(per) - per
-    starts = np.concatenate(starts_of)
-    ends = np.minimum(starts + SPAN, np.repeat(first + sizes, per))
+    starts, text = np.concatenate(starts_of), np.repeat(np.arange(len(docs)), per)
+    ends = np.minimum(starts + SPAN, (first + sizes)[text])
     label = np.array([y for _, y in docs], np.float32)
-    clean = np.flatnonzero(np.repeat(label, per) == 0)
+    clean = np.flatnonzero(label[text] == 0)
     value = np.maximum.reduceat(np.r_[odds[ids], -9.0], np.c_[starts, ends].ravel())[::2]
     moments: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     vocabulary, step = list(names), 0
@@ -220,14 +291,17 @@ def train(sample: list[tuple[str, int]], rounds: int = 4, epochs: int = 3, least
             order = r.permutation(len(chosen))
             for k in range(0, len(order), 128):
                 some = order[k : k + 128]
-                s, e = starts[chosen[some]], ends[chosen[some]]
-                where = np.arange(SPAN)[:, None] + s
-                mask = (where < e).T.astype(np.float32)
+                one = chosen[some]
+                s, e, begin = starts[one], ends[one], first[text[one]]
+                begin += (s - begin) // STEP * STEP  # of the stretch
+                end = np.minimum(begin + STRETCH, (first + sizes)[text[one]])
+                where = np.arange((end - begin).max())[:, None] + begin
+                mask, pool = (where < end).T.astype(np.float32), ((where >= s) & (where < e)).T.astype(np.float32)
                 used, at = np.unique(ids[np.minimum(where, len(ids) - 1)], return_inverse=True)
                 wid, gz = word_ids[used], gram_sizes[used]
                 gs = np.cumsum(gz) - gz
                 fl = flat[np.repeat(gram_starts[used] - gs, gz) + np.arange(gz.sum())]
-                g, d = model.gradient(model.vectors(wid, fl, gs), at.reshape(where.shape), mask, truth[some])
+                g, d = model.gradient(model.vectors(wid, fl, gs), at.reshape(where.shape), mask, truth[some], pool)
                 g["word"] = gathered(d, wid, len(model.p["word"]))
                 g["gram"] = gathered(np.repeat(d / gz[:, None], gz, axis=0), fl, GRAM_BUCKETS)
                 step += 1
@@ -236,7 +310,7 @@ def train(sample: list[tuple[str, int]], rounds: int = 4, epochs: int = 3, least
                     m, v = 0.9 * m + 0.1 * x, 0.999 * v + 0.001 * x * x
                     moments[name] = (m, v)
                     model.p[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        value = model.score(model.gates(model.vectors(word_ids, flat, gram_starts)), ids, starts, ends)
+        value = model.score(model.tables(model.vectors(word_ids, flat, gram_starts)), ids, sizes)
     return model
 
 
@@ -259,28 +333,20 @@ class Scorer:
                 self.tables = {way: np.concatenate([x[:at], np.zeros((2 * len(self.ids) - at, 3 * HIDDEN), np.float32)]) for way, x in self.tables.items()}
             for k in range(0, len(new), 20_000):
                 some_new = new[k : k + 20_000]
-                for way, x in self.model.gates(self.model.inputs(some_new)[0]).items():
+                for way, x in self.model.tables(self.model.inputs(some_new)[0]).items():
                     self.tables[way][at + k : at + k + len(some_new)] = x
         get = self.ids.__getitem__
         sizes = np.array([len(p) for p in parts], np.int64)
-        ids = np.fromiter((get(w) for p in parts for w in p), np.int64, int(sizes.sum()))
-        first = np.cumsum(sizes) - sizes
-        starts_of = [windows(n) + f for n, f in zip(sizes.tolist(), first.tolist(), strict=True)]
-        per = np.array([len(s) for s in starts_of])
+        ids = np.fromiter(map(get, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        per = np.where(sizes > 0, np.maximum(sizes - SPAN, 0) + 1, 0)
         out = np.zeros(len(some))
         if len(ids):
-            starts = np.concatenate(starts_of)
-            ends = np.minimum(starts + SPAN, np.repeat(first + sizes, per))
-            logits = self.model.score(self.tables, ids, starts, ends)
             full = per > 0
-            top = np.maximum.reduceat(logits, (np.cumsum(per) - per)[full])
+            top = np.maximum.reduceat(self.model.score(self.tables, ids, sizes), (np.cumsum(per) - per)[full])
             out[full] = sigmoid(top.astype(np.float64))
         return out
 
 
-_READY: dict[str, Scorer] = {}
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train_rows, per_class: int = PER_CLASS) -> list[tuple[str, int]]:
     """At most per_class texts of each class: those first in order of a hash of doc_id."""
     known = labels.select("doc_id", F.col(column).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(train_rows)
@@ -291,7 +357,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train_rows,
     if not ids:
         return []
     chosen = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, label int")
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label").collect()
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     return [(r.text, r.label) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 

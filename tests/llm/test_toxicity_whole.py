@@ -11,11 +11,46 @@ def test_long_runs_are_read_whole():
     assert a != b
 
 
+def plain_scores(model, words):
+    """Each window by itself, word by word: the states of its stretch, pooled over the window."""
+    p, h, span = model.p, toxicity.HIDDEN, toxicity.SPAN
+    out = []
+    for s in range(max(1, len(words) - span + 1)):
+        begin = s // toxicity.STEP * toxicity.STEP
+        some = words[begin : begin + toxicity.STRETCH]
+        x = model.inputs(some)[0]
+        states = np.zeros((len(some), 2 * h))
+        for way, order, part in (("f", range(len(some)), slice(0, h)), ("b", range(len(some) - 1, -1, -1), slice(h, 2 * h))):
+            state = np.zeros(h)
+            for i in order:
+                g, own = x[i] @ p[f"in_{way}"] + p[f"bias_{way}"], state @ p[f"own_{way}"]
+                z, r = (1 / (1 + np.exp(-(g[k : k + h] + own[k : k + h]))) for k in (0, h))
+                state = (1 - z) * state + z * np.tanh(g[2 * h :] + r * own[2 * h :])
+                states[i, part] = state
+        mine = states[s - begin : s - begin + span]
+        a = np.exp(np.tanh(mine @ p["att"] + p["att_bias"]) @ p["att_out"])
+        out.append(float((a / a.sum()) @ mine @ p["out"] + p["out_bias"][0]))
+    return out
+
+
 def test_every_start_is_scored():
     for n in (0, 1, 24, 25, 60):
         assert toxicity.windows(n).tolist() == list(range(max(min(n, 1), n - toxicity.SPAN + 1)))
     r = np.random.default_rng(2)
     words = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(60)]
-    scorer = toxicity.Scorer(toxicity.Model.new({w: i + 1 for i, w in enumerate(words)}))
-    whole = scorer.scores([" ".join(words)])[0]
-    assert np.isclose(whole, max(scorer.scores([" ".join(words[k : k + toxicity.SPAN]) for k in range(60 - toxicity.SPAN + 1)])), atol=1e-6)
+    model = toxicity.Model.new({w: i + 1 for i, w in enumerate(words)})
+    model.p = {k: v + 0.3 * r.standard_normal(v.shape).astype(np.float32) for k, v in model.p.items()}
+    some = [list(r.choice(words, n)) for n in (1, 23, 24, 25, 72, 73, 96, 97, 98, 250, 0, 5)]
+    plain = [plain_scores(model, w) for w in some if w]
+    gates = model.tables(model.inputs(words)[0])
+    place = {w: i for i, w in enumerate(words)}
+    logits = model.score(gates, np.array([place[x] for w in some for x in w]), np.array([len(w) for w in some]))
+    assert np.allclose(logits, np.concatenate(plain), atol=2e-5) and len(logits) == sum(len(toxicity.windows(len(w))) for w in some)
+    whole = toxicity.Scorer(model).scores([" ".join(w) for w in some])
+    assert np.allclose(whole[[i for i, w in enumerate(some) if w]], [1 / (1 + np.exp(-max(x))) for x in plain], atol=1e-5) and whole[10] == 0
+
+
+def test_sliding_sums():
+    x = np.random.default_rng(0).random((40, 3))
+    for size in (1, 5, 24, 40):
+        assert np.allclose(toxicity.sliding(x, size), [x[i : i + size].sum(axis=0) for i in range(41 - size)])
