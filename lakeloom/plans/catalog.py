@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import cents, discounted, dot, json_long, money, strip_tags
 from lakeloom.operators.joins import asof_join, range_join
+from lakeloom.operators.skew import skew_join
 from lakeloom.operators.windows import quantile_of_each, sessions, top_of_each
 from lakeloom.sources import table
 
@@ -360,3 +361,13 @@ def suppliers_above_their_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     mean = s.groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("mean"))
     return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(mean, F.col("s_nationkey") == F.col("k")).where("s_acctbal > mean").select("n_name", "s_name", "s_acctbal")
+
+
+@query("""
+SELECT event_id, value::DECIMAL(18,2) * n > total AS above FROM events
+JOIN (SELECT event_type, count(*) AS n, sum(value::DECIMAL(18,2)) AS total FROM events GROUP BY 1) USING (event_type)""")
+def events_against_their_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", cents("value").alias("value"))
+    types = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    keys = types.select("event_type", F.col("n").alias("_rows"))
+    return skew_join(events, types, ["event_type"], keys=keys).select("event_id", (F.col("value") * F.col("n") > F.col("total")).alias("above"))
