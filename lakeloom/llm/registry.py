@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import bpe, decontamination, exact_dedup, katz, language_id, partial, personal_data, pieces, quality, secret_scan, simhash, simhash_sql, toxicity, whitening
+from lakeloom.llm import bpe, decontamination, exact_dedup, katz, language_id, partial, personal_data, pieces, quality, secret_scan, simhash, simhash_sql, token_cuts, toxicity, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_quality": quality.op10_quality,
     "op11_pieces": pieces.op11_pieces,
+    "op12_token_cuts": token_cuts.op12_token_cuts,
     "op13_whitening": whitening.op13_whitening,
     **partial.QUERIES,
 }
