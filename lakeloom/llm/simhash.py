@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import read, sized, texts, utf8, without, written
@@ -50,8 +50,8 @@ FREE = 20
 #: 0.80 to 0.83, 99.8 %, of those that leave more, 99.9 to 100 %.
 SIMILAR_WORDS, WIDE_WORDS, WIDE, ALSO = 5, (2, 3), 10, 18
 WIDE_HOT, WIDE_ROOM = 1 << 14, 1 << 10
-#: Sets that are compared in one task: at first, and at most.
-GROUP, MOST = 256, 4096
+#: Sets of a component that one task takes in order, and rounds that begin with so many before all are taken at once.
+GROUP, LEADS = 256, 3
 
 
 def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -367,46 +367,73 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 5 * shared >= 4 * (a + b - shared)
 
 
-def _standing(earlier: bool):
-    """Rows (group, component_id, doc_id, tags, more) in order of group, doc_id and tags: the doc_ids of those similar to one
-    of their group that stands before them (earlier: or to any before them), and the rows of the others that go on (more).
+class Alike:
+    """Sets that were added, by their smallest hashes: similar sets share one of the first fifth of either."""
 
-    Similar sets share one of their smallest hashes, a fifth of each set, so only sets under those are compared.
+    def __init__(self):
+        self.index: dict[int, list[int]] = {}
+        self.sets: list[np.ndarray] = []
+        self.seen: set[bytes] = set()
+
+    @staticmethod
+    def first(x: np.ndarray) -> list[int]:
+        return x[: len(x) - -(-4 * len(x) // 5) + 1].tolist()
+
+    def add(self, x: np.ndarray) -> None:
+        key = xxhash.xxh3_128_digest(x.tobytes())
+        if key in self.seen:
+            return
+        self.seen.add(key)
+        for h in self.first(x) if len(x) else ():
+            self.index.setdefault(h, []).append(len(self.sets))
+        self.sets.append(x)
+
+    def meets(self, x: np.ndarray) -> bool:
+        if xxhash.xxh3_128_digest(x.tobytes()) in self.seen:
+            return True
+        looked: set[int] = set()
+        for h in self.first(x) if len(x) else ():
+            for j in self.index.get(h, ()):
+                if j not in looked:
+                    looked.add(j)
+                    if similar(x, self.sets[j]):
+                        return True
+        return False
+
+
+def _dropped(rule: str):
+    """Rows (group, leads, doc_id, tags) in order of group, leads (those first) and doc_id: ids of each group that `rule` drops.
+
+    standing: those similar to one before them that is not dropped. leads: those similar to one that leads.
+    earlier: those similar to any before them.
     """
 
     def rows(batches):
-        group, index, kept, empty, before = None, {}, [], False, None
+        group, alike = None, Alike()
         for batch in batches:
-            dropped, on = [], []
-            groups, ids, tags, more = (batch.column(i) for i in (0, 2, 3, 4))
-            for i, (g, d, m) in enumerate(zip(groups.to_pylist(), ids.to_pylist(), more.to_pylist(), strict=True)):
+            out, tags = [], batch.column(3)
+            for i, (g, leads, d) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
                 if g != group:
-                    group, index, kept, empty, before = g, {}, [], False, None
-                if d == before:  # another row of the same document
-                    continue
-                before = d
+                    group, alike = g, Alike()
                 x = tags[i].values.to_numpy()
-                first = x[: len(x) - -(-4 * len(x) // 5) + 1].tolist() if len(x) else []
-                some = {j for h in first for j in index.get(h, ())}
-                stands = not any(similar(x, kept[j]) for j in some) if len(x) else not empty
-                empty = empty or not len(x)
-                if not stands:
-                    dropped.append(d)
-                elif m:
-                    on.append(i)
-                if stands or earlier:
-                    for h in first:
-                        index.setdefault(h, []).append(len(kept))
-                    kept.append(x)
-            if dropped:
-                yield pa.RecordBatch.from_arrays([pa.array(dropped, pa.int64()), pa.nulls(len(dropped), pa.int64()), pa.nulls(len(dropped), pa.int64()), pa.nulls(len(dropped), tags.type)], names=["dropped_id", "component_id", "doc_id", "tags"])
-            if on:
-                some = batch.take(pa.array(on))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(on), pa.int64()), some.column(1), some.column(2), some.column(3)], names=["dropped_id", "component_id", "doc_id", "tags"])
+                gone = (rule != "leads" or not leads) and alike.meets(x)
+                if gone:
+                    out.append(d)
+                if leads if rule == "leads" else rule == "earlier" or not gone:
+                    alike.add(x)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["dropped_id"])
 
     return rows
 
 
+def _dropped_of(rows: DataFrame, rule: str) -> DataFrame:
+    """rows: group, leads, doc_id, tags. The ids that `rule` drops in some group, written."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("group", "leads", "doc_id", "tags").repartition(parts, "group").sortWithinPartitions("group", F.desc("leads"), "doc_id")
+    return written(dealt.mapInArrow(_dropped(rule), "dropped_id long").distinct(), "dropped")
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, component_id. component_id, doc_id, tags (sorted hashes of distinct shingles of SIMILAR_WORDS) for each row."""
 
@@ -445,45 +472,63 @@ def compared(docs: DataFrame) -> DataFrame:
     return written(roots_of.unionByName(roots_of.select(F.col("root").alias("id"), "root").distinct()).toDF("doc_id", "component_id"), "compared")
 
 
-def deduplicate_similar(docs: DataFrame, group: int | None = None, most: int | None = None) -> DataFrame:
-    """The rows of docs without those that share 0.8 or more of their 5-word shingles with one of smaller doc_id.
+def _but(rows: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows whose doc_id is not (left_semi: is) among ids, one column."""
+    return rows.join(sized(ids.toDF("other_id")), F.col("doc_id") == F.col("other_id"), how)
+
 
-    The trie self-join at a wide budget only names who is compared: all documents of a component, by the exact sets of
-    their shingles. A component of more than `group` is dealt out in groups of that size; what stands in them is dealt
-    again into groups four times as large, until it is one group. What is over `most` even then is compared in tiles:
-    each two parts of the component in a task of their own. A document stands if none of smaller doc_id that it meets
-    is similar; of rows that repeat a doc_id the one whose set sorts first is compared, and all are kept or dropped.
-    Rows without a doc_id are kept.
+def dropped_similar(sets: DataFrame, group: int = GROUP, leads: int = LEADS) -> list[DataFrame]:
+    """sets: component_id, doc_id (each once), tags, written. Tables of the ids that go: those similar to one of their component that has a smaller doc_id and stays.
+
+    That rule alone decides, at any size. A component of up to `group` is taken in order by one task. Of a larger one
+    the first `group` are, and those of them that stay are held against all others, which are dealt out by parts; what
+    is still open goes on. If after `leads` such rounds more than `group` are open, rounds take all of a component at
+    once, in tiles of two parts: whoever is similar to none open before it stays, whoever is similar to one of those goes.
+    """
+    gone, now, own, one = [], sets, F.xxhash64("doc_id"), F.lit(0).cast("long")
+    for turn in range(1 << 30):
+        large = written(now.groupBy("component_id").count().where(F.col("count") > group).select("component_id", F.ceil(F.col("count") / F.lit(group)).alias("deals")), "large")
+        rest = now.join(sized(large), "component_id", "left")
+        gone.append(_dropped_of(rest.where("deals is null").select(F.col("component_id").alias("group"), F.lit(False).alias("leads"), "doc_id", "tags"), "standing"))
+        if large.isEmpty():
+            return gone
+        rest = rest.where("deals is not null")
+        part, every = F.pmod(own, F.col("deals")), F.sequence(one, F.col("deals") - 1)
+        if turn < leads:
+            place = F.row_number().over(Window.partitionBy("component_id").orderBy("doc_id"))
+            first = written(rest.select("component_id", "doc_id").withColumn("place", place).where(F.col("place") <= group).select("doc_id"), "first")
+            ahead = _but(rest, first, "left_semi")
+            gone.append(_dropped_of(ahead.select(F.col("component_id").alias("group"), F.lit(False).alias("leads"), "doc_id", "tags"), "standing"))
+            staying, others = _but(ahead, gone[-1]), _but(rest, first)
+            both = staying.select("component_id", F.lit(True).alias("leads"), "doc_id", "tags", F.explode(every).alias("part")).unionByName(others.select("component_id", F.lit(False).alias("leads"), "doc_id", "tags", part.alias("part")))
+        else:
+            tile = F.transform(every, lambda x: F.xxhash64("component_id", F.least(part, x), F.greatest(part, x)))
+            late = _dropped_of(rest.select(F.explode(tile).alias("group"), F.lit(False).alias("leads"), "doc_id", "tags"), "earlier")
+            staying, others = _but(rest, late), _but(rest, late, "left_semi")
+            cells = lambda rows, lead: rows.select("component_id", F.lit(lead).alias("leads"), "doc_id", "tags", F.explode(F.transform(every, lambda x: part * F.col("deals") + x if lead else x * F.col("deals") + part)).alias("part"))
+            both = cells(staying, True).unionByName(cells(others, False))
+        gone.append(_dropped_of(both.withColumn("group", F.xxhash64("component_id", "part")), "leads"))
+        now = written(_but(others, gone[-1]).select("component_id", "doc_id", "tags"), "open")
+
+
+def deduplicate_similar(docs: DataFrame, group: int | None = None, leads: int | None = None) -> DataFrame:
+    """The rows of docs without those that share 0.8 or more of their 5-word shingles with one of smaller doc_id that stays.
+
+    The trie self-join at a wide budget only names who is compared: documents of one component, by the exact sets of
+    their shingles (see dropped_similar). Of rows that repeat a doc_id the one whose set sorts first is compared, and
+    all are kept or dropped. Rows without a doc_id are kept.
     """
     named = compared(docs.where("doc_id is not null"))
     ids = named.select(F.col("doc_id").alias("compared_id"), "component_id")
     wanted = texts(docs).join(sized(ids), F.col("doc_id") == F.col("compared_id")).select("doc_id", "text", "component_id")
-    now = written(shingle_sets(wanted), "sets")
-    parts, size, most, dropped = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), group or GROUP, most or MOST, None
-    schema = "dropped_id long, component_id long, doc_id long, tags array<long>"
-
-    def dealt(rows: DataFrame, earlier: bool) -> DataFrame:
-        rows = rows.select("group", "component_id", "doc_id", "tags", "more").repartition(parts, "group").sortWithinPartitions("group", "doc_id", "tags")
-        return written(rows.mapInArrow(_standing(earlier), schema), "standing")
-
-    own = F.xxhash64("doc_id")
-    while True:
-        counts = now.groupBy("component_id").count()
-        large = written(counts.where(F.col("count") > size).select("component_id", F.ceil(F.col("count") / F.lit(size)).alias("deals")), "large")
-        rows = now.join(sized(large), "component_id", "left")
-        tiled = size >= most and not large.isEmpty()
-        if tiled:
-            tiles = F.transform(F.sequence(F.lit(0).cast("long"), 2 * F.col("deals") - 1), lambda x: F.xxhash64("component_id", F.least(F.pmod(own, 2 * F.col("deals")), x), F.greatest(F.pmod(own, 2 * F.col("deals")), x)))
-            rows = rows.withColumn("group", F.explode(F.coalesce(F.when(F.col("deals").isNotNull(), tiles), F.array(F.xxhash64("component_id"))))).withColumn("more", F.lit(False))
-        else:
-            rows = rows.withColumn("group", F.xxhash64("component_id", F.pmod(own, F.coalesce("deals", F.lit(1))))).withColumn("more", F.col("deals").isNotNull())
-        out = dealt(rows, tiled)
-        gone = out.where("dropped_id is not null").select("dropped_id")
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        if tiled or large.isEmpty():
-            break
-        now, size = out.where("dropped_id is null").select("component_id", "doc_id", "tags"), size * 4
-    return without(docs, written(dropped.distinct(), "dropped"))
+    sets = written(shingle_sets(wanted), "sets")
+    if not sets.groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = written(sets.groupBy("component_id", "doc_id").agg(F.min("tags").alias("tags")), "sets")
+    gone = dropped_similar(sets, group or GROUP, LEADS if leads is None else leads)
+    every = gone[0]
+    for more in gone[1:]:
+        every = every.unionByName(more)
+    return without(docs, written(every.distinct(), "dropped"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,10 +16,58 @@ def alike(a, b):
     return len(a & b) >= 0.8 * len(a | b)
 
 
-@pytest.mark.parametrize("group,most", [(256, 4096), (4, 4096), (4, 8)])
-def test_stage_drops_edited_copies(spark, monkeypatch, group, most):
+def greedy(sets):
+    """Who stays: in order of id, whoever is similar to none that stays."""
+    kept = []
+    for d in sorted(sets):
+        if not any(alike(sets[d], sets[k]) for k in kept):
+            kept.append(d)
+    return kept
+
+
+def chain(n, words=100, step=7):
+    """Texts of which each is similar to the next alone."""
+    base = [f"w{i}" for i in range(words + step * n)]
+    return [" ".join(base[step * i : step * i + words]) for i in range(n)]
+
+
+@pytest.mark.parametrize("group,leads", [(256, 3), (3, 3), (2, 1), (6, 0), (4, 0), (2, 0)])
+def test_a_chain_is_one_rule_at_any_size(spark, group, leads):
+    texts = chain(12)
+    sets = {i: plain_set(t) for i, t in enumerate(texts)}
+    assert all(alike(sets[i], sets[j]) == (j - i <= 1) for i in sets for j in sets if i <= j)
+    rows = [(5, i, sorted(hash(x) for x in s)) for i, s in sets.items()]
+    table = spark.createDataFrame(rows, "component_id long, doc_id long, tags array<long>")
+    gone = {r[0] for t in simhash.dropped_similar(table, group, leads) for r in t.collect()}
+    assert sorted(sets.keys() - gone) == [0, 2, 4, 6, 8, 10] == greedy(sets)
+
+
+@pytest.mark.parametrize("group,leads", [(256, 3), (5, 2), (5, 0)])
+def test_components_against_the_plain_rule(spark, group, leads):
+    r = random.Random(4)
+    rows, sets = [], {}
+    for c in range(4):
+        pool = [[r.randrange(1 << 60) for _ in range(40)] for _ in range(3)]
+        for _ in range(30):
+            some = list(r.choice(pool))
+            for _ in range(r.randint(0, 6)):
+                some[r.randrange(40)] = r.randrange(1 << 60)
+            if r.random() < 0.3:
+                pool.append(some)
+            d = len(sets) * 7 % 120
+            sets[d] = set(some)
+            rows.append((c, d, sorted(sets[d])))
+    rows += [(0, 200 + i, []) for i in range(3)]
+    sets |= {200: set()}
+    table = spark.createDataFrame(rows, "component_id long, doc_id long, tags array<long>")
+    gone = {x[0] for t in simhash.dropped_similar(table, group, leads) for x in t.collect()}
+    assert sorted({d for _, d, _ in rows} - gone) == greedy(sets)
+
+
+@pytest.mark.parametrize("group,leads", [(256, 3), (4, 3), (4, 0)])
+def test_stage_drops_edited_copies(spark, monkeypatch, group, leads):
     monkeypatch.setattr(simhash, "GROUP", group)
-    monkeypatch.setattr(simhash, "MOST", most)
+    monkeypatch.setattr(simhash, "LEADS", leads)
     r = random.Random(8)
     words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
     rows = []
@@ -36,10 +84,7 @@ def test_stage_drops_edited_copies(spark, monkeypatch, group, most):
     rows = [(i, t) for i, (_, t) in enumerate(rows)]
     sets = {d: plain_set(t) for d, t in rows}
     kept = {x.doc_id for x in corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
-    left = [(a, b) for a in kept for b in kept if a < b and alike(sets[a], sets[b])]
-    assert left == []
-    for d in sets.keys() - kept:
-        assert any(b < d and alike(sets[b], sets[d]) for b in sets)
+    assert sorted(kept) == greedy(sets)
     plain = {x.doc_id for x in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert any(alike(sets[a], sets[b]) for a in plain for b in plain if a < b)  # what four bits leave
 
