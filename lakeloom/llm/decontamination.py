@@ -8,11 +8,13 @@ block values that near to its own, by its size, and an equality join of sizes an
 all items of its size within RADIUS. What it finds is verified by the exact weighted similarity of the two
 multisets of shingles: what they share, over what either has.
 
-Which windows are fingerprinted: a window without a shingle of an item of its size has similarity 0 to all, so
-all starts are taken from which such a shingle lies inside, as runs. A start is left only where an exact upper
-bound says so (what lies inside of shingles that an item has at all, over what either has at least), or where
-the window before it holds the same multiset. The index of items' shingles is broadcast only if it is counted
-small; else it is joined by shuffle.
+Which windows are fingerprinted: a window at the similarity lacks at most a fifth of an item's shingles, so it holds
+one of any fifth and one more. Each item is indexed under that many of its own, those that the fewest items share:
+a stem of many items names none of them. Of the documents that hold such a shingle, and for its items alone, all
+places of the items' shingles are joined; all starts are taken from which one lies inside, as runs. A start is left
+only where an exact upper bound says so (what lies inside of shingles that an item has at all, over what either has
+at least), or where the window before it holds the same multiset. The index is broadcast only if it is counted
+small; else it is joined by shuffle, shingles that very many places hold apart from the others.
 
 At similarity 0.8 the expected difference is about 10 of 64 bits with a deviation under 3; RADIUS 19 lies
 three deviations beyond, and is the only place where a window is left before exact comparison.
@@ -29,7 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import read, sized, texts, without, written
+from lakeloom.llm.common import few, read, sized, texts, without, written
+from lakeloom.operators.skew import skew_join
 
 FIVE, LEAST = 5, 0.8
 BLOCKS, RADIUS, BITS = 5, 19, 64
@@ -125,6 +128,29 @@ def bounded_runs(found: DataFrame, least: float) -> DataFrame:
     return runs.groupBy("doc_id", "size", "n", "item", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "size", "n", "start", "end").distinct()
 
 
+def rare_shingles(known: DataFrame, least: float) -> DataFrame:
+    """known: item, n, h. item, x: so many of each item's shingles that a window at `least` holds one, those of the fewest items."""
+    each = known.select("item", "n", F.explode("h").alias("x"))
+    items = each.select("item", "x").distinct().groupBy("x").agg(F.count(F.lit(1)).alias("items"))
+    ordered = each.join(items, "x").groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("items", "x"))).alias("s"))
+    enough = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
+    some = F.array_distinct(F.transform(F.slice("s", F.lit(1), enough), lambda e: e["x"]))
+    return written(ordered.select("item", F.explode(some).alias("x")), "rare")
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text. doc_id, size, at, x for each shingle."""
+    # not posexplode: its inferred filter on h would be pushed down and split a text for each of its words
+    return with_shingles(docs).select("doc_id", F.size("h").alias("size"), F.posexplode_outer("h").alias("at", "x"))
+
+
+def named(docs: DataFrame, rare: DataFrame) -> DataFrame:
+    """The pairs (doc_id, item) of which the document holds one of the item's shingles in rare."""
+    each = placed(texts(docs)).select("doc_id", "x")
+    found = each.join(F.broadcast(rare), "x") if few(rare) else skew_join(each, rare, ["x"])
+    return found.select("doc_id", "item").distinct()
+
+
 def matches(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """docs: doc_id, text; items: item_id, text. For each document and item that it holds: the best window.
 
@@ -134,15 +160,15 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFram
     known = written(shingled.withColumn("n", F.size("h")), "items")
     most = known.agg(F.max("n")).first()[0] or 0
     known = written(numbered(fingerprinted(known, most)), "items")
-    index = known.select("item", "n", F.explode("h").alias("x")).distinct()
+    candidates = written(named(docs, rare_shingles(known, least)), "candidates")
+    ids = written(candidates.select("doc_id").distinct(), "touched").toDF("touched_id")
+    touched = texts(docs).join(sized(ids), F.col("doc_id").eqNullSafe(F.col("touched_id")), "left_semi")
 
-    # not posexplode: its inferred filter on h would be pushed down and split a text for each of its words
-    each = with_shingles(texts(docs)).select("doc_id", F.size("h").alias("size"), F.posexplode_outer("h").alias("at", "x"))
-    found = each.join(sized(index), "x")
-    runs = written(bounded_runs(found.select("doc_id", "item", "n", "size", "at").distinct(), least), "runs")
+    index = known.select("item", "n", F.explode("h").alias("held")).distinct()
+    wanted = candidates.toDF("named_id", "item").join(index, "item")
+    same = F.col("doc_id").eqNullSafe(F.col("named_id")) & (F.col("x") == F.col("held"))
+    runs = written(bounded_runs(placed(touched).join(wanted, same).select("doc_id", "item", "n", "size", "at").distinct(), least), "runs")
 
-    ids = written(runs.select("doc_id").distinct(), "touched").toDF("touched_id")
-    touched = texts(docs).join(sized(ids), F.col("doc_id").eqNullSafe(F.col("touched_id")), "left_semi")
     touched = with_shingles(touched).withColumnRenamed("doc_id", "held_id").withColumn("held_size", F.size("h"))
     here = F.col("doc_id").eqNullSafe(F.col("held_id")) & (F.col("size") == F.col("held_size"))
     # a window that loses the shingle it takes up is the one before it

@@ -114,3 +114,35 @@ def test_equal_words_have_one_window(spark):
     found = dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = {(r.doc_id, r.item_id): r.similarity for r in found.collect()}
     assert got == pytest.approx(brute([(d, t) for d, t in docs if d > 1], items) | {(1, 7): 1.0})
+
+
+def stems(r, n):
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(12))
+    stem = [word() for _ in range(20)]
+    items = [(i, " ".join(stem + [word() for _ in range(30)])) for i in range(n)]
+    docs = [(d, " ".join(x for _ in range(20) for x in [*stem, *(word() for _ in range(10))])) for d in range(20)]
+    return items, docs
+
+
+@pytest.mark.parametrize("n", [20, 800])
+def test_a_stem_of_many_items_names_none(spark, n):
+    items, docs = stems(random.Random(n), n)
+    docs += [(100 + i, "before " + items[i][1] + " after") for i in range(3)]
+    items += [(n + 1, items[0][1] + " more"), (n + 2, items[0][1])]
+    known = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = dc.with_shingles(known.selectExpr("item_id item", "text")).withColumn("n", F.size("h"))
+    pairs = dc.named(frame, dc.rare_shingles(rows, 0.8)).collect()
+    assert {x.doc_id for x in pairs} == {100, 101, 102} and len(pairs) == 5
+    got = {(x.doc_id, x.item_id): x.similarity for x in dc.matches(frame, known).collect()}
+    assert got == pytest.approx(brute(docs[-3:], items)) and len(got) == 5
+
+
+def test_index_that_is_not_broadcast(spark, monkeypatch):
+    items, docs = stems(random.Random(1), 12)
+    docs += [(100 + i, items[i % 2][1]) for i in range(30)]
+    make = lambda: {(x.doc_id, x.item_id): x.similarity for x in dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    plain = make()
+    monkeypatch.setattr(dc, "few", lambda rows: False)
+    monkeypatch.setattr("lakeloom.operators.skew.HOT", 5)
+    assert make() == plain and len(plain) == 30
