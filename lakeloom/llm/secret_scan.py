@@ -3,10 +3,9 @@
 Strong parts are the base matches (assignments, access identifiers, long hexadecimal runs). Weak parts,
 each worthless alone, have a role: an identifier (a short access identifier, a client or account id),
 a secret (an opaque mixed run of letters and digits) or an endpoint (a URL or host with a service name).
-A text falls into scopes, the blocks between blank lines. Within a scope the parts' intervals, widened by
-`reach` characters, are joined in order of position; a weak part is reported only when a part of another,
-complementary role (weak or strong) overlaps its widened interval in the same scope. REACH keeps prose without
-blank lines from being one scope; with reach None the scope alone bounds the join.
+A text falls into scopes, the blocks between blank lines. Within a scope the parts' intervals are joined in order of
+position; a weak part is reported only when a part of another, complementary role (weak or strong) stands in the same
+scope. A caller may narrow that to parts within `reach` characters.
 
 Defined cases: a null text is the empty text and has no span; an empty table gives no rows; base matches that
 fail their length are dropped without another try; a weak part that overlaps a base match is not reported, and of
@@ -34,10 +33,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE = 12
 
-#: How far, in characters, a complementary part may be unless a caller says otherwise.
-REACH = 200
 #: An identifier that is too short for the base, or an id that is named as one.
-IDENTIFIER = re.compile(r"""AKIA[A-Z0-9]{8,13}(?![A-Z0-9])|(?ai:client|account|access|user)[_-]?(?ai:id|key)["']?\x20{0,4}[:=]\x20{0,4}["']?(?P<value>[A-Za-z0-9_-]{4,})""")
+IDENTIFIER = re.compile(r"""AKIA[A-Z0-9]{8,13}(?![A-Z0-9])|(?ai:client|account|access|user)[_-]?(?ai:id|key)["']?\x20*[:=]\x20*["']?(?P<value>[A-Za-z0-9_-]{4,})""")
 NAMES = ("client", "account", "access", "user")
 #: A whole run that may be a secret, if letters and digits are mixed; possessive, so a run is passed over once.
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_-])")
@@ -78,8 +75,8 @@ def weak_parts(text: str, base: list[Span]) -> list[Span]:
 ROLE = {"assign": "opaque", "access": "identifier", "hex": "opaque"}
 
 
-def linked(text: str, base: list[Span], reach: int | None = REACH) -> list[Span]:
-    """The weak parts that have a complementary part within reach and scope.
+def linked(text: str, base: list[Span], reach: int | None = None) -> list[Span]:
+    """The weak parts that have a complementary part in their scope (and within reach).
 
     An interval join: parts are sorted by start, with the running maximum of their ends per role and scope. Of the
     parts that start before the widened interval's end, that maximum tells whether one ends after its start.
@@ -109,7 +106,7 @@ def linked(text: str, base: list[Span], reach: int | None = REACH) -> list[Span]
     return found
 
 
-def scan(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
+def scan(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of docs."""
 
     def rows(batches):
