@@ -1,4 +1,4 @@
-"""Operators over ordered groups: top rows of each group, quantiles by rank, sessions."""
+"""Operators over ordered groups: top rows of each group, sessions."""
 
 from __future__ import annotations
 
@@ -15,20 +15,6 @@ def top_of_each(rows: DataFrame, by: list[str], order: list[Column], n: int, pla
     return rows.withColumn(place, number).where(F.col(place) <= n)
 
 
-def quantile_of_each(rows: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
-    """The q-quantile of value in each group, between neighbours in proportion; nulls are left.
-
-    By rank: groups are sorted, which spills, and only the one or two rows at the place are kept. No group's values are held together.
-    """
-    refuse([*by, value], {name, "_rank", "_at"})
-    known = rows.select(*by, value).where(F.col(value).isNotNull())
-    group = Window.partitionBy(*by)
-    ranked = known.select(*by, value, F.row_number().over(group.orderBy(value)).alias("_rank"), (F.lit(q) * (F.count(F.lit(1)).over(group) - 1) + 1).alias("_at"))
-    near = ranked.where((F.col("_rank") == F.floor("_at")) | (F.col("_rank") == F.ceil("_at")))
-    low, high, share = F.min(value), F.max(value), F.max(F.col("_at") - F.floor("_at"))
-    return near.groupBy(*by).agg((low + (high - low) * share).alias(name))
-
-
 def sessions(rows: DataFrame, by: str, time: str, gap_seconds: int) -> DataFrame:
     """Rows of `by` that follow each other within the gap are one session: start, end and number of rows."""
     window = F.session_window(time, f"{gap_seconds} seconds")

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import cents, discounted, dot, json_long, money, strip_tags
+from lakeloom.operators.intervals import coverage, overlap_join
 from lakeloom.operators.joins import asof_join, range_join
+from lakeloom.operators.scan import places, quantile_of_each, value_ranks
 from lakeloom.operators.skew import skew_join
-from lakeloom.operators.windows import quantile_of_each, sessions, top_of_each
+from lakeloom.operators.windows import sessions, top_of_each
 from lakeloom.sources import table
 
 QUERIES: dict = {}
@@ -226,9 +228,13 @@ def lines_by_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey, (ntile(4) OVER w)::INT AS quarter, (rank() OVER (PARTITION BY p_brand ORDER BY p_size))::INT AS rank, (dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size))::INT AS dense, percent_rank() OVER w AS share, cume_dist() OVER w AS below
 FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)""")
 def part_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
-    by_size = Window.partitionBy("p_brand").orderBy("p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", F.ntile(4).over(w).alias("quarter"), F.rank().over(by_size).alias("rank"), F.dense_rank().over(by_size).alias("dense"), F.percent_rank().over(w).alias("share"), F.cume_dist().over(w).alias("below"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    ranked = value_ranks(places(parts, ["p_brand"], ["p_retailprice", "p_partkey"]), ["p_brand"], "p_size")
+    place, total = F.col("place"), F.col("total")
+    least, more = F.floor(total / 4), total % 4  # quarters of `least` rows, the first `more` of them of one row more
+    quarter = F.when(place <= more * (least + 1), F.ceil(place / (least + 1))).otherwise(F.ceil((place - more) / least))
+    share = F.when(total == 1, F.lit(0.0)).otherwise((place - 1) / (total - 1))
+    return ranked.select("p_partkey", quarter.cast("int").alias("quarter"), F.col("rank").cast("int").alias("rank"), F.col("dense").cast("int").alias("dense"), share.alias("share"), (place / total).alias("below"))
 
 
 @query("""
@@ -371,3 +377,38 @@ def events_against_their_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     keys = types.select("event_type", F.col("n").alias("_rows"))
     return skew_join(events, types, ["event_type"], keys=keys).select("event_id", (F.col("value") * F.col("n") > F.col("total")).alias("above"))
+
+
+#: An order is open from its day to the last day on which a line of it is shipped.
+OPEN = """SELECT o_orderkey, o_custkey, o_orderpriority, epoch_us(o_orderdate) AS opened, epoch_us(max(l_shipdate)) AS closed
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, o_orderdate"""
+
+
+def open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"))
+    orders = table(spark, sf_dir, "orders").join(shipped, F.col("o_orderkey") == F.col("l_orderkey"))
+    return orders.select("o_orderkey", "o_custkey", "o_orderpriority", micros("o_orderdate").alias("opened"), micros("last").alias("closed"))
+
+
+@query(f"""
+WITH o AS ({OPEN})
+SELECT a.o_orderkey AS first_order, b.o_orderkey AS second_order, least(a.closed, b.closed) - greatest(a.opened, b.opened) AS together
+FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.opened < b.closed AND b.opened < a.closed
+WHERE a.opened < a.closed AND b.opened < b.closed""")
+def orders_open_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = open_orders(spark, sf_dir).drop("o_orderpriority")
+    second = first.toDF("second_order", "o_custkey", "from_", "until")
+    day = 86_400_000_000
+    met = overlap_join(first, second, (F.col("opened"), F.col("closed")), (F.col("from_"), F.col("until")), 30 * day, ["o_custkey"])
+    shared = F.least("closed", "until") - F.greatest("opened", "from_")
+    return met.where("o_orderkey < second_order").select(F.col("o_orderkey").alias("first_order"), "second_order", shared.alias("together"))
+
+
+@query(f"""
+WITH o AS ({OPEN}), e AS (
+  SELECT o_orderpriority, opened AS "at", 1 AS n FROM o WHERE opened < closed UNION ALL SELECT o_orderpriority, closed, -1 FROM o WHERE opened < closed),
+s AS (SELECT o_orderpriority, "at", sum(n) AS n FROM e GROUP BY 1, 2)
+SELECT o_orderpriority, "at", (sum(n) OVER (PARTITION BY o_orderpriority ORDER BY "at"))::BIGINT AS "open" FROM s""")
+def open_orders_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage(open_orders(spark, sf_dir), ["o_orderpriority"], "opened", "closed")

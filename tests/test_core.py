@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 from lakeloom import sources, streaming
 from lakeloom.operators.joins import asof_join, range_join
-from lakeloom.operators.windows import quantile_of_each, top_of_each
+from lakeloom.operators.scan import quantile_of_each
+from lakeloom.operators.windows import top_of_each
 from lakeloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
