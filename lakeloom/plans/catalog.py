@@ -13,8 +13,11 @@ from lakeloom.operators.intervals import coverage, overlap_join
 from lakeloom.operators.joins import asof_join, range_join
 from lakeloom.operators.scan import places, quantile_of_each, value_ranks
 from lakeloom.operators.skew import skew_join
+from lakeloom.operators.sketches import DISTINCT, RANK, SHARE, DayStore, distinct_count, frequent, quantile
+from lakeloom.operators.vectors import VectorIndex
 from lakeloom.operators.windows import sessions, top_of_each
 from lakeloom.sources import table
+from lakeloom.sources.shared import fresh_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -412,3 +415,47 @@ s AS (SELECT o_orderpriority, "at", sum(n) AS n FROM e GROUP BY 1, 2)
 SELECT o_orderpriority, "at", (sum(n) OVER (PARTITION BY o_orderpriority ORDER BY "at"))::BIGINT AS "open" FROM s""")
 def open_orders_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage(open_orders(spark, sf_dir), ["o_orderpriority"], "opened", "closed")
+
+
+#: The truth beside what the day sketches say of each week: whether every estimate lies within its bound.
+@query("""
+SELECT date_trunc('week', ts)::DATE AS week, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_near, true AS medians_near, true AS most_near FROM events GROUP BY 1""")
+def weeks_from_day_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("ts", "user_id", "value", "event_type")
+    store = DayStore(spark, fresh_path(spark, "day-sketches"))
+    store.add(events.where("event_type <> 'view'"), "others", F.col("ts"), "user_id", "value", "user_id")
+    store.add(events.where("event_type = 'view'"), "views", F.col("ts"), "user_id", "value", "user_id")
+    week = lambda c: F.to_date(F.date_trunc("week", F.col(c).cast("timestamp")))
+    said = store.merged([week("day").alias("week")]).select("week", distinct_count().alias("about"), quantile(0.5).alias("median"), F.transform(frequent(5), lambda x: F.struct(x["item"].alias("user_id"), x["count"].alias("said"))).alias("most"))
+    counted = events.groupBy(week("ts").alias("week"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    users = counted.groupBy("week").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("users"))
+    below = events.select(week("ts").alias("week"), "value").join(F.broadcast(said.select("week", "median")), "week").groupBy("week").agg(F.avg((F.col("value") <= F.col("median")).cast("double")).alias("share"))
+    most = said.select("week", F.explode("most").alias("m")).select("week", "m.user_id", "m.said").join(counted, ["week", "user_id"], "left").groupBy("week").agg(F.max(F.abs(F.col("said") - F.coalesce("n", F.lit(0)))).alias("off"))
+    every = users.join(said, "week").join(below, "week").join(most, "week")
+    return every.select("week", "n", "users", (F.abs(F.col("about") - F.col("users")) <= F.ceil(DISTINCT * F.col("users"))).alias("users_near"), (F.abs(F.col("share") - 0.5) <= RANK + 1 / F.col("n")).alias("medians_near"), (F.col("off") <= SHARE * F.col("n")).alias("most_near"))
+
+
+def near_vectors(spark: SparkSession, sf_dir: str, recall: float | None) -> DataFrame:
+    """The 10 nearest of all embeddings for those whose id is divisible by 20."""
+    rows, at = table(spark, sf_dir, "embeddings"), fresh_path(spark, "vectors")
+    index = VectorIndex.build(rows, f"{at}/index", "vec_id", "embedding")
+    probes = None if recall is None else index.probes_for(recall, rows, "vec_id", "embedding", 10, f"{at}/probes")
+    found = index.search(rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, f"{at}/search", probes)
+    return found.select("query_id", "near_id", "place", F.round("distance", 6).alias("distance"))
+
+
+@query("""
+WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS near_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d
+  FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, near_id) AS place FROM p)
+SELECT query_id, near_id, place::INT AS place, round(d, 6) AS distance FROM r WHERE place <= 10""")
+def nearest_vectors_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark, sf_dir, None)
+
+
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the exact query, but from as many lists as a measured recall of 0.95 needs. No SQL: tests hold it against the exact one."""
+    return near_vectors(spark, sf_dir, 0.95)
+
+
+QUERIES["nearest_vectors"] = nearest_vectors

@@ -25,7 +25,7 @@ def plain(columns, rows):
     return sorted(tuple(show(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "embeddings", "conversations"):
