@@ -93,7 +93,9 @@ AT = re.compile(r"\x20?[\[({]at[\])}]\x20?|\x20at\x20", re.IGNORECASE | re.ASCII
 PLACE = re.compile(r"[A-Za-z0-9-]+(?:(?:\x20?[\[({]dot[\])}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]+)+", re.IGNORECASE | re.ASCII)
 NAME = LOCAL - {"%"}
 GROUP = re.compile(r"[0-9]+")
-WORD_BEFORE = re.compile(r"([A-Za-z]{2,12})[^A-Za-z0-9]{0,4}$")
+WORDS_BEFORE = re.compile(r"(?:(?<![A-Za-z0-9])([A-Za-z]{2,12})[^A-Za-z0-9]{1,3})?(?<![A-Za-z0-9])([A-Za-z]{2,12})[^A-Za-z0-9]{0,4}$")
+#: A block of letters and digits right before: what follows goes on with it (account, serial and parcel numbers).
+BLOCK_BEFORE = re.compile(r"(?<![A-Za-z0-9])(?:[A-Za-z]+[0-9]|[0-9]+[A-Za-z])[A-Za-z0-9]*[\x20:/_-]{0,2}$")
 
 
 def written_out(text: str) -> list[tuple[int, int]]:
@@ -121,8 +123,8 @@ def parts_of(text: str, kind: str, start: int, end: int) -> list[tuple[int, int]
     return [m.span() for m in GROUP.finditer(text, start, end)] if kind == "n" else [(start, end)]
 
 
-def features(text: str, kind: str, s: int, e: int, groups: list[tuple[int, int]], before: str) -> list[str]:
-    """What the whole span text[s:e] looks like."""
+def features(text: str, kind: str, s: int, e: int, groups: list[tuple[int, int]], before: tuple[str, str], sides: str) -> list[str]:
+    """What the whole span text[s:e] looks like. before: the two words before it, or a mark for a block of letters and digits; sides: what stands on either side in its stretch."""
     if kind == "w":
         at = AT.search(text, s, e)
         name, place = text[s : at.start()], text[at.end() : e].lower()
@@ -145,8 +147,13 @@ def features(text: str, kind: str, s: int, e: int, groups: list[tuple[int, int]]
         out += [f"luhn={right}", f"luhn={right}&start={start}"]
     if k == 4 and gaps == ["."]:
         out.append(f"bytes={all(b - a <= 3 and int(text[a:b]) <= 255 for a, b in groups)}")
-    if before:
-        out += [f"before={before}", f"before={before}&n={min(n, 20)}"]
+    if gaps == ["."]:
+        padded = any(b - a > 1 and text[a] == "0" for a, b in groups)
+        out += [f"padded={padded}", f"padded={padded}&groups={min(k, 7)}"]
+    out += [f"sides={sides}", f"sides={sides}&groups={min(k, 7)}"]
+    for name, word in zip(("second", "before"), before, strict=True):
+        if word:
+            out += [f"{name}={word}", f"{name}={word}&n={min(n, 20)}"]
     return out
 
 
@@ -154,8 +161,9 @@ def segments(text: str, stretch: tuple[str, int, int], taken: Taken | None = Non
     """The parts, and (first part, last part, start, end, features) of each candidate of at most MOST parts."""
     kind, start, end = stretch
     parts = parts_of(text, kind, start, end)
-    m = WORD_BEFORE.search(text[max(0, start - 20) : start])
-    before = m[1].lower() if m else ""
+    near = text[max(0, start - 32) : start]
+    m, block = WORDS_BEFORE.search(near), bool(BLOCK_BEFORE.search(near))
+    before = ("", "#") if block else ((m[1] or "").lower(), m[2].lower()) if m else ("", "")
     found = []
     for i in range(len(parts)):
         for j in range(i, min(len(parts), i + MOST)):
@@ -165,7 +173,8 @@ def segments(text: str, stretch: tuple[str, int, int], taken: Taken | None = Non
             if s and text[s - 1] == "(" and ")" in text[s:e]:
                 s -= 1
             if taken is None or taken.free(s, e):
-                found.append((i, j, s, e, features(text, kind, s, e, parts[i : j + 1], before if i == 0 else "")))
+                sides = ("block" if block else "start" if i == 0 else "digits") + ("" if j == len(parts) - 1 else "+digits")
+                found.append((i, j, s, e, features(text, kind, s, e, parts[i : j + 1], before if i == 0 or block else ("", ""), sides)))
     return parts, found
 
 
@@ -174,7 +183,7 @@ def log_sum(x: list[float]) -> float:
     return top + math.log(sum(math.exp(v - top) for v in x))
 
 
-def examples(seed: int = 7, n: int = 1000) -> list[tuple[str, list[Span]]]:
+def examples(seed: int = 7, n: int = 1400) -> list[tuple[str, list[Span]]]:
     """Generated texts with their entities: the usual ways to write each kind, and numbers that are none."""
     r = random.Random(seed)
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -188,12 +197,17 @@ def examples(seed: int = 7, n: int = 1000) -> list[tuple[str, list[Span]]]:
         a, b, c = str(r.randint(2, 9)) + num(2), num(3), num(4)
         return r.choice((
             f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"1-{a}-{b}-{c}", f"(0{num(2)}) {num(4)} {num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(4)} {num(6)}", f"0{num(4)} {num(3)} {num(3)}",
-            f"00{r.randint(20, 99)} {num(2)} {num(7)}", f"00{r.randint(20, 99)} {num(3)} {num(3)} {num(4)}", f"00{r.randint(20, 99)}-{num(2)}-{num(7)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"0{num(1)}.{num(2)}.{num(2)}.{num(2)}.{num(2)}", f"0{num(2)}/{num(7)}", f"0{num(3)}-{num(7)}", f"0{num(2)}-{num(3)}-{num(4)}",
+            f"00{r.randint(20, 99)} {num(2)} {num(7)}", f"00{r.randint(20, 99)} {num(3)} {num(3)} {num(4)}", f"00{r.randint(20, 99)}-{num(2)}-{num(7)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"0{num(1)}.{num(2)}.{num(2)}.{num(2)}.{num(2)}", f"0{num(2)}/{num(7)}", f"0{num(3)}-{num(7)}", f"0{num(2)}-{num(3)}-{num(4)}", f"0{num(r.choice((2, 3, 4)))} / {num(r.choice((6, 7)))}", f"{a}.{b}.{c}",
         ))
 
     def named() -> tuple[str, str]:
         """A number that only the word before it tells."""
-        return r.choice(("call ", "phone: ", "tel. ", "mobile ", "fax: ", "cell ", "telephone ", "ring ")), r.choice((str(r.randint(2, 9)) + num(9), f"{num(3)} {num(4)}", f"{num(3)}-{num(4)}", "0" + num(10), f"{num(4)} {num(4)}"))
+        lead = r.choice(("call ", "phone: ", "tel. ", "mobile ", "fax: ", "cell ", "telephone ", "ring "))
+        if r.random() < 0.5:
+            lead = r.choice(("call", "ring", "text", "reach", "phone", "dial")) + r.choice((" me: ", " me at ", " us: ", " us on ", " her at ", " him on "))
+        elif r.random() < 0.2:
+            lead = r.choice(("phone number: ", "phone number is ", "tel no ", "mobile no. ", "cell number is "))
+        return lead, r.choice((str(r.randint(2, 9)) + num(9), f"{num(3)} {num(4)}", f"{num(3)}-{num(4)}", "0" + num(10), f"{num(4)} {num(4)}"))
 
     def word(least: int = 3, most: int = 8) -> str:
         return "".join(r.choice("abcdefghiklmnorstu") for _ in range(r.randint(least, most)))
@@ -204,9 +218,25 @@ def examples(seed: int = 7, n: int = 1000) -> list[tuple[str, list[Span]]]:
             return word() + r.choice(("", "." + word(), num(2))) + r.choice((" [at] ", " (at) ", "[at]", "(at)")) + word() + dot + end
         return word() + r.choice(("." + word(), "_" + word(), num(2))) + " at " + word() + r.choice((" dot ", " dot ", ".")) + end
 
+    def octets() -> str:
+        """Four numbers of which one at least is over 255."""
+        some = [str(r.randint(0, 255)) for _ in range(4)]
+        some[r.randrange(4)] = str(r.randint(256, 999))
+        return ".".join(some)
+
+    def serial() -> str:
+        """Account, parcel and serial numbers: digits that go on with a block of letters and digits."""
+        code = "".join(r.choice("ABCDEFGHKLMNPRSTUVWXYZ") for _ in range(r.choice((1, 2, 2, 3))))
+        if r.random() < 0.3:  # digits that check like a card's
+            return f"{code}{num(2)} {card(' ')}{r.choice(('', ' ' + num(2), ' ' + num(3)))}"
+        groups = r.choice(([4] * r.randint(3, 5) + [r.randint(1, 4)], [r.randint(3, 9)], [r.randint(2, 6), r.randint(2, 6)], [3, 3, r.randint(3, 4)]))
+        return code + num(r.choice((1, 2, 2, 4))) + r.choice((" ", " ", "-")) + r.choice((" ", " ", "-")).join(map(num, groups))
+
     def none() -> str:
+        if r.random() < 0.2:
+            return r.choice((octets, serial))()
         return r.choice((
-            f"20{num(2)}-{num(2)}-{num(2)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.19{num(2)}", f"0{r.randint(1, 9)}.0{r.randint(1, 9)}.20{num(2)}", f"0{r.randint(1, 9)}/{r.randint(10, 28)}/20{num(2)}", f"{r.randint(1, 999)},{num(3)}", f"{r.randint(1, 99)},{num(3)},{num(3)}", f"{r.randint(1, 99)}.{num(3)}.{num(3)}", f"{num(2)}.{num(2)}", f"0.{num(6)}", num(r.randint(4, 20)), "0" + num(r.randint(4, 11)),
+            f"20{num(2)}-{num(2)}-{num(2)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.19{num(2)}", f"0{r.randint(1, 9)}.0{r.randint(1, 9)}.20{num(2)}", f"0{r.randint(1, 9)}/{r.randint(10, 28)}/20{num(2)}", f"{r.randint(1, 999)},{num(3)}", f"{r.randint(1, 99)},{num(3)},{num(3)}", f"{r.randint(1, 99)},{num(3)},{num(3)}.{num(2)}", f"{r.randint(1, 999)},{num(3)}.{num(2)}", f"{r.randint(1, 99)}.{num(3)}.{num(3)}", f"{num(2)}.{num(2)}", f"0.{num(6)}", num(r.randint(4, 20)), str(r.randint(2, 9)) + num(9), str(r.randint(2, 9)) + num(9), "0" + num(r.randint(4, 11)),
             f"{num(4)} {num(4)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(2)}:{num(2)}:{num(2)}", f"{r.randint(256, 999)}.{num(3)}.{num(2)}.{num(1)}", f"{r.randint(256, 999)}.{num(3)}.{num(3)}.{num(4)}", f"{num(4)}-{num(4)}-{num(4)}-{num(4)}", f"{num(3)}-{num(2)}", f"{num(3)}-{num(4)}", f"{num(2)} {num(2)} {num(2)} {num(2)}", f"{r.randint(1, 9)}{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"{num(4)}/{num(4)}", f"19{num(2)}-20{num(2)}",
             f"{num(5)} {num(5)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", " ".join(num(r.randint(1, 4)) for _ in range(r.randint(2, 7))), ", ".join(num(r.randint(1, 3)) for _ in range(r.randint(2, 7))), num(16), num(16),
             f"look at {r.choice(('home', 'noon', 'that'))}.then", "he sat at it.is", f"{word()} at {word()} dot {r.choice(('com', 'org', 'net'))}", f"{word()} at {word()}.{word(2, 4)}",
