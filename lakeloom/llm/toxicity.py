@@ -7,7 +7,9 @@ attention pools their states over each window of SPAN words in it, and a logisti
 Stretches overlap so that every start of a window lies in one: window s is the (s mod STEP)-th of stretch
 s / STEP. A document's score is that of its highest window, over all overlapping windows of the whole text;
 windows share the states of their stretch, so that a word costs about one and a half steps in either direction
-however many windows hold it.
+however many windows hold it. The price: a window's states know up to STRETCH - SPAN words around it, and which ones
+depends on where it stands, so a passage near 0.5 may score on either side of it at different places; tests move
+passages over all STEP places and say how many are found in each.
 
 Labels are of documents, so training goes by rounds: each document is represented by its highest window so
 far (first: by the words' log odds), clean documents also by random windows. The sample is bounded: at most

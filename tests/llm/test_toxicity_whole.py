@@ -1,8 +1,15 @@
+import zlib
+
+import duckdb
 import numpy as np
 
 from lakeloom.llm import toxicity
 
 
+def crc(d, m):
+    return zlib.crc32(str(d).encode()) % m
+
+
 def test_long_runs_are_read_whole():
     run = "x" * 40 + "vlorkix" * 20
     assert "".join(toxicity.words_of(run)) == run and max(map(len, toxicity.words_of(run))) <= 32
@@ -54,3 +61,23 @@ def test_sliding_sums():
     x = np.random.default_rng(0).random((40, 3))
     for size in (1, 5, 24, 40):
         assert np.allclose(toxicity.sliding(x, size), [x[i : i + size].sum(axis=0) for i in range(41 - size)])
+
+
+def test_passages_are_found_wherever_they_stand():
+    """Windows share the states of their stretch, so a score depends on where a passage stands: by how much, over all 49 places."""
+    at = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"select doc_id, text, toxic from '{at}/documents.parquet' join '{at}/labels.parquet' using (doc_id) where text is not null order by doc_id").fetchall()
+    held = [(d, t, y) for d, t, y in rows if crc(d, 5) == 0]
+    sample = [[(t, y) for d, t, y in rows if crc(d, 5) and y == k][: toxicity.PER_CLASS] for k in (0, 1)]
+    scorer = toxicity.Scorer(toxicity.train(sum(sample, [])))
+    clean = next(t for _, t, y in held if not y and len(t.split()) > 200 and scorer.scores([t])[0] < 0.2).split()[:200]
+    passages = []
+    for _, t, y in rows:
+        words = t.split()
+        spans = [" ".join(words[i : i + toxicity.SPAN]) for i in range(0, len(words) - toxicity.SPAN, toxicity.SPAN)] if y else []
+        if spans and max(scores := scorer.scores(spans)) > 0.8:
+            passages.append(spans[int(np.argmax(scores))])
+    moved = [" ".join([*clean[:k], p, *clean[k:]]) for p in passages[:20] for k in range(49)]
+    found = (scorer.scores(moved) >= 0.5).reshape(-1, 49)
+    print(len(found), "passages, found in", round(float(found.mean()), 3), "of the places; in all places", int(found.all(axis=1).sum()))
+    assert len(found) >= 10 and found.mean() >= 0.9 and found.any(axis=1).mean() >= 0.95
