@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import cents, discounted, dot, json_long, money, strip_tags
+from lakeloom.operators import sequences
 from lakeloom.operators.intervals import coverage, overlap_join
 from lakeloom.operators.joins import asof_join, range_join
 from lakeloom.operators.scan import places, quantile_of_each, value_ranks
@@ -435,6 +436,16 @@ def weeks_from_day_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("week", "n", "users", (F.abs(F.col("about") - F.col("users")) <= F.ceil(DISTINCT * F.col("users"))).alias("users_near"), (F.abs(F.col("share") - 0.5) <= RANK + 1 / F.col("n")).alias("medians_near"), (F.col("off") <= SHARE * F.col("n")).alias("most_near"))
 
 
+@query("""
+WITH e AS (SELECT *, count(*) FILTER (event_type IN ('error', 'purchase')) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part
+  FROM events WHERE event_type IN ('view', 'error', 'purchase')),
+p AS (SELECT user_id, coalesce(part, 0) AS part, count(*) FILTER (event_type = 'view') AS views FROM e GROUP BY ALL)
+SELECT e.user_id, ts, event_id FROM e JOIN p ON p.user_id = e.user_id AND p.part = coalesce(e.part, 0) WHERE event_type = 'purchase' AND views >= 2""")
+def purchases_after_two_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return sequences.matches(events, ["user_id"], ["ts", "event_id"], "event_type", [{"view"}, {"view"}, {"purchase"}], {"error", "purchase"})
+
+
 def near_vectors(spark: SparkSession, sf_dir: str, recall: float | None) -> DataFrame:
     """The 10 nearest of all embeddings for those whose id is divisible by 20."""
     rows, at = table(spark, sf_dir, "embeddings"), fresh_path(spark, "vectors")
