@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lakeloom.llm.common import read, texts
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces whose ids a worker keeps; when full it starts anew, so memory is bounded and results are the same.
-KEPT_PIECES = 400_000
+#: Pieces whose ids a worker keeps, and pairs of tokens it knows; when full it starts anew, so memory is bounded and results are the same.
+KEPT_PIECES, KEPT_PAIRS = 150_000, 300_000
 #: Bytes of text whose pieces are encoded together.
 BLOCK = 2_000_000
 
@@ -75,7 +75,7 @@ class PrefixBPE:
         if (seen := self.known.get(key)) is not None:
             return seen
         out = self._follows(a, b)
-        if len(self.known) > 1_000_000:
+        if len(self.known) > KEPT_PAIRS:
             self.known.clear()
         self.known[key] = out
         return out
