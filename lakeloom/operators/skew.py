@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lakeloom.operators.joins import refuse
 
 #: Rows of a key from which it is hot, rows that may be broadcast, and hot keys that may be.
-HOT, FEW, KEYS = 100_000, 1_000_000, 100_000
+HOT, FEW, KEYS = 100_000, 200_000, 100_000
 
 
 def hot_keys(large: DataFrame, on: list[str], hot: int = HOT) -> DataFrame:
