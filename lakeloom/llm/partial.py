@@ -1,11 +1,11 @@
-"""What SQL can express of operators whose whole result it can't: columns of ops 4, 8 and 9, each with its SQL."""
+"""What SQL can express of operators whose whole result it can't: columns of ops 4, 8, 9 and 13, each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import katz, personal_data, secret_scan
+from lakeloom.llm import katz, personal_data, secret_scan, whitening
 
 
 def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def katz_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.op8_katz(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
 
 
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op13_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
 PERSONAL_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS (
@@ -62,5 +66,15 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, n AS train
 FROM t LEFT JOIN c USING (w) CROSS JOIN s GROUP BY doc_id, held_out, n
 """
 
-QUERIES = {"personal_data_counts": personal_data_counts, "secret_counts": secret_counts, "katz_base": katz_base}
-ORACLES = {"personal_data_counts": PERSONAL_SQL, "secret_counts": SECRET_SQL, "katz_base": KATZ_SQL}
+WHITENING_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT + 1000000) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+f AS (SELECT DISTINCT x FROM e),
+u AS (SELECT unnest(x) AS c, generate_subscripts(x, 1) AS i FROM f),
+s AS (SELECT i, sum(c)::HUGEINT AS s, count(*)::BIGINT AS n FROM u GROUP BY i),
+v AS (SELECT vec_id, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM e)
+SELECT vec_id, n, sum((n * c - s) * (n * c - s))::BIGINT AS deviation FROM v JOIN s USING (i) GROUP BY vec_id, n
+"""
+
+QUERIES = {"personal_data_counts": personal_data_counts, "secret_counts": secret_counts, "katz_base": katz_base, "whitening_deviations": whitening_deviations}
+ORACLES = {"personal_data_counts": PERSONAL_SQL, "secret_counts": SECRET_SQL, "katz_base": KATZ_SQL, "whitening_deviations": WHITENING_SQL}
