@@ -17,10 +17,11 @@ a row each time, and rows without a doc_id are encoded like others; other column
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import struct
 from hashlib import sha256
-from itertools import accumulate, chain
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -33,7 +34,7 @@ from lakeloom.llm.common import read, texts
 MODEL = "piece_bpe_32k.model"
 SPACE = "\u2581"
 #: Stretches whose pieces a worker keeps; when full it starts anew, so memory is bounded and results are the same.
-KEPT = 300_000
+KEPT = 200_000
 #: Bytes of text that are encoded together, and characters of the longest stretch that is kept.
 BLOCK, LONG = 2_000_000, 64
 #: Stretches of so many characters are merged by looking at all neighbours, longer ones by a heap.
@@ -123,12 +124,14 @@ class Pieces:
         self.unknown_surface = trainer.get(44, b" \xe2\x81\x87 ").decode()
         by_byte = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.names, self.kinds, strict=True)) if k == self.BYTE}
         self.bytes = [by_byte[b] for b in range(256)] if trainer.get(35, 0) else None
-        self.rank = {p: (-self.scores[i], i) for p, i in self.ids.items()}
+        self.rank = {p: -self.scores[i] for p, i in self.ids.items()}
         # bytes that a piece stands for in the normalised text, and in a decoded one
         self.marked = [b"" if k == self.CONTROL else bytes([int(p[1:-1], 16)]) if k == self.BYTE else p.encode() for p, k in zip(self.names, self.kinds, strict=True)]
         self.surface = [self.unknown_surface.encode() if k == self.UNKNOWN else m.replace(SPACE.encode(), b" ") for m, k in zip(self.marked, self.kinds, strict=True)]
         self.lengths = np.array([len(m) for m in self.marked], np.int64)
         self.split = re.compile(self._stretches()).findall
+        #: neighbours that stand so in some piece: between all others a stretch can be cut
+        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
 
     def _special(self, name: str) -> int:
         return self.names.index(name) if name in self.names else -1
@@ -199,17 +202,17 @@ class Pieces:
 
     def merged(self, stretch: str) -> list[str]:
         """The stretch's characters, neighbours merged while a piece stands for them: best score first, then leftmost."""
-        parts, rank = list(stretch), self.rank
+        parts, rank, never = list(stretch), self.rank, math.inf
         if len(parts) <= SHORT:
-            while len(parts) > 1:
-                best, where = None, -1
-                for i in range(len(parts) - 1):
-                    found = rank.get(parts[i] + parts[i + 1])
-                    if found is not None and (best is None or found[0] < best):
-                        best, where = found[0], i
-                if best is None:
-                    break
-                parts[where : where + 2] = [parts[where] + parts[where + 1]]
+            ranks = [rank.get(x + y, never) for x, y in pairwise(parts)]
+            while ranks and (best := min(ranks)) != never:
+                i = ranks.index(best)
+                parts[i] += parts.pop(i + 1)
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = rank.get(parts[i] + parts[i + 1], never)
+                if i:
+                    ranks[i - 1] = rank.get(parts[i - 1] + parts[i], never)
             return parts
         n = len(parts)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -217,7 +220,7 @@ class Pieces:
 
         def offer(i: int, j: int) -> None:
             if i >= 0 and j >= 0 and (found := rank.get(parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (found[0], i, j, len(parts[i]) + len(parts[j])))
+                heapq.heappush(heap, (found, i, j, len(parts[i]) + len(parts[j])))
 
         for i in range(n - 1):
             offer(i, i + 1)
@@ -245,24 +248,23 @@ class Pieces:
                 ids.append(self.unknown)
         return tuple(ids)
 
-    def stretches(self, normal: str, kept: dict[str, tuple[int, ...]]) -> list[tuple[int, ...]]:
-        """The ids of each stretch of a normalised text."""
-        out = []
-        for s in self.split(normal):
-            ids = kept.get(s)
-            if ids is None:
-                ids = self.of_stretch(s)
-                if len(s) <= LONG:
-                    kept[s] = ids
-            out.append(ids)
-        return out
-
-    def encode(self, text: str, kept: dict | None = None) -> list[int]:
+    def cut(self, stretch: str) -> list[str]:
+        """The stretch in parts that no piece crosses."""
+        out, start, joined = [], 0, self.joined
+        for i in range(1, len(stretch)):
+            if stretch[i - 1 : i + 1] not in joined:
+                out.append(stretch[start:i])
+                start = i
+        return [*out, stretch[start:]]
+
+    def encode(self, text: str, kept: Kept | None = None) -> list[int]:
         """The ids of a text, with the end id."""
-        ids = list(chain.from_iterable(self.stretches(self.normalised(text)[0], {} if kept is None else kept)))
+        kept = Kept(self) if kept is None else kept
+        ids = list(chain.from_iterable(map(kept.__getitem__, self.split(self.normalised(text)[0]))))
         if not self.bytes:  # unknown characters in a row are one
             ids = [x for i, x in enumerate(ids) if x != self.unknown or not i or ids[i - 1] != x]
-        return [*ids, self.end]
+        ids.append(self.end)
+        return ids
 
     def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """For each id the bytes of text it covers: start and end."""
@@ -295,6 +297,21 @@ class Pieces:
             return _replaced(out)
 
 
+class Kept(dict):
+    """The ids of stretches met so far; those of a new one are put together from its parts. Long ones aren't kept."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, stretch: str) -> tuple[int, ...]:
+        parts = self.pieces.cut(stretch)
+        ids = self.pieces.of_stretch(stretch) if len(parts) == 1 else sum((self[p] for p in parts), ())
+        if len(stretch) <= LONG:
+            self[stretch] = ids
+        return ids
+
+
 def _replaced(data: bytes) -> str:
     """data as text, each byte that begins no valid character as U+FFFD."""
     out, i = [], 0
@@ -312,14 +329,15 @@ def _replaced(data: bytes) -> str:
     return "".join(out)
 
 
-_READY: dict[bytes, tuple[Pieces, dict]] = {}
+_READY: dict[bytes, tuple[Pieces, Kept]] = {}
 
 
-def ready(model: bytes) -> tuple[Pieces, dict[str, tuple[int, ...]]]:
+def ready(model: bytes) -> tuple[Pieces, Kept]:
     """This worker's model and its stretches so far."""
     key = sha256(model).digest()
     if key not in _READY:
-        _READY[key] = (Pieces(model), {})
+        pieces = Pieces(model)
+        _READY[key] = pieces, Kept(pieces)
     pieces, kept = _READY[key]
     if len(kept) > KEPT:
         kept.clear()

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import json
 from hashlib import sha256
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -36,8 +36,8 @@ from lakeloom.operators.skew import skew_join
 BYTES = "byte_bpe_50k.json"
 #: Links of one group that are expanded one by one.
 CELLS = 256
-#: Bytes of text that share a bitset.
-BLOCK = 1_000_000
+#: Bytes of text that share a bitset, and of the longest piece that is merged by looking at all neighbours.
+BLOCK, LONG = 1_000_000, 32
 #: Texts that hold a pair from which it is split, where pairs aren't broadcast.
 HOT = 100_000
 
@@ -105,6 +105,8 @@ class Cuts:
         self.n_a, self.n_b = (np.array([len(ids) for ids in side], np.int64) for side in (a, b))
         a_ends, b_ends = np.cumsum(a_sizes[self.a]), np.cumsum(b_sizes[self.b])
         size = int(a_ends[-1]) if len(a_ends) else 0
+        if size != (int(b_ends[-1]) if len(b_ends) else 0):
+            raise ValueError("both sides must have the same bytes")
         if not size:
             self.a_stop = self.b_stop = self.text = np.zeros(0, np.int64)
         else:
@@ -176,6 +178,32 @@ class Cuts:
         return [data[s:e] for s, e in pairwise(stops)]
 
 
+class Known(dict):
+    """The ids of pieces of text by the byte-level vocabulary; a new piece is merged, the lowest id first, then leftmost."""
+
+    def __init__(self, a: bpe.PrefixBPE):
+        super().__init__()
+        self.a, self.single = a, [a.ids[bytes([i])] for i in range(256)]
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        data = piece.encode()
+        if len(data) > LONG:
+            return tuple(self.a.encode(data))
+        merged, never = self.a.merged.get, len(self.a.tokens)
+        ids = [self.single[x] for x in data]
+        ranks = [merged(pair, never) for pair in pairwise(ids)]
+        while ranks and (best := min(ranks)) != never:
+            i = ranks.index(best)
+            ids[i : i + 2] = [best]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = merged((best, ids[i + 1]), never)
+            if i:
+                ranks[i - 1] = merged((ids[i - 1], best), never)
+        self[piece] = out = tuple(ids)
+        return out
+
+
 _READY: dict[bytes, tuple] = {}
 
 
@@ -183,25 +211,25 @@ def _encoders(tokens: list[bytes], model: bytes) -> tuple:
     """This worker's encoders, what they have met so far, and their tokens' sizes and decimals."""
     key = sha256(model).digest()
     if key not in _READY:
-        b = pieces.Pieces(model)
+        a, b = bpe.PrefixBPE(tokens), pieces.Pieces(model)
         sizes = np.array([len(t) for t in tokens], np.int64), np.array([len(s) for s in b.surface], np.int64)
-        _READY[key] = bpe.PrefixBPE(tokens), {}, b, sizes, (Digits(len(tokens)), Digits(len(b.names)))
+        _READY[key] = Known(a), b, sizes, (Digits(len(tokens)), Digits(len(b.names)))
+    if len(_READY[key][0]) > pieces.KEPT:
+        _READY[key][0].clear()
     return _READY[key]
 
 
-def tokens_of(a, known: dict, b: pieces.Pieces, kept: dict, split, some: list[str]) -> tuple[list[int], list[list[int]], list[list[int]]]:
+def tokens_of(known: Known, b: pieces.Pieces, kept: pieces.Kept, split, some: list[str]) -> tuple[list[int], list[list[int]], list[list[int]]]:
     """Which texts have tokens, and their ids of either side."""
-    spaced = [" " + t if t else "" for t in some]
-    of_a = bpe.encode_texts(a, known, split, spaced)
     held, left, right = [], [], []
-    for i, (t, ids) in enumerate(zip(spaced, of_a, strict=True)):
-        if not t:
+    for i, text in enumerate(some):
+        if not text:
             continue
-        other = b.encode(t[1:], kept)[:-1]
-        data = t.encode()
-        if b"".join(map(b.surface.__getitem__, other)) == data and a.decode(ids) == data:
+        spaced, other = " " + text, b.encode(text, kept)
+        other.pop()  # the end id
+        if b"".join(map(b.surface.__getitem__, other)) == spaced.encode():  # A's tokens are cut from these bytes themselves
             held.append(i)
-            left.append(ids)
+            left.append(list(chain.from_iterable(map(known.__getitem__, split(spaced)))))
             right.append(other)
     return held, left, right
 
@@ -218,12 +246,11 @@ def cut_texts(docs: DataFrame, byte_path: str | None = None, piece_path: str | N
     def rows(batches):
         tokens, model = vocabulary.value
         split = regex.compile(public_tokenizers.PATTERN).findall
-        a, known, b, (a_sizes, b_sizes), (a_digits, b_digits) = _encoders(tokens, model)
         for batch in batches:
             done = 0
             for some in bpe.in_blocks(batch.column(1), BLOCK):
-                _, kept = pieces.ready(model)
-                held, left, right = tokens_of(a, known, b, kept, split, some)
+                known, b, (a_sizes, b_sizes), (a_digits, b_digits) = _encoders(tokens, model)
+                held, left, right = tokens_of(known, b, pieces.ready(model)[1], split, some)
                 cuts = Cuts(left, right, a_sizes, b_sizes)
                 row, doc = batch.column(2).slice(done, len(some)), batch.column(0).slice(done, len(some))
                 done += len(some)
