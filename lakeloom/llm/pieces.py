@@ -34,7 +34,7 @@ from lakeloom.llm.common import read, texts
 MODEL = "piece_bpe_32k.model"
 SPACE = "\u2581"
 #: Stretches whose pieces a worker keeps; when full it starts anew, so memory is bounded and results are the same.
-KEPT = 200_000
+KEPT = 400_000
 #: Bytes of text that are encoded together, and characters of the longest stretch that is kept.
 BLOCK, LONG = 2_000_000, 64
 #: Stretches of so many characters are merged by looking at all neighbours, longer ones by a heap.
@@ -120,6 +120,8 @@ class Pieces:
         firsts = "".join(sorted({k[0] for k in self.map}))
         self.candidates = re.compile(f"[{re.escape(firsts)}]") if firsts else None
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.names, self.kinds, strict=True)) if k == self.NORMAL}
+        #: decoding gives back space + text for each text without the mark itself
+        self.exact = self.prefix and not self.squeeze and not self.map and bool(trainer.get(35, 0))
         self.unknown, self.end = self.kinds.index(self.UNKNOWN), self._special(trainer.get(47, b"</s>").decode())
         self.unknown_surface = trainer.get(44, b" \xe2\x81\x87 ").decode()
         by_byte = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.names, self.kinds, strict=True)) if k == self.BYTE}

@@ -227,7 +227,8 @@ def tokens_of(known: Known, b: pieces.Pieces, kept: pieces.Kept, split, some: li
             continue
         spaced, other = " " + text, b.encode(text, kept)
         other.pop()  # the end id
-        if b"".join(map(b.surface.__getitem__, other)) == spaced.encode():  # A's tokens are cut from these bytes themselves
+        # A's tokens are cut from these bytes themselves
+        if pieces.SPACE not in text if b.exact else b"".join(map(b.surface.__getitem__, other)) == spaced.encode():
             held.append(i)
             left.append(list(chain.from_iterable(map(known.__getitem__, split(spaced)))))
             right.append(other)

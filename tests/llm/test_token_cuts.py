@@ -69,6 +69,17 @@ def test_odd_rows(spark, monkeypatch, few, hot):
     assert token_cuts.aligned(docs.limit(0)).count() == 0 and token_cuts.aligned(docs.where("doc_id < 3")).count() == 2
 
 
+def test_models_that_change_texts(monkeypatch):
+    """Where a model may change a text, the bytes are compared."""
+    from tests.llm.test_pieces import remade
+
+    known, split = token_cuts.Known(token_cuts.bpe.PrefixBPE(A_BYTES)), regex.compile(P.PATTERN).findall
+    some = ["plain text", "ﬁne", "two  spaces", "a▁b", ""]
+    for model, held in ((pieces.model_bytes(), [0, 1, 2]), (remade("nfkc", False), [0, 2]), (remade("nfkc", True), [0])):
+        b = pieces.Pieces(model)
+        assert b.exact == (len(held) == 3) and token_cuts.tokens_of(known, b, pieces.Kept(b), split, some)[0] == held
+
+
 def test_groups_are_returned(spark):
     docs = spark.createDataFrame([(1, "unbelievable tokenization")], "doc_id long, text string")
     r = token_cuts.aligned(docs, with_groups=True).first()
