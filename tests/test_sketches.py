@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from lakeloom.operators.sketches import DISTINCT, RANK, DayStore, distinct_count, frequent, quantile
+from lakeloom.plans import catalog
 
 
 def some(spark, n, seed):
@@ -52,3 +53,21 @@ def test_nulls(spark, tmp_path):
     store.add(rows, "b", F.col("at"), "who", "v", "item")
     got = {str(r.day): (r.rows, r.d, r.q) for r in store.merged(["day"]).select("day", "rows", distinct_count().alias("d"), quantile(0.5).alias("q")).collect()}
     assert got == {"2024-01-01": (1, 0, None), "2024-01-02": (1, 1, 2.0)}
+
+
+def weeks(spark, path, rows):
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{path}/events.parquet")
+    return {str(r.week): tuple(r)[1:] for r in catalog.weeks_from_day_sketches(spark, str(path)).collect()}
+
+
+def test_a_week_without_frequent_users_or_with_one_value_stays(spark, tmp_path, monkeypatch):
+    at = lambda day: datetime(2024, 1, day)
+    rows = [(i, at(1 + i % 7), i % 6000, "view" if i % 3 else "error", float(i % 977)) for i in range(12_000)]  # nobody is frequent
+    rows += [(i, at(8), i % 10, None, 5.0) for i in range(1000)]  # one value; no type
+    rows += [(i, at(15), None if i % 2 else 1, "view", None) for i in range(100)]  # no value; a user that is null
+    want = {"2024-01-01": (12_000, 6000, True, True, True), "2024-01-08": (1000, 10, True, True, True), "2024-01-15": (100, 1, True, True, True)}
+    assert weeks(spark, tmp_path / "a", rows) == want
+    # a list that leaves out the most frequent user is seen
+    monkeypatch.setattr(catalog, "frequent", lambda n: F.slice(frequent(n), 2, 3))
+    rows += [(i, at(8), 3, "view", 5.0) for i in range(500)]
+    assert weeks(spark, tmp_path / "b", rows)["2024-01-08"] == (1500, 10, True, True, False)
