@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakeloom.operators import vectors
@@ -72,3 +73,18 @@ def test_odd_rows(spark, tmp_path):
     assert index.search(frame.limit(0), "id", "v", 3, f"{tmp_path}/t").count() == 0
     with pytest.raises(ValueError):
         VectorIndex.build(frame.limit(0), f"{tmp_path}/none", "id", "v")
+
+
+def test_what_a_task_holds_does_not_grow_with_the_lists(spark, monkeypatch, tmp_path):
+    some = pa.RecordBatch.from_pydict({"rep": pa.array(range(10)), "v": pa.array([[float(i)] * 4 for i in range(10)])})
+    lists = np.tile(np.arange(30), (10, 1))
+    monkeypatch.setattr(vectors, "ROOM", 28)
+    found = list(vectors.copies(some, lists, 4))
+    assert max(b.num_rows for b in found) <= 7
+    assert [tuple(r.values()) for b in found for r in b.to_pylist()] == [(j, i, [float(i)] * 4) for i in range(10) for j in range(30)]
+    # the exact search doesn't copy its queries for each list
+    rows = clustered(300, 4, 3)
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    index = VectorIndex.build(frame, f"{tmp_path}/i", "id", "v")
+    monkeypatch.setattr(VectorIndex, "_probed", None)
+    assert got(index.search(frame.where("id % 20 = 0"), "id", "v", 3, f"{tmp_path}/s")) == exact(rows, [x for x in rows if x[0] % 20 == 0], 3)
