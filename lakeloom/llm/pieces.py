@@ -20,8 +20,9 @@ import heapq
 import math
 import re
 import struct
+from functools import cached_property
 from hashlib import sha256
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, chain, compress, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm.bpe import in_blocks
 from lakeloom.llm.common import read, texts
+from lakeloom.llm.merging import Merges
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "\u2581"
@@ -259,10 +261,27 @@ class Pieces:
                 start = i
         return [*out, stretch[start:]]
 
+    def stretches(self, text: str) -> list[str]:
+        return self.split(self.normalised(text)[0])
+
+    @cached_property
+    def merges(self) -> tuple[np.ndarray, Merges]:
+        """The id of each character that is a piece (others: -1), and the pairs of pieces that make a piece."""
+        letters = np.full(0x110000, -1, np.int64)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                letters[ord(p)] = i
+        pairs = [(x, y, i) for p, i in self.ids.items() for k in range(1, len(p)) if (x := self.ids.get(p[:k])) is not None and (y := self.ids.get(p[k:])) is not None]
+        left, right, whole = np.array(pairs, np.int64).reshape(-1, 3).T
+        ranks = np.unique(-np.array(self.scores), return_inverse=True)[1]  # equal scores stay equal
+        return letters, Merges(left, right, ranks[whole], whole)
+
     def encode(self, text: str, kept: Kept | None = None) -> list[int]:
         """The ids of a text, with the end id."""
-        kept = Kept(self) if kept is None else kept
-        ids = list(chain.from_iterable(map(kept.__getitem__, self.split(self.normalised(text)[0]))))
+        return self.encode_stretches(self.stretches(text), Kept(self) if kept is None else kept)
+
+    def encode_stretches(self, stretches: list[str], kept: Kept) -> list[int]:
+        ids = list(chain.from_iterable(map(kept.__getitem__, stretches)))
         if not self.bytes:  # unknown characters in a row are one
             ids = [x for i, x in enumerate(ids) if x != self.unknown or not i or ids[i - 1] != x]
         ids.append(self.end)
@@ -313,6 +332,18 @@ class Kept(dict):
             self[stretch] = ids
         return ids
 
+    def learn(self, stretches: set[str]) -> None:
+        """Those that are new are merged together; long ones, and those with characters that are no pieces, are left to the other way."""
+        letters, merges = self.pieces.merges
+        new = [s for s in stretches.difference(self) if len(s) <= LONG]
+        if not new:
+            return
+        symbols = letters[np.frombuffer("".join(new).encode("utf-32-le"), "<u4")]
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        known = np.minimum.reduceat(symbols, np.cumsum(sizes) - sizes) >= 0
+        if known.any():
+            self.update(zip(compress(new, known.tolist()), merges.merged(symbols[np.repeat(known, sizes)], sizes[known]), strict=True))
+
 
 def _replaced(data: bytes) -> str:
     """data as text, each byte that begins no valid character as U+FFFD."""

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import bpe, pieces
 from lakeloom.llm.common import SMALL, read, texts, written
+from lakeloom.llm.merging import Merges
 from lakeloom.operators.skew import skew_join
 
 BYTES = "byte_bpe_50k.json"
@@ -101,7 +102,7 @@ class Cuts:
 
     def __init__(self, a: list[list[int]], b: list[list[int]], a_sizes: np.ndarray, b_sizes: np.ndarray):
         self.texts = len(a)
-        self.a, self.b = (np.fromiter((i for ids in side for i in ids), np.int64) for side in (a, b))
+        self.a, self.b = (np.fromiter(chain.from_iterable(side), np.int64, sum(map(len, side))) for side in (a, b))
         self.n_a, self.n_b = (np.array([len(ids) for ids in side], np.int64) for side in (a, b))
         a_ends, b_ends = np.cumsum(a_sizes[self.a]), np.cumsum(b_sizes[self.b])
         size = int(a_ends[-1]) if len(a_ends) else 0
@@ -184,6 +185,16 @@ class Known(dict):
     def __init__(self, a: bpe.PrefixBPE):
         super().__init__()
         self.a, self.single = a, [a.ids[bytes([i])] for i in range(256)]
+        pairs = np.array([(x, y, i) for (x, y), i in a.merged.items()], np.int64).reshape(-1, 3)
+        self.merges = Merges(pairs[:, 0], pairs[:, 1], pairs[:, 2], pairs[:, 2])
+
+    def learn(self, found: set[str]) -> None:
+        """Those that are new are merged together; long ones are left to the other way."""
+        new = [(p, data) for p in found.difference(self) if len(data := p.encode()) <= LONG]
+        if new:
+            symbols = np.array(self.single, np.int64)[np.frombuffer(b"".join(data for _, data in new), np.uint8)]
+            sizes = np.fromiter((len(data) for _, data in new), np.int64, len(new))
+            self.update(zip((p for p, _ in new), self.merges.merged(symbols, sizes), strict=True))
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
@@ -222,15 +233,16 @@ def _encoders(tokens: list[bytes], model: bytes) -> tuple:
 def tokens_of(known: Known, b: pieces.Pieces, kept: pieces.Kept, split, some: list[str]) -> tuple[list[int], list[list[int]], list[list[int]]]:
     """Which texts have tokens, and their ids of either side."""
     held, left, right = [], [], []
-    for i, text in enumerate(some):
-        if not text:
-            continue
-        spaced, other = " " + text, b.encode(text, kept)
+    full = {i: (b.stretches(text), split(" " + text)) for i, text in enumerate(some) if text}
+    kept.learn(set().union(*(x for x, _ in full.values())))
+    known.learn(set().union(*(x for _, x in full.values())))
+    for i, (stretches, found) in full.items():
+        other = b.encode_stretches(stretches, kept)
         other.pop()  # the end id
         # A's tokens are cut from these bytes themselves
-        if pieces.SPACE not in text if b.exact else b"".join(map(b.surface.__getitem__, other)) == spaced.encode():
+        if pieces.SPACE not in some[i] if b.exact else b"".join(map(b.surface.__getitem__, other)) == (" " + some[i]).encode():
             held.append(i)
-            left.append(list(chain.from_iterable(map(known.__getitem__, split(spaced)))))
+            left.append(list(chain.from_iterable(map(known.__getitem__, found))))
             right.append(other)
     return held, left, right
 
