@@ -132,7 +132,7 @@ class Pieces:
         # bytes that a piece stands for in the normalised text, and in a decoded one
         self.marked = [b"" if k == self.CONTROL else bytes([int(p[1:-1], 16)]) if k == self.BYTE else p.encode() for p, k in zip(self.names, self.kinds, strict=True)]
         self.surface = [self.unknown_surface.encode() if k == self.UNKNOWN else m.replace(SPACE.encode(), b" ") for m, k in zip(self.marked, self.kinds, strict=True)]
-        self.lengths = np.array([len(m) for m in self.marked], np.int64)
+        self.lengths, self.widths = (np.array([len(m) for m in x], np.int64) for x in (self.marked, self.surface))
         self.split = re.compile(self._stretches()).findall
         #: neighbours that stand so in some piece: between all others a stretch can be cut
         self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
@@ -287,8 +287,17 @@ class Pieces:
         ids.append(self.end)
         return ids
 
+    def encode_all(self, some: list[str], kept: Kept) -> list[list[int]]:
+        """The ids of each text, with the end id; what is new in them is merged together."""
+        cut = [self.stretches(t) for t in some]
+        kept.learn(set().union(*cut))
+        return [self.encode_stretches(x, kept) for x in cut]
+
     def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """For each id the bytes of text it covers: start and end."""
+        if self.exact and SPACE not in text:  # pieces cover what they decode to, but for the space before the text
+            stop = np.maximum(np.cumsum(self.widths[np.array(ids, np.int64)]) - 1, 0)
+            return np.r_[0, stop[:-1]], stop
         if not self.bytes and self.unknown in ids:
             raise ValueError("spans need a model with byte pieces where characters are unknown")
         normal, replaced = self.normalised(text)
@@ -394,8 +403,7 @@ def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = True) ->
             counts, written, decoded, covered, lists = [], [], [], [], ([], [], [])
             for some in in_blocks(batch.column(1), BLOCK):
                 pieces, kept = ready(data)
-                for text in some:
-                    ids = pieces.encode(text, kept)
+                for text, ids in zip(some, pieces.encode_all(some, kept), strict=True):
                     starts, ends = pieces.spans(text, ids)
                     counts.append(len(ids))
                     written.append(sha256(" ".join(map(decimal, ids)).encode()).hexdigest())

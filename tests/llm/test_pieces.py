@@ -118,3 +118,23 @@ def test_odd_rows(spark, monkeypatch):
     for r, (_, t) in zip([out[2], out[4], out[5]], [rows[3], rows[5], rows[2]], strict=True):
         assert r.ids == LIBRARY.encode(t, add_eos=True) and len(r.starts) == len(r.ends) == r.n_tokens
     assert pieces.encoded(docs.limit(0)).count() == 0
+
+
+def test_new_words_of_a_block_are_merged_together(monkeypatch):
+    """No new word of plain letters is merged by itself, and where nothing is replaced no alignment is written out."""
+    r = random.Random(8)
+    some = ["".join(r.choice(["the", "re", " ", "ing", "ñ", "sch", "1", "9", ".", "ü", "\n", "  "]) for _ in range(r.randrange(200))) for _ in range(300)]
+    aligned = [OWN.alignment(t, [])[1] if t else [] for t in some]
+    own = pieces.Pieces(pieces.model_bytes())
+    monkeypatch.setattr(pieces.Pieces, "alignment", None)
+    with monkeypatch.context() as m:
+        m.setattr(pieces.Pieces, "merged", lambda self, stretch: list(stretch) if len(stretch) == 1 else pytest.fail(stretch))
+        got = own.encode_all(some, pieces.Kept(own))
+    for text, ids, ends in zip(some, got, aligned, strict=True):
+        assert ids == LIBRARY.encode(text, add_eos=True)
+        stops = own.spans(text, ids)[1]
+        bounds = own.lengths[ids].cumsum()[:-1] - 1
+        assert stops[:-1].tolist() == [int(ends[k]) for k in bounds] and stops[-1] == len(text.encode())
+        check_spans(own, text, ids)
+    odd = own.encode_all(ODD, pieces.Kept(own))
+    assert odd == [LIBRARY.encode(t, add_eos=True) for t in ODD]
