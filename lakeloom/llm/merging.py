@@ -49,14 +49,19 @@ class Merges:
 
     def merged(self, symbols: np.ndarray, sizes: np.ndarray) -> list[tuple[int, ...]]:
         """symbols: those of all words in a row; sizes: how many each has, one at least. What is left of each word."""
+        left, counts = self.flat(symbols, sizes)
+        left, stops = left.tolist(), np.cumsum(counts).tolist()
+        return [tuple(left[s:e]) for s, e in zip([0, *stops], stops, strict=False)]
+
+    def flat(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same in a row, and how many symbols are left of each word."""
         stops = np.cumsum(sizes)
-        out: list[tuple[int, ...]] = []
-        for i in range(0, len(sizes), WORDS):
-            out += self._merged(symbols[stops[i] - sizes[i] : stops[min(i + WORDS, len(sizes)) - 1]], sizes[i : i + WORDS])
-        return out
+        parts = [self._merged(symbols[stops[i] - sizes[i] : stops[min(i + WORDS, len(sizes)) - 1]], sizes[i : i + WORDS]) for i in range(0, len(sizes), WORDS)]
+        left, counts = zip(*parts, strict=True) if parts else ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+        return np.concatenate(left), np.concatenate(counts)
 
-    def _merged(self, symbols: np.ndarray, sizes: np.ndarray) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = [()] * len(sizes)
+    def _merged(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         word, sizes, symbols = np.arange(len(sizes)), sizes.copy(), symbols.astype(np.int64)
         last = np.zeros(len(symbols), bool)
         last[np.cumsum(sizes) - 1] = True
@@ -70,10 +75,7 @@ class Merges:
             live = best >> 40 < NEVER
             if not live.all():
                 gone = np.repeat(~live, sizes)
-                left, stop = symbols[gone].tolist(), 0
-                for w, n in zip(word[~live].tolist(), sizes[~live].tolist(), strict=True):
-                    out[w] = tuple(left[stop : stop + n])
-                    stop += n
+                done.append((word[~live], sizes[~live], symbols[gone]))
                 # positions move down by what went before them
                 at = (best[live] & (1 << 40) - 1) - np.cumsum(np.where(live, 0, sizes))[live]
                 word, sizes = word[live], sizes[live]
@@ -93,4 +95,7 @@ class Merges:
             changed = np.concatenate((at[~last[at]], before[~last[before]]))
             slot[changed] = found = self.slots(symbols[changed], symbols[changed + 1])
             rank[changed] = self.rank[found]
-        return out
+        word, sizes, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(word)
+        begin, counts = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        return symbols[np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(len(symbols))], counts

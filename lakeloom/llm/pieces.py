@@ -266,8 +266,10 @@ class Pieces:
 
     @cached_property
     def merges(self) -> tuple[np.ndarray, Merges]:
-        """The id of each character that is a piece (others: -1), and the pairs of pieces that make a piece."""
+        """The id of each character that is a piece or one byte (others: -1), and the pairs of pieces that make a piece."""
         letters = np.full(0x110000, -1, np.int64)
+        if self.bytes:
+            letters[:128] = self.bytes[:128]
         for p, i in self.ids.items():
             if len(p) == 1:
                 letters[ord(p)] = i

@@ -4,7 +4,12 @@ Texts are encoded by a byte-level vocabulary (A, over space + text) and by one o
 itself). A bit for each byte marks where a token ends; the AND of both bitsets is where both end, and cuts the tokens
 into groups. The number of set bits up to a cut (rank: running popcounts of whole words, and of the part of one word)
 is how many tokens of either side end there, so cuts become ranges of tokens. Within a group every token of A is
-linked with every token of B. Blocks of texts share one bitset: a text's last byte is always a cut.
+linked with every token of B.
+
+Texts are cut into segments, before spaces that no token of either side reaches across; both sides end there. Segments
+met before are kept with their groups and pairs, and a text is put together from its segments. The new segments of a
+block of texts share one bitset: a segment's last byte is always a cut. Where a model may change a text, or has pieces
+with a space inside, a text is one segment.
 
 How often an id pair is linked is counted over the corpus: each text's distinct pairs are written once, counted by
 pair with partial sums, and met with their counts again, by broadcast if the pairs are counted few, else by a join
@@ -19,8 +24,10 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import json
+import re
+from collections import defaultdict
 from hashlib import sha256
-from itertools import chain, pairwise
+from itertools import chain, count, islice, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +44,9 @@ from lakeloom.operators.skew import skew_join
 BYTES = "byte_bpe_50k.json"
 #: Links of one group that are expanded one by one.
 CELLS = 256
-#: Bytes of text that share a bitset, and of the longest piece that is merged by looking at all neighbours.
+#: Segments that a worker keeps, and bytes of their groups; when full it starts anew.
+SEGMENTS, SEGMENT_BYTES = 400_000, 64_000_000
+#: Bytes of text that are read together, and of the longest piece that is merged by looking at all neighbours.
 BLOCK, LONG = 1_000_000, 32
 #: Texts that hold a pair from which it is split, where pairs aren't broadcast.
 HOT = 100_000
@@ -87,6 +96,30 @@ def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def distinct(text: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct pairs, in order, and their times together."""
+    if not len(text):
+        return text, pair, times
+    # the text stands above the pair where both fit in 64 bits
+    wide = int(pair.max()) + 1
+    if wide * (int(text.max()) + 1) < 1 << 63:
+        code = text * wide + pair
+        if int(times.sum()) <= 2 * len(times):  # nearly all once: sorting alone is faster than finding places
+            code = np.sort(np.repeat(code, times))
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            code, times = code[first], np.diff(first, append=len(code))
+            return code // wide, code % wide, times
+        code, where = np.unique(code, return_inverse=True)
+        text, pair = code // wide, code % wide
+    else:
+        order = np.lexsort((pair, text))
+        new = np.r_[True, (text[order][1:] != text[order][:-1]) | (pair[order][1:] != pair[order][:-1])]
+        where = np.empty(len(order), np.int64)
+        where[order] = np.cumsum(new) - 1
+        text, pair = text[order][new], pair[order][new]
+    return text, pair, np.bincount(where, weights=times).astype(np.int64)
+
+
 class Digits:
     """The decimals of ids as rows of characters."""
 
@@ -101,9 +134,18 @@ class Cuts:
     """Both sides' ids of a block of texts, cut into groups. text: of each token; all places are over the whole block."""
 
     def __init__(self, a: list[list[int]], b: list[list[int]], a_sizes: np.ndarray, b_sizes: np.ndarray):
-        self.texts = len(a)
-        self.a, self.b = (np.fromiter(chain.from_iterable(side), np.int64, sum(map(len, side))) for side in (a, b))
-        self.n_a, self.n_b = (np.array([len(ids) for ids in side], np.int64) for side in (a, b))
+        flat = (np.fromiter(chain.from_iterable(side), np.int64, sum(map(len, side))) for side in (a, b))
+        self._cut(*flat, *(np.array([len(ids) for ids in side], np.int64) for side in (a, b)), a_sizes, b_sizes)
+
+    @classmethod
+    def flat(cls, *given: np.ndarray) -> Cuts:
+        """From all ids of either side in a row, how many each text has, and the tokens' sizes."""
+        out = cls.__new__(cls)
+        out._cut(*given)
+        return out
+
+    def _cut(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> None:
+        self.a, self.b, self.n_a, self.n_b, self.texts = a, b, n_a, n_b, len(n_a)
         a_ends, b_ends = np.cumsum(a_sizes[self.a]), np.cumsum(b_sizes[self.b])
         size = int(a_ends[-1]) if len(a_ends) else 0
         if size != (int(b_ends[-1]) if len(b_ends) else 0):
@@ -141,20 +183,9 @@ class Cuts:
         text, a, b, times = (np.concatenate(x) for x in zip(*keys, strict=True))
         if not len(text):
             return text, a, b, times
-        # one number for (a, b), and the text above it where both fit in 64 bits
         wide_b = int(b.max()) + 1
-        pair = a * wide_b + b
-        wide = int(pair.max()) + 1
-        if wide * self.texts < 1 << 63:
-            code, where = np.unique(text * wide + pair, return_inverse=True)
-            text, pair = code // wide, code % wide
-        else:
-            order = np.lexsort((pair, text))
-            new = np.r_[True, (text[order][1:] != text[order][:-1]) | (pair[order][1:] != pair[order][:-1])]
-            where = np.empty(len(order), np.int64)
-            where[order] = np.cumsum(new) - 1
-            text, pair = text[order][new], pair[order][new]
-        return text, pair // wide_b, pair % wide_b, np.bincount(where, weights=times).astype(np.int64)
+        text, pair, times = distinct(text, a * wide_b + b, times)
+        return text, pair // wide_b, pair % wide_b, times
 
     def written(self, a_digits: Digits, b_digits: Digits) -> list[bytes]:
         """Each text's groups: a1,a2|b1;a3|b2,b3."""
@@ -218,16 +249,20 @@ class Known(dict):
 _READY: dict[bytes, tuple] = {}
 
 
-def _encoders(tokens: list[bytes], model: bytes) -> tuple:
-    """This worker's encoders, what they have met so far, and their tokens' sizes and decimals."""
+def segments_of(tokens: list[bytes], model: bytes) -> Segments:
+    """This worker's encoders and the segments that it has met so far."""
     key = sha256(model).digest()
     if key not in _READY:
         a, b = bpe.PrefixBPE(tokens), pieces.Pieces(model)
         sizes = np.array([len(t) for t in tokens], np.int64), np.array([len(s) for s in b.surface], np.int64)
-        _READY[key] = Known(a), b, sizes, (Digits(len(tokens)), Digits(len(b.names)))
-    if len(_READY[key][0]) > pieces.KEPT:
-        _READY[key][0].clear()
-    return _READY[key]
+        known, split = Known(a), regex.compile(public_tokenizers.PATTERN).findall
+        _READY[key] = known, Segments(known, b, split, sizes, (Digits(len(tokens)), Digits(len(b.names))))
+    known, met = _READY[key]
+    if len(known) > pieces.KEPT:
+        known.clear()
+    if len(met.places) > SEGMENTS or met.size > SEGMENT_BYTES:
+        met.clear()
+    return met
 
 
 def tokens_of(known: Known, b: pieces.Pieces, kept: pieces.Kept, split, some: list[str]) -> tuple[list[int], list[list[int]], list[list[int]]]:
@@ -247,6 +282,102 @@ def tokens_of(known: Known, b: pieces.Pieces, kept: pieces.Kept, split, some: li
     return held, left, right
 
 
+_ODD = re.compile(r"\s ").search
+_CUT = re.compile(r"(?s)(?<=\S) (?=.)").split
+
+
+def segments(text: str) -> list[str]:
+    """A text that isn't empty, cut at each space that follows no blank and isn't the last character."""
+    return _CUT(text) if text[0] == " " or text[-1] == " " or _ODD(text) else text.split(" ")
+
+
+class Segments:
+    """The segments met so far, in the order met: whether each has tokens, its groups and its distinct linked pairs."""
+
+    def __init__(self, known: Known, b: pieces.Pieces, split, sizes: tuple[np.ndarray, np.ndarray], digits: tuple[Digits, Digits]):
+        self.known, self.b, self.split, self.sizes, self.digits = known, b, split, sizes, digits
+        self.wide = len(b.names)
+        self.cut = b.exact and not any(pieces.SPACE in p.lstrip(pieces.SPACE) for p in b.ids)
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[str, int] = defaultdict(count().__next__)
+        self.size, self.written = 0, []
+        #: of each segment: 1 if it has tokens, n_a, n_b, n_groups, n_links, the place of its first pair, how many pairs
+        self.counts = np.zeros((7, 0), np.int64)
+        #: pairs: a * wide + b, and times
+        self.pair, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        self.counts = np.concatenate((self.counts, np.zeros((7, len(new)), np.int64)), 1)
+        self.written += [b""] * len(new)
+        plain = self._plain(new) if self.cut else np.zeros(len(new), bool)
+        at = np.flatnonzero(plain)
+        if len(at):
+            self._add(at, self._together([new[i] for i in at.tolist()]), len(new))
+        if len(at) < len(new):
+            rest = np.flatnonzero(~plain)
+            held, left, right = tokens_of(self.known, self.b, pieces.Kept(self.b), self.split, [new[i] for i in rest.tolist()])
+            self._add(rest[held], Cuts(left, right, *self.sizes), len(new))
+
+    def _plain(self, new: list[str]) -> np.ndarray:
+        """Which segments are short, end in no blank, have no mark of their own, and have only characters that are symbols of B."""
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        letters = np.frombuffer("".join(new).encode("utf-32-le"), "<u4")
+        known = (self.b.merges[0][letters] >= 0) & (letters != ord(pieces.SPACE))
+        blank = np.fromiter((s[-1].isspace() for s in new), bool, len(new))
+        return np.logical_and.reduceat(known, np.cumsum(sizes) - sizes) & (sizes < pieces.LONG) & ~blank
+
+    def _together(self, plain: list[str]) -> Cuts:
+        """Segments in a row, each with its space before it: tokens of neither side reach across."""
+        row = " " + " ".join(plain)
+        sizes = np.fromiter(map(len, plain), np.int64, len(plain)) + 1
+        letters = np.frombuffer(row.encode("utf-32-le"), "<u4")
+        symbols, merges = self.b.merges
+        b, n_b = merges.flat(np.where(letters == 32, symbols[ord(pieces.SPACE)], symbols[letters]), sizes)
+        found = self.split(row)
+        stops = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        in_bytes = np.cumsum(1 + (letters > 0x7F) + (letters > 0x7FF) + (letters > 0xFFFF))[stops - 1]
+        a, n = self.known.merges.flat(np.array(self.known.single, np.int64)[np.frombuffer(row.encode(), np.uint8)], np.diff(in_bytes, prepend=0))
+        ends = np.searchsorted(stops, np.cumsum(sizes))  # the last piece of each segment
+        return Cuts.flat(a, b, np.diff(np.cumsum(n)[ends], prepend=0), n_b, *self.sizes)
+
+    def _add(self, at: np.ndarray, cuts: Cuts, new: int) -> None:
+        """at: the places of the segments among the last `new`."""
+        at = at + self.counts.shape[1] - new
+        text, a, b, times = cuts.pairs()
+        pairs = np.bincount(text, minlength=cuts.texts)
+        self.counts[:, at] = np.ones(len(at), np.int64), cuts.n_a, cuts.n_b, cuts.n_groups(), cuts.n_links(), len(self.pair) + np.cumsum(pairs) - pairs, pairs
+        for i, g in zip(at.tolist(), cuts.written(*self.digits), strict=True):
+            self.written[i] = g
+            self.size += len(g)
+        self.size += 16 * len(text)
+        self.pair, self.times = np.concatenate((self.pair, a * self.wide + b)), np.concatenate((self.times, times))
+
+    def aligned(self, some: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], tuple[np.ndarray, ...]]:
+        """Which texts have tokens; of these n_a, n_b, n_groups, n_links, their groups, and their distinct pairs (place in some, a, b, times)."""
+        full = [i for i, t in enumerate(some) if t]
+        cut = [segments(some[i]) if self.cut else [some[i]] for i in full]
+        before = len(self.places)
+        code = np.fromiter(map(self.places.__getitem__, chain.from_iterable(cut)), np.int64)
+        if len(self.places) > before:
+            self._learn(list(islice(self.places, before, None)))
+        if not full:
+            return np.zeros(0, np.int64), np.zeros((4, 0), np.int64), [], (code, code, code, code)
+        sizes = np.array([len(x) for x in cut], np.int64)
+        start = np.cumsum(sizes) - sizes
+        has = np.minimum.reduceat(self.counts[0, code], start) > 0
+        held = np.array(full, np.int64)[has]
+        counts = np.add.reduceat(self.counts[1:5, code], start, 1)[:, has]
+        written, places = self.written, code.tolist()
+        groups = [b";".join(map(written.__getitem__, places[s : s + n])) for s, n in zip(start[has].tolist(), sizes[has].tolist(), strict=True)]
+        code, text = code[np.repeat(has, sizes)], np.repeat(held, sizes[has])
+        at, inside = spread(self.counts[6, code])
+        pair = self.counts[5, code][at] + inside
+        text, pair, times = distinct(text[at], self.pair[pair], self.times[pair])
+        return held, counts, groups, (text, pair // self.wide, pair % self.wide, times)
+
+
 ONE = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string"
 SCHEMA = ONE + ", a int, b int, times long"
 
@@ -258,34 +389,25 @@ def cut_texts(docs: DataFrame, byte_path: str | None = None, piece_path: str | N
 
     def rows(batches):
         tokens, model = vocabulary.value
-        split = regex.compile(public_tokenizers.PATTERN).findall
         for batch in batches:
             done = 0
             for some in bpe.in_blocks(batch.column(1), BLOCK):
-                known, b, (a_sizes, b_sizes), (a_digits, b_digits) = _encoders(tokens, model)
-                held, left, right = tokens_of(known, b, pieces.ready(model)[1], split, some)
-                cuts = Cuts(left, right, a_sizes, b_sizes)
+                held, counts, groups, (text, x, y, times) = segments_of(tokens, model).aligned(some)
                 row, doc = batch.column(2).slice(done, len(some)), batch.column(0).slice(done, len(some))
                 done += len(some)
-                groups = cuts.written(a_digits, b_digits)
-
-                def whole(x, held=held, n=len(some)):
-                    out = np.zeros(n, np.int64)
-                    out[held] = x
-                    return pa.array(out)
-
+                ones = np.zeros((4, len(some)), np.int64)
+                ones[:, held] = counts
                 digests, lists = [""] * len(some), [""] * len(some)
-                for i, g in zip(held, groups, strict=True):
+                for i, g in zip(held.tolist(), groups, strict=True):
                     digests[i] = sha256(g).hexdigest()
                     if with_groups:
                         lists[i] = g.decode()
                 null = pa.nulls(len(some), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [row, doc, whole(cuts.n_a), whole(cuts.n_b), whole(cuts.n_groups()), whole(cuts.n_links()), pa.array(digests, pa.string()), pa.array(lists, pa.string()) if with_groups else pa.nulls(len(some), pa.string()), null, null, pa.nulls(len(some), pa.int64())],
+                    [row, doc, *map(pa.array, ones), pa.array(digests, pa.string()), pa.array(lists, pa.string()) if with_groups else pa.nulls(len(some), pa.string()), null, null, pa.nulls(len(some), pa.int64())],
                     names=[f.split(" ")[0] for f in SCHEMA.split(", ")],
                 )
-                text, x, y, times = cuts.pairs()
-                rows_of = row.take(pa.array(np.array(held, np.int64)[text]))
+                rows_of = row.take(pa.array(text))
                 no = pa.nulls(len(text), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [rows_of, no, no, no, no, no, pa.nulls(len(text), pa.string()), pa.nulls(len(text), pa.string()), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(times)],

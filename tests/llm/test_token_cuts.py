@@ -108,3 +108,39 @@ def test_ranks_of_bitsets():
 def test_query_on_the_tables(spark, sf):
     rows = duckdb.sql(f"select doc_id, text from '/root/testdata/{sf}/documents.parquet'").fetchall()
     assert shown(token_cuts.op12_token_cuts(spark, f"/root/testdata/{sf}")) == ordered(plain(rows))
+
+
+SPACED = ["a  b   c d ", " lead", "trail ", "x\n y\n\n z \n", "tab\t x", "\u3000 x\u3000 y", "don't 've  's", " ", "  ", "\n", "w \x1c v", "z\x85 q", "..., !!! a\n\n\n  b", "a\u200b b", "日本 語", "a▁b c", "", "x" * 90 + " y", "p " * 50 + "end", "é" * 40 + " é", "word, word. Word word"]
+
+
+def test_texts_are_put_together_from_segments(monkeypatch):
+    """As from whole texts; segments that were met are not encoded again."""
+    split = regex.compile(P.PATTERN).findall
+    for text in filter(None, SPACED):
+        cut = token_cuts.segments(text)
+        assert " ".join(cut) == text and [x for s in cut for x in split(" " + s)] == split(" " + text)
+    r = random.Random(9)
+    some = SPACED + ["".join(r.choice([" ", " ", "  ", "\n", "the", "ing", "ñ", "1", ".", "\t", "sch", "日", "\u2003"]) for _ in range(r.randrange(60))) for _ in range(400)]
+    met = token_cuts.segments_of(A_BYTES, pieces.model_bytes())
+    whole, left, right = token_cuts.tokens_of(met.known, met.b, pieces.Kept(met.b), split, some)
+    cuts = token_cuts.Cuts(left, right, *met.sizes)
+    text, *pairs = cuts.pairs()
+    for again in (False, True):
+        if again:
+            monkeypatch.setattr(token_cuts.Segments, "_learn", None)
+        held, counts, groups, found = met.aligned(some)
+        assert held.tolist() == whole and groups == cuts.written(*met.digits)
+        assert (counts == np.array([cuts.n_a, cuts.n_b, cuts.n_groups(), cuts.n_links()])).all()
+        assert all((x == y).all() for x, y in zip(found, [np.array(whole)[text], *pairs], strict=True))
+
+
+def test_distinct_pairs_however_often():
+    r = np.random.default_rng(4)
+    text, pair = r.integers(0, 5, 300), r.integers(0, 20, 300)
+    for times in (np.ones(300, np.int64), r.integers(1, 9, 300)):
+        want = Counter()
+        for t, p, n in zip(text.tolist(), pair.tolist(), times.tolist(), strict=True):
+            want[t, p] += n
+        for far in (1, 1 << 40):
+            got = token_cuts.distinct(text * far, pair * (1 << 22), times)
+            assert list(zip(*(x.tolist() for x in got), strict=True)) == [(t * far, p << 22, n) for (t, p), n in sorted(want.items())]
